@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import quality
+from quillgraph.llm import decontam, quality
 from quillgraph.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,8 +15,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": lambda spark, folder: quality.op1_quality_rules(read(spark, folder, "documents")),
+        "op6_benchmark_decontamination": lambda spark, folder: decontam.op6_benchmark_decontamination(read(spark, folder, "documents"), read(spark, folder, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_benchmark_decontamination": decontam.ORACLE,
+    }
