@@ -152,7 +152,6 @@ def _finder(spark: SparkSession, items: list[tuple[str | None, str | None]], win
     return hits
 
 
-@F.arrow_udf(HIT)
 def _united(first: pa.Array, second: pa.Array) -> pa.Array:
     rows = []
     for a, b in zip(first.to_pylist(), second.to_pylist(), strict=True):
@@ -184,7 +183,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "_hits", window
     out, first = docs, True
     for block in blocks(benchmark, limit):
         found = _finder(docs.sparkSession, block, window)(F.col("text"))
-        out = out.withColumn(name, found if first else _united(F.col(name), found))
+        out = out.withColumn(name, found if first else F.arrow_udf(_united, HIT)(F.col(name), found))
         first = False
     return out if not first else out.withColumn(name, _finder(docs.sparkSession, [], window)(F.col("text")))
 
