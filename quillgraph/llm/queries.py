@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontam, neardup, quality
+from quillgraph.llm import decontam, neardup, pii, quality
 from quillgraph.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": lambda spark, folder: quality.op1_quality_rules(read(spark, folder, "documents")),
+        "op2_pii_anchors": lambda spark, folder: pii.op2_pii_anchors(read(spark, folder, "documents")),
         "op6_benchmark_decontamination": lambda spark, folder: decontam.op6_benchmark_decontamination(read(spark, folder, "documents"), read(spark, folder, "benchmark")),
         "op9_order_minhash": lambda spark, folder: neardup.op9_order_minhash(read(spark, folder, "documents")),
     }
