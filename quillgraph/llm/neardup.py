@@ -23,6 +23,7 @@ to byte-equal ones; repeated rows belong to one class; a class is named by its l
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,9 @@ LENGTH, COUNT = 4, 20
 SHORT_LENGTH, SHORT_COUNT, SHORT = 2, 12, 24
 SKETCH = "struct<n:bigint,keys:array<bigint>>"
 
+SketchOf = Callable[[str], Column]
+SimilarityOf = Callable[[str, str], Column]
+
 _LEAST = np.uint64(2**64 - 1)
 
 
@@ -111,12 +115,14 @@ def sketch_block(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return sizes, [np.concatenate(k) if k else np.zeros(0, np.uint64) for k in keys]
 
 
-def sketch(text: str = "text") -> Column:
+def sketch_with(block: Callable[[pa.Array], tuple[np.ndarray, list[np.ndarray]]], text: str) -> Column:
+    """A struct of the size and the keys of each text, as ``block`` gives them."""
+
     @F.arrow_udf(SKETCH)
     def sketches(texts: pa.Array) -> pa.Array:
         sizes, keys = [np.zeros(0, np.int64)], []
         for _, part in slices(texts, CHUNK_BYTES):
-            n, k = sketch_block(part)
+            n, k = block(part)
             sizes.append(n)
             keys += k
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
@@ -126,6 +132,10 @@ def sketch(text: str = "text") -> Column:
     return sketches(F.col(text))
 
 
+def sketch(text: str = "text") -> Column:
+    return sketch_with(sketch_block, text)
+
+
 def _longest_rise(places: np.ndarray) -> int:
     """Length of the longest rising subsequence of distinct numbers."""
     if (np.diff(places) > 0).all():
@@ -167,11 +177,11 @@ def similarity_of(first: str, second: str) -> Column:
     return similar(F.col(first), F.col(second))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similar: SimilarityOf, similarity: float, name: str) -> DataFrame:
     """The pairs (a, b) whose texts are that similar. Each a's text moves once, to its b."""
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return stored(with_b.where(similarity_of("text_a", "text_b") >= similarity).select("a", "b"), name)
+    return stored(with_b.where(similar("text_a", "text_b") >= similarity).select("a", "b"), name)
 
 
 def _in_classes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -182,11 +192,11 @@ def _in_classes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("_a != _b").drop("_a", "_b")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each distinct text that isn't null: key, id, doc_id (its least), copies,
+def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: SketchOf = sketch, similar: SimilarityOf = similarity_of) -> DataFrame:
+    """Classes of texts under a sketch, whose equal keys make candidates, and a similarity, which verifies them. A row for each distinct text that isn't null: key, id, doc_id (its least), copies,
     root (an id), class_id (the least doc_id of the class), class_size, chosen (true for one text of each class)."""
     keyed = docs.where("text IS NOT NULL").select("doc_id", "text", text_key().alias("key"))
-    sketched = keyed.select("doc_id", "key", sketch().alias("s"))
+    sketched = keyed.select("doc_id", "key", sketched_by("text").alias("s"))
     nodes = sketched.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("s.n").alias("n"), F.first("s.keys").alias("keys"))
     nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
@@ -200,11 +210,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     # each text with the one that it shares most keys with, then with the rest of those least in a key
     most = pairs.groupBy("a").agg(F.max_by("b", F.col("keys") * 1_000_003 - F.col("b") % 1_000_003).alias("b"))
-    links = _verified(most, texts, similarity, "links")
+    links = _verified(most, texts, similar, similarity, "links")
     roots = components(links, "roots")
     rest = stored(_in_classes(pairs.join(most, ["a", "b"], "left_anti").select("a", "b"), roots), "rest")
     if not rest.isEmpty():
-        links = links.union(_verified(rest, texts, similarity, "links"))
+        links = links.union(_verified(rest, texts, similar, similarity, "links"))
         roots = components(links, "roots")
     # and whatever shares a key but no class: all of them, or links would be lost
     mixed = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -214,7 +224,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     open_ = one.join(two, "k").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))).select("a", "b").distinct()
     open_ = stored(open_.join(pairs, ["a", "b"], "left_anti"), "open")
     if not open_.isEmpty():
-        links = links.union(_verified(open_, texts, similarity, "links"))
+        links = links.union(_verified(open_, texts, similar, similarity, "links"))
         roots = components(links, "roots")
 
     rooted = nodes.drop("keys", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontam, neardup, pii, quality, tokencount
+from quillgraph.llm import decontam, neardup, pii, quality, substring, tokencount
 from quillgraph.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op5_token_counts": lambda spark, folder: tokencount.op5_token_counts(read(spark, folder, "documents")),
         "op6_benchmark_decontamination": lambda spark, folder: decontam.op6_benchmark_decontamination(read(spark, folder, "documents"), read(spark, folder, "benchmark")),
         "op9_order_minhash": lambda spark, folder: neardup.op9_order_minhash(read(spark, folder, "documents")),
+        "op10_paragraph_minhash": lambda spark, folder: substring.op10_paragraph_minhash(read(spark, folder, "documents")),
     }
 
 
