@@ -6,24 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontam, neardup, pii, quality, substring, tokencount
+from quillgraph.llm import decontam, mixing, neardup, pii, quality, substring, tokencount
 from quillgraph.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": lambda spark, folder: quality.op1_quality_rules(read(spark, folder, "documents")),
         "op2_pii_anchors": lambda spark, folder: pii.op2_pii_anchors(read(spark, folder, "documents")),
         "op5_token_counts": lambda spark, folder: tokencount.op5_token_counts(read(spark, folder, "documents")),
         "op6_benchmark_decontamination": lambda spark, folder: decontam.op6_benchmark_decontamination(read(spark, folder, "documents"), read(spark, folder, "benchmark")),
+        "op7_ipf_mixing": lambda spark, folder: mixing.op7_ipf_mixing(read(spark, folder, "documents")),
         "op9_order_minhash": lambda spark, folder: neardup.op9_order_minhash(read(spark, folder, "documents")),
         "op10_paragraph_minhash": lambda spark, folder: substring.op10_paragraph_minhash(read(spark, folder, "documents")),
+        "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_benchmark_decontamination": decontam.ORACLE,
+        "op7_ipf_mixing": mixing.ORACLE,
     }
