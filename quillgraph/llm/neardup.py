@@ -12,9 +12,11 @@ similarity s leaves at most (1 - s) / (1 + s) of all shingles unmatched, so no m
 pair lies further apart than that. Similarity is M / (a + b - M) for M matched in order.
 
 Byte-equal texts become one node first, however many copies there are. Within a key,
-nodes are compared with the least node of it, and not with each other; what that leaves
-in different classes is compared too, so a link is missed only if no key is shared
-(under 1 in 10,000 at similarity 0.8, see README). Nothing but counts reaches the driver.
+nodes are compared with the one that meets most others, and not with each other. Of what
+that leaves in different classes, texts that share two keys or more with other classes
+are compared too, where an exact prefix filter over their rarest shingles lets them. So a
+link between classes is missed only where similar texts share one key or none (about 1 in
+17,000 at similarity 0.8, see README). Nothing but counts reaches the driver.
 
 Defined results: a null text is a class of its own; texts without words are linked only
 to byte-equal ones; repeated rows belong to one class; a class is named by its least doc_id.
@@ -27,7 +29,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.components import components
@@ -36,7 +38,7 @@ from quillgraph.llm.textops import CHUNK_BYTES, mix64, slices, window_hashes, wi
 
 SHINGLE = 5
 SIMILARITY = 0.8
-LENGTH, COUNT = 4, 20
+LENGTH, COUNT = 4, 24
 SHORT_LENGTH, SHORT_COUNT, SHORT = 2, 12, 24
 SKETCH = "struct<n:bigint,keys:array<bigint>>"
 
@@ -161,6 +163,23 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     return matched / (len(a) + len(b) - matched)
 
 
+def labels_with(block: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], text: str) -> Column:
+    """An array of the labels of each text, as ``block`` gives them with bounds."""
+
+    @F.arrow_udf("array<bigint>")
+    def labels(texts: pa.Array) -> pa.Array:
+        parts = [block(part) for _, part in slices(texts, CHUNK_BYTES)]
+        flat = np.concatenate([np.zeros(0, np.uint64), *[x for x, _ in parts]]).view(np.int64)
+        sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(b) for _, b in parts]])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+
+    return labels(F.col(text))
+
+
+def labels_of(text: str = "text") -> Column:
+    return labels_with(labelled_shingles, text)
+
+
 def similarity_of(first: str, second: str) -> Column:
     @F.arrow_udf("double")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -192,8 +211,31 @@ def _in_classes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("_a != _b").drop("_a", "_b")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: SketchOf = sketch, similar: SimilarityOf = similarity_of) -> DataFrame:
-    """Classes of texts under a sketch, whose equal keys make candidates, and a similarity, which verifies them. A row for each distinct text that isn't null: key, id, doc_id (its least), copies,
+def _sharing_rare(left: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts of different classes that can be that similar.
+
+    left: id, root, labels. Labels are put in one order, rare ones first. Two texts of n and m labels need
+    t = s / (1 + s) * (n + m) in common; so the first common label has at least t - 1 after it in
+    both, which leaves few places for it and, among many near copies of one text,
+    mostly labels that no other text has. Exact: no pair of similarity s is lost."""
+    each = left.select("id", "root", F.size("labels").alias("n"), F.explode("labels").alias("h"))
+    known = each.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1")
+    joined = each.join(known, "h")
+    order = Window.partitionBy("id").orderBy("df", "h")
+    placed = joined.withColumn("place", F.col("n") - F.count("*").over(Window.partitionBy("id")) + F.row_number().over(order) - 1)
+    first = stored(placed.where((F.col("lo") < F.col("hi")) & (F.col("n") - F.col("place") >= similarity * F.col("n") - 1e-9)).select("h", "id", "root", "n", "place"), "rare")
+    # the class that most texts of a label are in needn't meet itself
+    main = first.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.col("count")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
+    one = first.join(main, "h").where("root != main").select("h", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    two = first.select("h", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    need = similarity / (1 + similarity) * (F.col("nx") + F.col("ny")) - 1e-9
+    found = one.join(two, "h").where((F.col("rx") != F.col("ry")) & (F.col("nx") - F.col("px") >= need) & (F.col("ny") - F.col("py") >= need))
+    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: SketchOf = sketch, similar: SimilarityOf = similarity_of, labels_by: SketchOf = labels_of) -> DataFrame:
+    """Classes of texts under a sketch, whose equal keys make candidates, and a similarity, which
+    verifies them; labels_by gives the distinct labels that this similarity counts. A row for each distinct text that isn't null: key, id, doc_id (its least), copies,
     root (an id), class_id (the least doc_id of the class), class_size, chosen (true for one text of each class)."""
     keyed = docs.where("text IS NOT NULL").select("doc_id", "text", text_key().alias("key"))
     sketched = keyed.select("doc_id", "key", sketched_by("text").alias("s"))
@@ -201,14 +243,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: Sketch
     nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     members = nodes.select("id", "n", F.explode("keys").alias("k"))
-    buckets = members.groupBy("k").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").select("k", "b")
+    buckets = members.groupBy("k").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("c")).where("first < last").select("k", "c")
     shared = stored(members.join(buckets, "k"), "shared")  # only keys that several texts have
-    pairs = stored(shared.where("id != b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("keys")), "pairs")
+    # the text that meets most others stands for each key: of copies of one text, that text
+    met = shared.groupBy("id").agg(F.sum("c").alias("met"))
+    pivots = shared.join(met, "id").groupBy("k").agg(F.max_by("id", F.least("met", F.lit(2**40)) * 2**20 + F.col("id") % 2**20).alias("b"))
+    pairs = stored(shared.join(pivots, "k").where("id != b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("keys")), "pairs")
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     ids = nodes.join(involved, "id", "left_semi").select("key", "id")
     texts = stored(keyed.groupBy("key").agg(F.first("text").alias("text")).join(ids, "key").select("id", "text"), "texts")
 
-    # each text with the one that it shares most keys with, then with the rest of those least in a key
+    # each text with the one that it shares most keys with, then with the others that stand for its keys
     most = pairs.groupBy("a").agg(F.max_by("b", F.col("keys") * 1_000_003 - F.col("b") % 1_000_003).alias("b"))
     links = _verified(most, texts, similar, similarity, "links")
     roots = components(links, "roots")
@@ -216,13 +261,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: Sketch
     if not rest.isEmpty():
         links = links.union(_verified(rest, texts, similar, similarity, "links"))
         roots = components(links, "roots")
-    # and whatever shares a key but no class: all of them, or links would be lost
+    # and the texts that share keys with texts of other classes, by the rare shingles that similar ones must share
     mixed = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = mixed.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
-    left = stored(mixed.join(several, "k", "left_semi").where("id != b OR root != id"), "left")
-    one, two = left.select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), left.select("k", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    open_ = one.join(two, "k").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))).select("a", "b").distinct()
-    open_ = stored(open_.join(pairs, ["a", "b"], "left_anti"), "open")
+    left = mixed.join(several, "k", "left_semi").groupBy("id").agg(F.count("*").alias("keys"), F.max("root").alias("root")).where("keys > 1")
+    left = stored(texts.join(left, "id").select("id", "root", labels_by("text").alias("labels")), "left")
+    open_ = stored(_sharing_rare(left, similarity).join(pairs, ["a", "b"], "left_anti"), "open")
     if not open_.isEmpty():
         links = links.union(_verified(open_, texts, similar, similarity, "links"))
         roots = components(links, "roots")
