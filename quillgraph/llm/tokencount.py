@@ -1,6 +1,7 @@
 """Token counts as the tokenizer's library gives them, also for huge documents.
 
-A text of up to CHUNK characters is encoded whole. A longer one is encoded in chunks
+A text of up to CHUNK characters is the sum of its words between white spaces, each distinct
+word of a task encoded once by the library. A longer one is encoded in chunks
 that overlap, with offsets, and neighbouring chunks are spliced at a stable common
 boundary: a place after an ASCII white space where a token starts in both chunks, both
 giving the same tokens from there to the last white space that they share. White space
@@ -17,17 +18,20 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.textops import slices
+from quillgraph.llm.textops import known_ids, slices, sums, words_of
 
 VOCABULARY = "word_bpe_49k.json"
 CHUNK = 32_768
 OVERLAP = 256
 LIMIT = 2048
-BATCH_BYTES = 500_000
+BATCH_BYTES = 2_000_000
+CACHE = 1 << 20
 
 _STABLE = " \t\n\r"
 
@@ -97,20 +101,48 @@ def count_long(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
     return total + len(left.ids) - left.at(counted)
 
 
+class WordSizes:
+    """Tokens of texts as sums over their words; the sizes of words seen are kept, up to CACHE of them."""
+
+    def __init__(self, model) -> None:
+        self.model = model
+        self.hashes, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def totals(self, texts: pa.Array) -> np.ndarray:
+        data, _, words = words_of(texts)
+        distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        at = known_ids(self.hashes, distinct)
+        size = np.where(at > 0, np.append(self.sizes, 0)[at - 1], 0)
+        fresh = np.flatnonzero(at == 0)
+        if len(fresh):
+            raw = data.tobytes()
+            starts, ends = words.starts[first[fresh]].tolist(), words.ends[first[fresh]].tolist()
+            size[fresh] = [len(e) for e in self.model.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts, ends, strict=True)], add_special_tokens=False)]
+            if len(self.hashes) + len(fresh) > CACHE:
+                self.hashes, self.sizes = distinct, size
+            else:
+                both = np.concatenate([self.hashes, distinct[fresh]])
+                order = np.argsort(both)
+                self.hashes, self.sizes = both[order], np.concatenate([self.sizes, size[fresh]])[order]
+        return sums(size[which], words.bounds)
+
+
 def counts(path: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """The number of tokens of the whole text under the tokenizer of a file."""
 
     @F.arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = tokenizer(path)
+        sizes = WordSizes(model)
         for texts in batches:
-            out: list[int] = []
+            out = [np.zeros(0, np.int64)]
             for _, part in slices(texts, BATCH_BYTES):
-                own = [t or "" for t in part.to_pylist()]
-                short = [t for t in own if len(t) <= chunk]
-                sizes = iter([len(e) for e in model.encode_batch_fast(short, add_special_tokens=False)])
-                out += [next(sizes) if len(t) <= chunk else count_long(model.encode, t, chunk, overlap) for t in own]
-            yield pa.array(out, pa.int64())
+                long = pc.greater(pc.utf8_length(part), chunk).fill_null(False)
+                total = sizes.totals(pc.if_else(long, "", part))
+                for k in np.flatnonzero(long.to_numpy(zero_copy_only=False)):
+                    total[k] = count_long(model.encode, part[k].as_py(), chunk, overlap)
+                out.append(total)
+            yield pa.array(np.concatenate(out))
 
     return count(F.col(text))
 
