@@ -30,7 +30,7 @@ def _c(text: Text) -> Column:
 
 
 def words(*values: str) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
 def slugify(text: Text) -> Column:

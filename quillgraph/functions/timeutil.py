@@ -26,9 +26,10 @@ def parsed(text: Column | str) -> Column:
 
 
 def age_days(stamp: Column, as_of: str | Column) -> Column:
-    """Days from the stamp to as_of, 0 for later stamps."""
+    """Days from the stamp to as_of, 0 for later stamps, null for null."""
     now = F.to_timestamp(F.lit(as_of)) if isinstance(as_of, str) else as_of
-    return F.greatest((F.unix_micros(now) - F.unix_micros(stamp.cast("timestamp"))) / 86_400_000_000.0, F.lit(0.0))
+    days = (F.unix_micros(now) - F.unix_micros(stamp.cast("timestamp"))) / 86_400_000_000.0
+    return F.when(days.isNotNull(), F.greatest(days, F.lit(0.0)))
 
 
 def recency(stamp: Column, as_of: str | Column) -> Column:

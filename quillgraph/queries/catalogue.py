@@ -350,7 +350,7 @@ def top_outgoing_edges(spark, folder):
 gone AS (SELECT id FROM p0 WHERE p_partkey % 50 = 7) SELECT * FROM a WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone)""")
 def incremental_delete_edges(spark, folder):
     own = vw.part_records(spark, folder, related=True)
-    edges = rl.all_edges(own, AS_OF)
+    edges = rl.all_edges(own, AS_OF).persist()
     gone = own.where("ingest_ordinal % 50 = 7").select("id")
     return lc.delete(own, edges, gone, AS_OF)[1].select("source", "target", "type", "kind", "confidence")
 
