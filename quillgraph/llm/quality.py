@@ -2,9 +2,9 @@
 
 Each rule looks at counts of one whole text and votes good (1), bad (-1) or
 abstains (0). Nobody says which rules to trust: expectation-maximisation over the
-counts of vote patterns estimates, for each rule, how often it is right on good
-and on bad texts, and a text's posterior probability of being good replaces an
-all-must-pass filter.
+counts of vote patterns estimates, for each rule, how often it is right on good texts
+and on texts that are bad in one of a few ways (the families of the rules), and a
+text's posterior probability of being good replaces an all-must-pass filter.
 
 Spark counts the vote patterns over all rows. There are at most 3**len(RULES) of
 them however many rows there are, and only those counts reach the driver, where
@@ -115,11 +115,13 @@ def counts(text: str = "text") -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes good where ``good`` holds, bad where ``bad`` does, else abstains; both are SQL over FEATURES."""
+    """Votes good where ``good`` holds, bad where ``bad`` does, else abstains; both are SQL over
+    FEATURES. family: the way of being bad that it looks for."""
 
     name: str
     good: str
     bad: str
+    family: str = "form"
 
 
 #: Every ratio is guarded, so a text without words or lines makes no rule fail.
@@ -127,11 +129,11 @@ RULES = (
     Rule("length", "n_words >= 100", "n_words < 50"),
     Rule("word_length", "word_chars BETWEEN 3 * n_words AND 9 * n_words", "word_chars < 2 * n_words OR word_chars > 12 * n_words"),
     Rule("symbols", "100 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "n_lines >= 3 AND n_dup_lines = 0", "10 * n_dup_lines > 3 * n_lines"),
-    Rule("repeated_words", "10 * n_repeat_words < n_words", "100 * n_repeat_words > 30 * n_words"),
+    Rule("repeated_lines", "n_lines >= 3 AND n_dup_lines = 0", "10 * n_dup_lines > 3 * n_lines", "repetition"),
+    Rule("repeated_words", "10 * n_repeat_words < n_words", "100 * n_repeat_words > 30 * n_words", "repetition"),
     Rule("sentences", "10 * n_stopped_lines >= 7 * n_lines AND n_lines > 0", "10 * n_stopped_lines < 3 * n_lines"),
     Rule("function_words", "100 * n_function_words >= 8 * n_words AND n_words > 0", "100 * n_function_words < 2 * n_words"),
-    Rule("variety", "n_words >= 50 AND 100 * n_distinct_words >= 35 * n_words", "n_words >= 50 AND 100 * n_distinct_words < 15 * n_words"),
+    Rule("variety", "n_words >= 50 AND 100 * n_distinct_words >= 35 * n_words", "n_words >= 50 AND 100 * n_distinct_words < 15 * n_words", "repetition"),
     Rule("digits", "100 * n_digits <= 3 * word_chars", "100 * n_digits > 20 * word_chars"),
     Rule("capitals", "100 * n_capitals <= 10 * word_chars", "100 * n_capitals > 30 * word_chars"),
 )
@@ -143,51 +145,67 @@ VOTES = (1, -1, 0)
 
 @dataclass(frozen=True)
 class Accuracies:
-    """prior: share of good texts; good, bad: for each rule the probabilities of VOTES on
-    good and on bad texts."""
+    """Shares of the kinds of text, good ones first and then one kind for each family, and for
+    each kind and rule the probabilities of VOTES."""
 
-    prior: float
-    good: tuple[tuple[float, float, float], ...]
-    bad: tuple[tuple[float, float, float], ...]
+    shares: tuple[float, ...]
+    tables: tuple[tuple[tuple[float, float, float], ...], ...]
+
+    @property
+    def prior(self) -> float:
+        return self.shares[0]
 
     def right(self) -> list[float]:
         """How often each rule is right when it votes."""
-        q = 1 - self.prior
-        return [(self.prior * g[0] + q * b[1]) / (self.prior * (g[0] + g[1]) + q * (b[0] + b[1])) for g, b in zip(self.good, self.bad, strict=True)]
+        t, s = np.array(self.tables), np.array(self.shares)
+        correct = s[0] * t[0, :, 0] + (s[1:, None] * t[1:, :, 1]).sum(axis=0)
+        return list(correct / (s[:, None, None] * t[:, :, :2]).sum(axis=(0, 2)))
+
 
+_GOOD, _BAD, _OTHER = (0.7, 0.03, 0.27), (0.3, 0.4, 0.3), (0.5, 0.1, 0.4)
 
-_GOOD, _BAD = (0.7, 0.03, 0.27), (0.4, 0.3, 0.3)
 
+def estimate(patterns: list[tuple[tuple[int, ...], int]], families: list[str], rounds: int = 300, tolerance: float = 1e-8) -> Accuracies:
+    """Expectation-maximisation over (votes, count) patterns; families: of each rule.
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200, tolerance: float = 1e-8) -> Accuracies:
-    """Expectation-maximisation over (votes, count) patterns. Texts without a bad vote
-    start as good and those with one as doubtful. A bad vote is held to be likelier on bad
-    texts and a good vote on good ones, which settles which class is which; a weak prior
-    keeps a rule that never votes where it started. Abstaining is no evidence."""
+    Texts without a bad vote start as good, others as bad in the ways whose rules say so. A bad
+    vote is held to be no less likely on bad texts than on good ones, and a good
+    vote no less on good ones, which settles which kind is which; a weak prior keeps a rule that
+    never votes where it started. Abstaining is no evidence."""
+    kinds = sorted(set(families))
+    start = np.array([[_GOOD] * len(families), *[[_BAD if f == k else _OTHER for f in families] for k in kinds]])
     if not patterns:
-        return Accuracies(0.8, (_GOOD,) * n_rules, (_BAD,) * n_rules)
+        return Accuracies((0.8, *[0.2 / len(kinds)] * len(kinds)), _tuples(start))
     ordered = sorted(patterns)
-    cast = np.array([v for v, _ in ordered], dtype=np.int8).reshape(len(ordered), n_rules)
+    cast = np.array([v for v, _ in ordered], dtype=np.int8).reshape(len(ordered), len(families))
     n = np.array([c for _, c in ordered], dtype=np.float64)
     marks = np.stack([(cast == v).astype(float) for v in VOTES], axis=2)
     weak = max(1.0, 1e-3 * n.sum())
-    p = np.where((cast == -1).any(axis=1), 0.2, 0.98)
-    prior, good, bad = 0.8, np.tile(_GOOD, (n_rules, 1)), np.tile(_BAD, (n_rules, 1))
+    against = np.stack([(cast[:, [f == k for f in families]] == -1).sum(axis=1) for k in kinds], axis=1)
+    p = np.concatenate([np.where(against.sum(axis=1) == 0, 50.0, 0.5)[:, None], against + 0.05], axis=1)
+    p /= p.sum(axis=1, keepdims=True)
+    tables = start
     for _ in range(rounds):
-        new_good = (np.einsum("i,irv->rv", n * p, marks) + weak * np.array(_GOOD)) / ((n * p).sum() + weak)
-        new_bad = (np.einsum("i,irv->rv", n * (1 - p), marks) + weak * np.array(_BAD)) / ((n * (1 - p)).sum() + weak)
-        new_bad[:, 1] = np.maximum(new_bad[:, 1], 1.5 * new_good[:, 1])
-        new_bad[:, 0] = np.minimum(new_bad[:, 0], new_good[:, 0])
-        new_bad[:, 2] = np.maximum(1e-6, 1 - new_bad[:, 0] - new_bad[:, 1])
-        new_bad /= new_bad.sum(axis=1, keepdims=True)
-        prior = float(np.clip((n * p).sum() / n.sum(), 0.05, 0.95))
-        moved = max(abs(new_good - good).max(), abs(new_bad - bad).max())
-        good, bad = new_good, new_bad
-        odds = math.log(prior / (1 - prior)) + np.einsum("irv,rv->i", marks[:, :, :2], np.log(good / bad)[:, :2])
-        p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        own = n[:, None] * p
+        new = (np.einsum("ic,irv->crv", own, marks) + weak * start) / (own.sum(axis=0)[:, None, None] + weak)
+        new[1:, :, 1] = np.maximum(new[1:, :, 1], new[0, :, 1])
+        new[1:, :, 0] = np.minimum(new[1:, :, 0], new[0, :, 0])
+        new[:, :, 2] = np.maximum(1e-6, 1 - new[:, :, 0] - new[:, :, 1])
+        new /= new.sum(axis=2, keepdims=True)
+        shares = np.maximum(own.sum(axis=0) / n.sum(), 0.01)
+        shares = shares / shares.sum()
+        moved = abs(new - tables).max()
+        tables = new
+        odds = np.log(shares) + np.einsum("irv,crv->ic", marks[:, :, :2], np.log(tables)[:, :, :2])
+        p = np.exp(odds - odds.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
         if moved < tolerance:
             break
-    return Accuracies(prior, tuple(map(tuple, good.tolist())), tuple(map(tuple, bad.tolist())))
+    return Accuracies(tuple(shares.tolist()), _tuples(tables))
+
+
+def _tuples(tables: np.ndarray) -> tuple:
+    return tuple(tuple(map(tuple, t)) for t in tables.tolist())
 
 
 def votes(counts_column: str, rules: tuple[Rule, ...] = RULES) -> list[Column]:
@@ -202,16 +220,19 @@ def votes(counts_column: str, rules: tuple[Rule, ...] = RULES) -> list[Column]:
 def learn(counted: DataFrame, counts_column: str = "_counts", rules: tuple[Rule, ...] = RULES) -> Accuracies:
     names = [f"v{k}" for k in range(len(rules))]
     rows = counted.select(*[v.alias(x) for v, x in zip(votes(counts_column, rules), names, strict=True)]).groupBy(*names).count().collect()
-    return estimate([(tuple(r[x] for x in names), r["count"]) for r in rows], len(rules))
+    return estimate([(tuple(r[x] for x in names), r["count"]) for r in rows], [r.family for r in rules])
 
 
 def posterior(accuracies: Accuracies, counts_column: str = "_counts", rules: tuple[Rule, ...] = RULES) -> Column:
-    """Probability that a text is good."""
-    odds = F.lit(math.log(accuracies.prior / (1 - accuracies.prior)))
-    for vote, good, bad in zip(votes(counts_column, rules), accuracies.good, accuracies.bad, strict=True):
-        step = [math.log(g / b) for g, b in zip(good, bad, strict=True)]
-        odds = odds + F.when(vote == 1, step[0]).when(vote == -1, step[1]).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+    """Probability that a text is good: one over the sum of the odds of each kind against good."""
+    cast = votes(counts_column, rules)
+    total = F.lit(1.0)
+    for share, table in zip(accuracies.shares[1:], accuracies.tables[1:], strict=True):
+        odds = F.lit(math.log(share / accuracies.shares[0]))
+        for vote, good, bad in zip(cast, accuracies.tables[0], table, strict=True):
+            odds = odds + F.when(vote == 1, math.log(bad[0] / good[0])).when(vote == -1, math.log(bad[1] / good[1])).otherwise(0.0)
+        total = total + F.exp(odds)
+    return 1 / total
 
 
 def base_failed(counts_column: str = "_counts") -> Column:
