@@ -1,10 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens are summed by (source, language, topic) cell. Fitting rakes the cells in turn to
-the target shares of each marginal until all hold; a cell's fitted tokens over its own
-tokens is its factor. A document is sampled with the probability factor / largest factor,
-so no document is taken twice and expected tokens have the target shares. The draw is a
-hash of the doc_id, so a run can be repeated.
+Tokens are summed by (source, language, topic) cell. Fitting starts with ``budget`` of each
+cell's tokens and rakes the cells in turn to the target shares of each marginal, never
+beyond the tokens that a cell has, until all hold or are as near as the tokens allow. A
+cell's fitted tokens over its own are the probability with which its documents are
+sampled, so no document is taken twice, a value with too few tokens is kept whole, and the
+expected tokens have the target shares where there are enough. The draw is a hash of the
+doc_id, so a run can be repeated.
 
 A target spec names its values; whatever it doesn't name counts as OTHER. So there are at
 most (sources + 1) * (languages + 1) * (topics + 1) cells, however many documents there
@@ -12,7 +14,7 @@ are, and only they reach the driver and are broadcast.
 
 Defined results: a null or unnamed source, language or topic is OTHER; a null text has no
 tokens and its cell's probability; targets of values that no token has are left out and
-the rest scaled to 1; cells without tokens get probability 1; rows that repeat a doc_id
+the rest scaled to 1; cells without tokens have probability 1; rows that repeat a doc_id
 get the same draw; an empty table gives no rows.
 """
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 OTHER = "other"
 SWEEPS = 25
+BUDGET = 0.8
 
 
 def _even(names: list[str], rest: float) -> dict[str, float]:
@@ -47,19 +50,17 @@ AXES = ("source", "lang", "topic")
 TOPIC = "CASE WHEN text LIKE '% | %' THEN 'table' WHEN length(text) - length(replace(text, '\n', '')) >= 8 THEN 'article' ELSE 'note' END"
 
 
-def fit(tokens: np.ndarray, targets: list[dict[str, float]], names: list[list[str]], sweeps: int = SWEEPS) -> np.ndarray:
-    """tokens raked to the target shares of each axis; names: the values along each axis."""
-    fitted = tokens.astype(np.float64)
+def fit(tokens: np.ndarray, targets: list[dict[str, float]], names: list[list[str]], sweeps: int = SWEEPS, budget: float = BUDGET) -> np.ndarray:
+    """budget of the tokens, raked to the target shares of each axis, no cell beyond its tokens; names: the values along each axis."""
+    fitted = tokens * budget
     total = fitted.sum()
-    if total == 0:
-        return fitted
-    for _ in range(sweeps):
+    for _ in range(sweeps if total else 0):
         for axis, (target, own) in enumerate(zip(targets, names, strict=True)):
             others = tuple(k for k in range(fitted.ndim) if k != axis)
             have = fitted.sum(axis=others)
-            want = np.array([target.get(n, 0.0) for n in own]) * (have > 0)
+            want = np.array([target.get(n, 0.0) for n in own]) * (tokens.sum(axis=others) > 0)
             factor = np.divide(want / want.sum() * total, have, out=np.zeros_like(have), where=have > 0)
-            fitted = fitted * factor.reshape([-1 if k == axis else 1 for k in range(fitted.ndim)])
+            fitted = np.minimum(tokens, fitted * factor.reshape([-1 if k == axis else 1 for k in range(fitted.ndim)]))
     return fitted
 
 
@@ -74,7 +75,7 @@ def draw(seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
 
 
-def mixed(docs: DataFrame, targets: Targets | None = None, topic: Column | None = None, seed: int = 7, sweeps: int = SWEEPS) -> DataFrame:
+def mixed(docs: DataFrame, targets: Targets | None = None, topic: Column | None = None, seed: int = 7, sweeps: int = SWEEPS, budget: float = BUDGET) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, _probability and _kept."""
     targets = targets or Targets()
     spec = [targets.source, targets.lang, targets.topic]
@@ -86,10 +87,8 @@ def mixed(docs: DataFrame, targets: Targets | None = None, topic: Column | None
     tokens = np.zeros([len(n) for n in names])
     for row in cells:
         tokens[tuple(names[k].index(row[k]) for k in range(3))] = row["n"]
-    fitted = fit(tokens, spec, names, sweeps)
-    factor = np.divide(fitted, tokens, out=np.zeros_like(fitted), where=tokens > 0)
-    top = factor.max() if factor.max() > 0 else 1.0
-    rows = [(s, la, t, float(factor[i, j, k] / top) if tokens[i, j, k] else 1.0) for i, s in enumerate(names[0]) for j, la in enumerate(names[1]) for k, t in enumerate(names[2])]
+    fitted = fit(tokens, spec, names, sweeps, budget)
+    rows = [(s, la, t, float(fitted[i, j, k] / tokens[i, j, k]) if tokens[i, j, k] else 1.0) for i, s in enumerate(names[0]) for j, la in enumerate(names[1]) for k, t in enumerate(names[2])]
     table = docs.sparkSession.createDataFrame(rows, "_source string, _lang string, _topic string, _probability double")
     out = marked.join(F.broadcast(table), ["_source", "_lang", "_topic"])
     return out.withColumn("_kept", draw(seed) < F.col("_probability"))
@@ -118,15 +117,15 @@ def _oracle(sweeps: int = SWEEPS) -> str:
     for axis in AXES:
         values = ", ".join(f"('{n}', {w!r}::DOUBLE)" for n, w in getattr(t, axis).items())
         steps.append(f"want_{axis} AS (SELECT v.{axis}, w / sum(w) OVER () AS want FROM (VALUES {values}) v({axis}, w) WHERE v.{axis} IN (SELECT {axis} FROM d WHERE n_tokens > 0))")
-    steps.append("c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS own, sum(sum(n_tokens)) OVER ()::DOUBLE AS total FROM d GROUP BY ALL)")
-    steps.append("f0 AS MATERIALIZED (SELECT *, own AS f FROM c WHERE own > 0)")
+    steps.append(f"c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS own, {BUDGET}::DOUBLE * sum(sum(n_tokens)) OVER () AS total FROM d GROUP BY ALL)")
+    steps.append(f"f0 AS MATERIALIZED (SELECT *, own * {BUDGET}::DOUBLE AS f FROM c WHERE own > 0)")
     n = 0
     for _ in range(sweeps):
         for axis in AXES:
-            steps.append(f"f{n + 1} AS MATERIALIZED (SELECT source, lang, topic, own, total, f * want * total / sum(f) OVER (PARTITION BY {axis}) AS f FROM f{n} JOIN want_{axis} USING ({axis}))")
+            steps.append(f"f{n + 1} AS MATERIALIZED (SELECT source, lang, topic, own, total, least(own, f * want * total / sum(f) OVER (PARTITION BY {axis})) AS f FROM f{n} JOIN want_{axis} USING ({axis}))")
             n += 1
     return f"""WITH {", ".join(steps)},
-p AS (SELECT source, lang, topic, (f / own) / max(f / own) OVER () AS p FROM f{n})
+p AS (SELECT source, lang, topic, f / own AS p FROM f{n})
 SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(p, 1.0), 9) AS probability,
        ('0x' || substr(md5('7:' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < coalesce(p, 1.0) AS kept
 FROM d LEFT JOIN p USING (source, lang, topic)"""

@@ -307,9 +307,17 @@ def test_mixture_sql(spark):
 def test_raking_reaches_its_marginals():
     t = np.array([[[10.0, 5], [1, 4]], [[100, 3], [8, 0]]])
     targets = [{"a": 0.5, "b": 0.5}, {"x": 0.3, "y": 0.7}, {"u": 0.6, "v": 0.4}]
-    f = mixing.fit(t, targets, [["a", "b"], ["x", "y"], ["u", "v"]], 200) / t.sum()
+    names = [["a", "b"], ["x", "y"], ["u", "v"]]
+    f = mixing.fit(t, targets, names, 300, 0.05) / (0.05 * t.sum())
     assert np.allclose(f.sum(axis=(1, 2)), [0.5, 0.5]) and np.allclose(f.sum(axis=(0, 2)), [0.3, 0.7]) and np.allclose(f.sum(axis=(0, 1)), [0.6, 0.4])
     assert f[1, 1, 1] == 0
+    whole = mixing.fit(t, targets, names, 300, 1.0)
+    assert (whole <= t + 1e-9).all() and np.allclose(whole[0, 1], t[0, 1]) and whole.sum() > 0.2 * t.sum()
+
+
+def test_rare_values_do_not_thin_out_the_rest(spark):
+    docs = spark.createDataFrame([(d, "a b c d " * 20 if d else "a | b", "en", f"src{d % 20}", 1, "", "", "") for d in range(2000)], DOCS)
+    assert mixing.sampled(docs).count() > 1000
 
 
 def test_mixture_hard(hard, none):
