@@ -12,13 +12,14 @@ finished by a mixing step and the word's length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 PIECE = 1 << 17
 
 _P = 0x9E3779B97F4A7C15 | 1
@@ -118,6 +119,17 @@ def slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.
         end = min(max(end, at + 1), len(texts))
         yield at, texts.slice(at, end - at)
         at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Hands memory that blocks have freed back to the system: a worker lives for many tasks, and
+    allocators otherwise keep the most that any of them used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
