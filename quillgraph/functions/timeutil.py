@@ -38,11 +38,18 @@ def recency(stamp: Column, as_of: str | Column) -> Column:
 
 def half_life(kind: Column, overrides: Mapping[str, float] | None = None) -> Column:
     table = {**HALF_LIVES, **(overrides or {})}
-    out = F.lit(float(table["default"]))
-    for name, days in table.items():
-        if name != "default":
-            out = F.when(kind == name, F.lit(float(days))).otherwise(out)
-    return out
+    return weighted(kind, table, table["default"])
+
+
+def weighted(value: Column, table: Mapping[str, float], other: float) -> Column:
+    """The number of a name, else ``other``; one flat CASE."""
+    cases = [(n, w) for n, w in table.items() if w != other]
+    if not cases:
+        return F.lit(float(other))
+    out = F.when(value == cases[0][0], F.lit(float(cases[0][1])))
+    for name, weight in cases[1:]:
+        out = out.when(value == name, F.lit(float(weight)))
+    return out.otherwise(F.lit(float(other)))
 
 
 def freshness(kind: Column, stamp: Column, as_of: str | Column, overrides: Mapping[str, float] | None = None) -> Column:

@@ -54,10 +54,11 @@ def mine_bigrams(records: DataFrame, text: Column | None = None, least_frequency
     own = records.select(ordered_tokens(text if text is not None else text_of()).alias("tokens"))
     total = F.broadcast(own.agg(F.count("*").alias("n")))
     frequency = own.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("f"))
-    stops = F.array(*[F.lit(s) for s in BIGRAM_STOPS])
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(1))), lambda i: i < F.size("tokens"))
-    pairs = F.array_distinct(F.filter(F.transform(places, lambda i: F.struct(F.element_at("tokens", i).alias("l"), F.element_at("tokens", i + 1).alias("r"))), lambda p: ~F.array_contains(stops, p["l"]) & ~F.array_contains(stops, p["r"])))
-    counted = own.where(F.size("tokens") > 1).select(F.explode(pairs).alias("p")).groupBy("p.l", "p.r").agg(F.count("*").alias("doc_freq")).where(F.col("doc_freq") >= least_frequency)
+    # a pair is one string here, as distinct strings are told apart by hash; tokens have no blanks
+    last = F.greatest(F.size("tokens") - 1, F.lit(0))
+    pairs = F.array_distinct(F.zip_with(F.slice("tokens", F.lit(1), last), F.slice("tokens", F.lit(2), last), lambda a, b: F.concat(a, F.lit(" "), b)))
+    counted = own.where(F.size("tokens") > 1).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("doc_freq")).where(F.col("doc_freq") >= least_frequency)
+    counted = counted.withColumns({"l": F.substring_index("pair", " ", 1), "r": F.substring_index("pair", " ", -1)}).where(~F.col("l").isin(*BIGRAM_STOPS) & ~F.col("r").isin(*BIGRAM_STOPS))
     kept = counted.join(total).where("doc_freq < n AND n >= 2")
     joined = kept.join(frequency.select(F.col("token").alias("l"), F.col("f").alias("fl")), "l").join(frequency.select(F.col("token").alias("r"), F.col("f").alias("fr")), "r")
     log_n = F.log(F.col("n").cast("double"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import has_redactors, redacted, words
-from quillgraph.functions.timeutil import EDGE_TTL_DAYS, HOP_PENALTY, freshness, hop_penalized, recency, rounded
+from quillgraph.functions.timeutil import EDGE_TTL_DAYS, HOP_PENALTY, freshness, hop_penalized, recency, rounded, weighted
 from quillgraph.operators.classify import scalar
 from quillgraph.operators.relations import explicit_relations, outgoing, visible_edges
 from quillgraph.plans.intents import Intent, resolve
@@ -65,20 +65,13 @@ class Query:
         return bool(self.include_archived if self.include_archived is not None else own)
 
 
-def _weight(value: Column, table: Mapping[str, float], other: float) -> Column:
-    out = F.lit(other)
-    for name, weight in table.items():
-        out = F.when(value == name, F.lit(weight)).otherwise(out)
-    return out
-
-
 def factors(query: Query, as_of: str, markers: str = "markers", record_tokens: str = "tokens", stamp: str = "updated_at") -> Column:
     """Every number of a score: matched_markers, matched_tokens, exactness, token_overlap, severity,
     status, recency, raw (with the intent, rounded) and score (with the type's freshness, rounded)."""
     m = F.col(markers)
     weights = {n: float(query.importance.get(n, 0.5)) for n in query.markers}
     total = sum(weights.values()) or 1.0
-    equal = {n: F.coalesce(m[n] == F.array(F.lit(v)), F.lit(False)) for n, v in query.markers.items()}
+    equal = {n: F.coalesce((F.size(m[n]) == 1) & (F.get(m[n], F.lit(0)) == v), F.lit(False)) for n, v in query.markers.items()}
     matched = F.array_compact(F.array(*[F.when(e, F.lit(n)) for n, e in equal.items()])) if equal else F.array().cast("array<string>")
     exactness = sum((F.when(e, weights[n]).otherwise(0.0) for n, e in equal.items()), F.lit(0.0)) / total
     if query.intent is not None and equal:
@@ -86,7 +79,7 @@ def factors(query: Query, as_of: str, markers: str = "markers", record_tokens: s
         exactness = exactness * F.coalesce(F.try_divide(sum((F.when(e, boost[n]).otherwise(0.0) for n, e in equal.items()), F.lit(0.0)), F.size(matched)), F.lit(1.0))
     shared = F.array_intersect(words(*query.tokens), F.coalesce(F.col(record_tokens), F.array().cast("array<string>"))) if query.tokens else F.array().cast("array<string>")
     overlap = F.size(shared) / float(max(len(query.tokens), 1))
-    severity, status = _weight(scalar(m, "severity"), SEVERITY, 0.0), _weight(scalar(m, "status"), STATUS, OTHER_STATUS)
+    severity, status = weighted(scalar(m, "severity"), SEVERITY, 0.0), weighted(scalar(m, "status"), STATUS, OTHER_STATUS)
     recent = recency(F.col(stamp), as_of)
     raw = exactness * WEIGHTS["markers"] + overlap * WEIGHTS["tokens"] + severity * WEIGHTS["severity"] + status * WEIGHTS["status"] + recent * WEIGHTS["recency"]
     if query.intent is not None:
@@ -102,7 +95,8 @@ def unarchived(records: DataFrame, include: bool = False) -> DataFrame:
 
 def scored(records: DataFrame, query: Query, as_of: str) -> DataFrame:
     """Visible records with ``f`` (the factors) and ``relevant`` (some marker or token matches and the score is above 0)."""
-    out = unarchived(records, query.archived).withColumn("f", factors(query, as_of))
+    # through a generator, so that filters on a score don't carry its whole expression about in the plan
+    out = unarchived(records, query.archived).select("*", F.inline(F.array(F.struct(factors(query, as_of).alias("f")))))
     relevant = ((F.size("f.matched_markers") > 0) | (F.size("f.matched_tokens") > 0)) & (F.col("f.score") > 0)
     return out.withColumn("relevant", relevant)
 
@@ -127,9 +121,10 @@ def ranked(records: DataFrame, query: Query, as_of: str, ordinal: str = "ingest_
         step = last.select(F.col("id").alias("source"), F.col("score").alias("from_score"), "discovery").join(relations, "source").join(found.select(F.col("id").alias("target")), "target", "left_anti")
         step = step.join(own.select(F.col("id").alias("target"), F.col("f.score").alias("own"), F.col("f.matched_markers").alias("matched_markers")), "target")
         inherited = F.col("from_score") * query.penalty if query.penalty > 0 else F.col("from_score")
-        step = step.withColumn("score", rounded(F.greatest(hop_penalized(F.col("own"), hop, query.penalty), inherited))).where("score > 0")
+        step = step.withColumn("score", rounded(F.greatest(hop_penalized(F.col("own"), hop, query.penalty), inherited)))
         step = step.withColumn("discovery", F.concat("discovery", F.array(F.col("ordinal").cast("bigint"))))
-        first = step.groupBy("target").agg(F.min_by(F.struct("score", "matched_markers", "discovery"), "discovery").alias("s"))
+        # ways that score nothing don't count; told in the aggregate, as a filter would move all of the score into the join
+        first = step.groupBy("target").agg(F.min_by(F.struct("score", "matched_markers", "discovery"), F.when(F.col("score") > 0, F.col("discovery"))).alias("s")).where("s IS NOT NULL")
         last = first.select(F.col("target").alias("id"), "s.score", F.lit(hop).alias("hop"), "s.matched_markers", "s.discovery")
         found = found.unionByName(last)
     return found
