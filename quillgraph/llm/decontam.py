@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.fmindex import FMIndex
+from quillgraph.llm.tables import whole_row
 from quillgraph.llm.textops import ALNUM_WORD, CHUNK_BYTES, known_ids, slices, words_of
 
 WINDOW = 13
@@ -198,7 +199,7 @@ def contaminated(name: str = "_hits") -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with the columns of docs."""
-    return with_hits(docs, benchmark).where(~contaminated()).select(*docs.columns)
+    return with_hits(docs.select(whole_row(docs).alias("_row"), "text"), benchmark).where(~contaminated()).select("_row.*")
 
 
 def op6_benchmark_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

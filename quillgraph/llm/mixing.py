@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.tables import whole_row
+
 OTHER = "other"
 SWEEPS = 25
 BUDGET = 0.8
@@ -102,7 +104,9 @@ def op7_ipf_mixing(docs: DataFrame) -> DataFrame:
 
 def sampled(docs: DataFrame, targets: Targets | None = None, seed: int = 7) -> DataFrame:
     """The sampled rows, with the columns of docs and ``mix_probability``."""
-    return mixed(docs, targets, seed=seed).where("_kept").select(*[F.col(c) for c in docs.columns if c != "mix_probability"], F.col("_probability").alias("mix_probability"))
+    packed = docs.select(whole_row(docs).alias("_row"), "doc_id", "text", "source", "lang")
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c != "mix_probability"]
+    return mixed(packed, targets, seed=seed).where("_kept").select(*kept, F.col("_probability").alias("mix_probability"))
 
 
 def _oracle(sweeps: int = SWEEPS) -> str:

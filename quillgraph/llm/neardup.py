@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.components import components
-from quillgraph.llm.tables import stored, text_key
+from quillgraph.llm.tables import stored, text_key, whole_row
 from quillgraph.llm.textops import CHUNK_BYTES, mix64, slices, window_hashes, windows_within, words_of
 
 SHINGLE = 5
@@ -285,9 +285,7 @@ def op9_order_minhash(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each class, the one of least doc_id, and every row whose text is null."""
-    names = docs.columns
     chosen = classes(docs).where("chosen").select("key")
-    row = F.struct(*[F.col(c) for c in names])
-    one = docs.where("text IS NOT NULL").groupBy(text_key().alias("_key")).agg(F.min_by(row, F.coalesce("doc_id", F.lit(2**63 - 1))).alias("_row"))
+    one = docs.where("text IS NOT NULL").groupBy(text_key().alias("_key")).agg(F.min_by(whole_row(docs), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("_row"))
     kept = one.join(chosen, F.col("_key") == F.col("key"), "left_semi").select("_row.*")
     return kept.unionByName(docs.where("text IS NULL"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.tables import stored
+from quillgraph.llm.tables import stored, whole_row
 from quillgraph.llm.textops import CHUNK_BYTES, NOT_NEWLINE, SPACED_WORD, Words, byte_table, known_ids, mix64, runs, slices, span_hashes, sums, window_hashes, windows_within, words_of
 
 MIN_WORDS = 50
@@ -254,8 +254,8 @@ def kept(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose text passes, with the columns of docs only. The counts are
     taken twice, once to learn and once to judge, so no join on ids that may repeat is needed."""
     accuracies = learn(docs.select(counts("text").alias("_counts")))
-    marked = docs.withColumn("_counts", counts("text"))
-    return marked.where(~base_failed() & (posterior(accuracies) >= threshold)).select(*docs.columns)
+    marked = docs.select(whole_row(docs).alias("_row"), counts("text").alias("_counts"))
+    return marked.where(~base_failed() & (posterior(accuracies) >= threshold)).select("_row.*")
 
 
 def op1_quality_rules(docs: DataFrame) -> DataFrame:

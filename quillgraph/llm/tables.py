@@ -38,6 +38,18 @@ def per_block(function, texts: pa.Array, limit: int) -> Iterator[pa.Array]:
         yield function(part)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that columns added beside it can't clash with any of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def text_key(text: str | Column = "text") -> Column:
     """A 128-bit key of the whole text, the same for byte-equal texts; null for null."""
     return F.unhex(F.md5(F.col(text) if isinstance(text, str) else text))
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes what ``stored`` has written for this application; results that read it must be written by then."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quillgraph/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -17,7 +17,7 @@ from conftest import SMALL
 from quillgraph.llm import components as cc
 from quillgraph.llm import decontam, fmindex, lm, mixing, neardup, pii, quality, queries, substring, tables, tokencount, urlfilter, warc
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, id string, n string"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, _row string, _counts string, _kept string, _hits string, _topic string"
 HARD = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 3), (4, "one", "en", "s", 3), (4, "one", "en", "s", 3), (None, "two words", "en", "s", 9), (5, "x" * 300_000, "xx", "s", 1), (6, "a b c d e " * 20_000, "en", None, 1), (7, "a b c d e " * 20_000, "en", None, 1)]
 
 
@@ -33,7 +33,7 @@ def texts(documents):
 
 @pytest.fixture(scope="module")
 def hard(spark):
-    return spark.createDataFrame([(*r, "clash", "clash", "clash") for r in HARD], DOCS)
+    return spark.createDataFrame([(*r, *["clash"] * 6) for r in HARD], DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -290,7 +290,7 @@ def test_decontamination_in_blocks(spark, documents):
 
 def test_decontamination_hard(spark, hard, none):
     bench = spark.createDataFrame([(1, "ONE"), (1, "one"), (None, "two"), (3, None), (4, "..."), (5, " ".join(f"w{i}" for i in range(14)))], "item_id bigint, text string")
-    extra = hard.unionByName(spark.createDataFrame([(9, " ".join(f"W{i}," for i in range(1, 14)), "", "", 1, "", "", "")], DOCS))
+    extra = hard.unionByName(spark.createDataFrame([(9, " ".join(f"W{i}," for i in range(1, 14)), "", "", 1, *[""] * 6)], DOCS))
     found = {(r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.op6_benchmark_decontamination(extra, bench).collect()}
     assert {(4, 1, 1, True), (None, 1, 0, True), (1, 0, 0, False), (9, 13, 1, True), (6, 0, 0, False)} <= found
     assert decontam.op6_benchmark_decontamination(none, bench).isEmpty()
@@ -316,7 +316,7 @@ def test_raking_reaches_its_marginals():
 
 
 def test_rare_values_do_not_thin_out_the_rest(spark):
-    docs = spark.createDataFrame([(d, "a b c d " * 20 if d else "a | b", "en", f"src{d % 20}", 1, "", "", "") for d in range(2000)], DOCS)
+    docs = spark.createDataFrame([(d, "a b c d " * 20 if d else "a | b", "en", f"src{d % 20}", 1, *[""] * 6) for d in range(2000)], DOCS)
     assert mixing.sampled(docs).count() > 1000
 
 
@@ -505,7 +505,9 @@ def test_pipeline_hard(spark, hard, none):
 
     for docs in (hard, none):
         for name, stage in cp.STAGES:
-            assert stage(spark, docs, SMALL).count() <= docs.count()
+            out = stage(spark, docs, SMALL)
+            assert out.columns[: len(docs.columns)] == docs.columns and out.where("_counts != 'clash' OR _kept != 'clash'").isEmpty()
+            assert out.count() <= docs.count()
 
 
 def test_queries_are_registered():

@@ -1,5 +1,6 @@
 """The vectorised text work against re and plain Python."""
 
+import os
 import re
 
 import numpy as np
@@ -54,3 +55,13 @@ def test_known_ids():
     v = np.array([3, 5, 9], np.uint64)
     assert tx.known_ids(v, np.array([9, 4, 3, 10], np.uint64)).tolist() == [3, 0, 1, 0]
     assert tx.known_ids(v[:0], v).tolist() == [0, 0, 0]
+
+
+def test_stored_tables_can_be_dropped(spark):
+    from quillgraph.llm import tables
+
+    df = tables.stored(spark.range(3).toDF("n"), "x")
+    place = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 3 and os.path.exists(place) and tables.shared_folder(spark) in place
+    tables.drop_stored(spark)
+    assert not os.path.exists(place)
