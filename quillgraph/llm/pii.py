@@ -43,12 +43,13 @@ _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AFTER_CUE = re.compile(r"(?:[ _-]?(?:number|no\.?|nr\.?|num|id|code|key|is|n°)(?![A-Za-z]))?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?")
-_VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_/+.-]{4,126}[A-Za-z0-9]")
+_VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_/+.-]{4,}[A-Za-z0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,9}")
 _KEY = re.compile(r"[A-Z0-9]{20}(?![A-Za-z0-9])")
 _NUMBER_LEFT = re.compile(r"[0-9]{1,5}[A-Za-z]? (?:[A-ZÄÖÜ][\w'-]{1,30} ){1,4}\Z")
 _NAMES_USER = re.compile(r"[?&](?:user|username|email|mail|login|phone|token|key)=|/~")
-_SPACE = " \t\n\r\v\f"
+_URL_END = re.compile(r"[ \t\n\r\v\f<>\"']|\Z")
+_HOST_END = re.compile(r"[/?#]|\Z")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -103,8 +104,9 @@ def iban(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
-def _account(text: str, begin: int, end: int) -> Span | None:
-    """The value after a cue at begin:end."""
+def _account(text: str, begin: int, end: int, seen: dict[str, int]) -> Span | None:
+    """The value after a cue at begin:end, to its end. Of a value that a cue before has been followed
+    by, which ends at seen["value"], the rest isn't looked at again: it is in that span, or has too few digits too."""
     if begin and (text[begin - 1].isalnum()) or text[end : end + 1].isalpha():
         return None
     at = _AFTER_CUE.match(text, end).end()
@@ -112,33 +114,43 @@ def _account(text: str, begin: int, end: int) -> Span | None:
         return None
     if (m := _IBAN.match(text, at)) and iban(m[0]):
         return m.span()
-    m = _VALUE.match(text, at)
-    return m.span() if m and sum(c.isdigit() for c in m[0]) >= 4 else None
+    if at < seen.get("value", 0) or (m := _VALUE.match(text, at)) is None:
+        return None
+    seen["value"] = m.end()
+    return m.span() if sum(c.isdigit() for c in m[0]) >= 4 else None
 
 
-def _street(text: str, begin: int, end: int) -> Span | None:
+def _street(text: str, begin: int, end: int, seen: dict[str, int]) -> Span | None:
     if text[end : end + 1].isalnum():
         return None
     left = _NUMBER_LEFT.search(text, max(0, begin - 160), begin)
     return (left.start(), end) if left else None
 
 
-def _url(text: str, begin: int) -> Span | None:
-    """A URL around its ``://`` that names a user; at most 2,048 characters are looked at."""
+def _url(text: str, begin: int, seen: dict[str, int]) -> Span | None:
+    """A URL around its ``://`` that names a user, to its end. URLs within one another end together, at
+    seen["url"]; where seen["named"] is that end too, the outer one has a user or no parameter names any."""
     start = begin
     while start and begin - start < 12 and text[start - 1].isascii() and text[start - 1].isalpha():
         start -= 1
-    end = begin + 3
-    while end < len(text) and end - begin < 2048 and text[end] not in _SPACE and text[end] not in "<>\"'":
-        end += 1
-    host = re.split(r"[/?#]", text[begin + 3 : end], maxsplit=1)[0]
-    return (start, end) if start < begin and ("@" in host or _NAMES_USER.search(text, begin, end)) else None
+    if start == begin:
+        return None
+    if begin >= seen.get("url", 0):
+        seen["url"] = _URL_END.search(text, begin + 3).start()
+    end = seen["url"]
+    if "@" in text[begin + 3 : _HOST_END.search(text, begin + 3, end).start()]:
+        return start, end
+    if seen.get("named") == end:
+        return None
+    seen["named"] = end
+    return (start, end) if _NAMES_USER.search(text, begin, end) else None
 
 
 def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by kind in the order of KINDS, then start."""
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
     free, phone_free = 0, 0
+    seen: dict[str, int] = {}
     for last, (kind, size) in automaton.iter(text):
         begin, end = last + 1 - size, last + 1
         if kind == "@":
@@ -153,7 +165,7 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
         elif kind == "key":
             if (m := _KEY.match(text, begin)) and not text[max(0, begin - 1) : begin].isalnum():
                 found["account"].append(m.span())
-        elif span := {"cue": _account, "street": _street}[kind](text, begin, end) if kind != "scheme" else _url(text, begin):
+        elif span := {"cue": _account, "street": _street}[kind](text, begin, end, seen) if kind != "scheme" else _url(text, begin, seen):
             found["account" if kind == "cue" else "address"].append(span)
     found["ip"] += _ips(text)
     found["card"] += _cards(text)
