@@ -4,17 +4,21 @@ neural model trained in numpy with noise-contrastive estimation.
 Counting: every task sums the hashes of its training tokens, Spark sums those; the
 counts are a table, however many distinct tokens there are.
 
-Model: the MODEL_WORDS most frequent tokens are outcomes of their own and all others one
-outcome, within which a token has its smoothed unigram share; so probabilities over all
-tokens sum to 1. An outcome w after tokens u, v has the score r_w . (a_u + b_v) + bias_w.
+Model: every token that occurs sqrt(N) / LEAST_PART times or more among the N training tokens
+(LEAST at least) is an outcome of its own and all rarer ones are one outcome, within which a
+token has its smoothed unigram share; so probabilities over all tokens sum to 1. The outcomes
+grow with the corpus. An outcome w after tokens u, v has the score r_w . (a_u + b_v) + bias_w.
+Beyond ONE_CLASS outcomes they are split into classes, about as many as each has outcomes;
+a class has a vector and a bias too, and an outcome's probability is that of its class
+among classes times its own among its class, both normalised exactly by matrix products.
 Every task trains the shared start on all its training tokens, minibatch by minibatch,
-telling observed tokens from NOISE drawn from the unigram distribution; Spark then averages
-the parameters, weighted by tokens, in as many numbers as the model has. The averaged
-model is normalised exactly: a matrix product over all pairs of context tokens gives their
-log partition sums.
+telling observed tokens from NOISE drawn from the unigram distribution for each GROUP of tokens; Spark
+then averages the rows that tasks have touched, weighted by touches, and the average is the
+start of the next of ROUNDS rounds. There are TASKS tasks for each core, whatever the corpus, so the rows
+to average don't grow with the number of files.
 
-Scoring: the most frequent tokens, HEAD_WORDS at most, are broadcast with their counts (a
-bound of 16 bytes each, whatever the corpus); rarer tokens of a text are joined to the table of counts.
+Scoring: the most frequent tokens, HEAD_WORDS or those that the model knows if they are more,
+are broadcast with their counts; rarer tokens of a text are joined to the table of counts.
 
 Defined results: null is read as empty text, which is one end token; a null doc_id has the
 remainder of an empty string, 0, and so is training; with no training tokens N and V are 0,
@@ -34,12 +38,15 @@ from pyspark.sql import functions as F
 from quillgraph.llm.tables import stored
 from quillgraph.llm.textops import SPACED_WORD, mix64, slices, words_of
 
-MODEL_WORDS = 511
+LEAST, LEAST_PART = 5, 100
+ONE_CLASS = 512
 HEAD_WORDS = 1 << 18
 WIDTH = 16
-NOISE = 24
+NOISE, GROUP = 24, 32
+ROUNDS, TASKS = 2, 2
 BATCH = 4096
 BLOCK = 4_000_000
+ROWS = 2048
 
 END = int(mix64(np.array([1], np.uint64), 101)[0])
 
@@ -65,9 +72,10 @@ def token_counts(texts: DataFrame) -> DataFrame:
 class Head:
     """The most frequent tokens: sorted hashes, their counts, and the outcome (0: none) of those that the model knows."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, model_words: int = MODEL_WORDS) -> None:
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, model_words: int | None = None, least: float = 0) -> None:
         known = np.lexsort((hashes, -counts))
-        known = np.concatenate([known[hashes[known] == np.uint64(END)], known[hashes[known] != np.uint64(END)]])[:model_words]
+        known = np.concatenate([known[hashes[known] == np.uint64(END)], known[hashes[known] != np.uint64(END)]])
+        known = known[(counts[known] >= least) | (hashes[known] == np.uint64(END))][:model_words]
         outcome = np.zeros(len(hashes), np.int32)
         outcome[known] = np.arange(1, len(known) + 1)
         order = np.argsort(hashes)
@@ -101,63 +109,117 @@ def sequence(texts: pa.Array, head: Head) -> tuple[np.ndarray, ...]:
     return hashes, place, outcome, one, two, bounds
 
 
+def _summed(index: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct indices and the sums of the rows of each."""
+    order = np.argsort(index)
+    ordered = index.take(order)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered.take(first), *[np.add.reduceat(x.take(order, axis=0), first, axis=0) for x in grads]
+
+
+def _log_softmax(q: np.ndarray, r: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log of the softmax of q . r + bias in each row at its place."""
+    scores = q @ r.T
+    scores += bias
+    if math.sqrt(float((q * q).sum(axis=1).max()) * float((r * r).sum(axis=1).max())) + float(np.abs(bias).max()) > 60:  # they may overflow, or vanish all
+        scores -= scores.max(axis=1, keepdims=True)
+    own = scores[np.arange(len(at)), at]
+    return own - np.log(np.exp(scores, out=scores).sum(axis=1))
+
+
 class Model:
-    """a, b: vectors of the last and the last but one context; r, bias: of the outcomes."""
+    """a, b: vectors of the last and the last but one context; r, bias: of the outcomes; class_r, class_bias: of the classes, which are ranges of outcomes."""
+
+    NAMES = ("a", "b", "r", "bias", "class_r", "class_bias")
 
-    def __init__(self, size: int, noise: np.ndarray, width: int = WIDTH) -> None:
+    def __init__(self, size: int, noise: np.ndarray, width: int = WIDTH, one_class: int = ONE_CLASS) -> None:
         rng = np.random.default_rng(12345)
         self.size, self.width = size, width
         self.noise = (noise + 0.5) / (noise + 0.5).sum()
+        self.bounds = np.linspace(0, size, (1 if size <= one_class else math.isqrt(size)) + 1).astype(np.int64)
+        self.class_of = np.repeat(np.arange(len(self.bounds) - 1, dtype=np.int32), np.diff(self.bounds))
+        self.class_noise = np.add.reduceat(self.noise, self.bounds[:-1])
         self.a, self.b = (rng.normal(0, 0.05, (size + 1, width)).astype(np.float32) for _ in range(2))
         self.r = rng.normal(0, 0.05, (size, width)).astype(np.float32)
         self.bias = np.log(self.noise).astype(np.float32)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.a, self.b, self.r, self.bias)])
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for name in ("a", "b", "r", "bias"):
-            own = getattr(self, name)
-            setattr(self, name, flat[at : at + own.size].reshape(own.shape).astype(np.float32))
-            at += own.size
+        self.class_r = rng.normal(0, 0.05, (len(self.class_noise), width)).astype(np.float32)
+        self.class_bias = np.log(self.class_noise).astype(np.float32)
+
+    def matrix(self) -> np.ndarray:
+        """A row of 3 * width + 1 numbers for each outcome, the start of text and each class."""
+        own = np.zeros((self.size + 1 + len(self.class_bias), 3 * self.width + 1), np.float32)
+        w, n = self.width, self.size
+        own[: n + 1, :w], own[: n + 1, w : 2 * w] = self.a, self.b
+        own[:n, 2 * w : 3 * w], own[:n, -1] = self.r, self.bias
+        own[n + 1 :, 2 * w : 3 * w], own[n + 1 :, -1] = self.class_r, self.class_bias
+        return own
+
+    def load(self, own: np.ndarray) -> None:
+        w, n = self.width, self.size
+        parts = own[: n + 1, :w], own[: n + 1, w : 2 * w], own[:n, 2 * w : 3 * w], own[:n, -1], own[n + 1 :, 2 * w : 3 * w], own[n + 1 :, -1]
+        for name, part in zip(self.NAMES, parts, strict=True):
+            setattr(self, name, part.astype(np.float32, order="C"))
 
     def train(self, outcome: np.ndarray, one: np.ndarray, two: np.ndarray, state: dict, rate: float = 0.08) -> None:
-        """One pass of noise-contrastive estimation with AdaGrad; noise is shared within a minibatch."""
+        """One pass of noise-contrastive estimation with AdaGrad; noise is shared within a group of tokens.
+        state["touched"] counts how often each row of the matrix has been used."""
         rng = state.setdefault("rng", np.random.default_rng(777))
-        sums = [state.setdefault(n, np.full_like(getattr(self, n), 1e-2)) for n in ("a", "b", "r", "bias")]
-        log_noise = np.log(self.noise * NOISE).astype(np.float32)
-
-        def scattered(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-            order = np.argsort(index.astype(np.int16), kind="stable")
-            ordered = index[order]
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            out = np.zeros((size, *rows.shape[1:]), np.float32)
-            out[ordered[first]] = np.add.reduceat(rows[order], first, axis=0)
-            return out
+        sums = {n: state.setdefault(n, np.full_like(getattr(self, n), 1e-2)) for n in self.NAMES}
+        touched = state.setdefault("touched", np.zeros(self.size + 1 + len(self.class_bias)))
+        levels = [("r", "bias", self.noise, 0)] + ([("class_r", "class_bias", self.class_noise, self.size + 1)] if len(self.class_bias) > 1 else [])
+        levels = [(vectors, bias, np.cumsum(noise), np.log(noise * NOISE).astype(np.float32), row) for vectors, bias, noise, row in levels]
+
+        def step(names: tuple[str, ...], index: np.ndarray, *grads: np.ndarray) -> None:
+            at, *summed = _summed(index, *grads)
+            for name, grad in zip(names, summed, strict=True):
+                own = getattr(self, name)
+                total = sums[name].take(at, axis=0) + grad * grad
+                sums[name][at] = total
+                own[at] = own.take(at, axis=0) - np.float32(rate) * grad / np.sqrt(total)
 
+        used: list[np.ndarray] = []
         for at in range(0, len(outcome), BATCH):
             w, u, v = outcome[at : at + BATCH], one[at : at + BATCH], two[at : at + BATCH]
-            drawn = np.searchsorted(np.cumsum(self.noise), rng.random(NOISE)).clip(0, self.size - 1)
-            q = self.a[u] + self.b[v]
-            rw = self.r[w]
-            seen = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", q, rw) + self.bias[w] - log_noise[w]))) - 1
-            rn = self.r[drawn]
-            false = 1 / (1 + np.exp(-(q @ rn.T + self.bias[drawn] - log_noise[drawn])))
-            dq = seen[:, None] * rw + false @ rn
-            dr = scattered(w, seen[:, None] * q, self.size)
-            np.add.at(dr, drawn, false.T @ q)
-            dbias = scattered(w, seen, self.size)
-            np.add.at(dbias, drawn, false.sum(axis=0))
-            scale = np.float32(1 / len(w))
-            for name, total, grad in zip(("a", "b", "r", "bias"), sums, (scattered(u, dq, self.size + 1), scattered(v, dq, self.size + 1), dr, dbias), strict=True):
-                grad *= scale
-                total += grad * grad
-                own = getattr(self, name)
-                own -= rate * grad / np.sqrt(total)
+            q = self.a.take(u, axis=0) + self.b.take(v, axis=0)
+            groups = -(-len(w) // GROUP)
+            padded = np.zeros((groups * GROUP, self.width), np.float32)
+            padded[: len(w)] = q
+            padded = padded.reshape(groups, GROUP, self.width)
+            real = (np.arange(groups * GROUP) < len(w)).reshape(groups, GROUP, 1)
+            dq = np.zeros_like(q)
+            steps = []
+            for vectors, bias, share, log_noise, row in levels:
+                own_r, own_bias = getattr(self, vectors), getattr(self, bias)
+                target = self.class_of[w] if row else w
+                drawn = np.searchsorted(share, rng.random((groups, NOISE))).clip(0, len(share) - 1).astype(np.int32)
+                rw, rn = own_r.take(target, axis=0), own_r.take(drawn, axis=0)
+                seen = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", q, rw) + own_bias[target] - log_noise[target]))) - 1
+                false = 1 / (1 + np.exp(-(padded @ rn.transpose(0, 2, 1) + (own_bias[drawn] - log_noise[drawn])[:, None, :]))) * real
+                dq += seen[:, None] * rw + (false @ rn).reshape(-1, self.width)[: len(w)]
+                index = np.concatenate([target, drawn.ravel()])
+                steps.append(((vectors, bias), index, np.concatenate([seen[:, None] * q, (false.transpose(0, 2, 1) @ padded).reshape(-1, self.width)]), np.concatenate([seen, false.sum(axis=1).ravel()])))
+                used.append(row + index)
+            for x in ((("a",), u, dq), (("b",), v, dq), *steps):
+                step(*x)
+        touched += np.bincount(np.concatenate([one, two, *used]), minlength=len(touched))
+
+    def log_p(self, outcome: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The natural log of the probability of each outcome after its contexts."""
+        out = np.empty(len(outcome), np.float32)
+        classes = self.class_of[outcome]
+        order = np.argsort(classes, kind="stable")
+        ends = np.searchsorted(classes[order], np.arange(len(self.bounds)))
+        for k, (lo, hi) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
+            for at in range(ends[k], ends[k + 1], ROWS):
+                own = order[at : min(at + ROWS, ends[k + 1])]
+                q = self.a.take(one[own], axis=0) + self.b.take(two[own], axis=0)
+                out[own] = _log_softmax(q, self.r[lo:hi], self.bias[lo:hi], outcome[own] - lo)
+                if len(self.class_bias) > 1:
+                    out[own] += _log_softmax(q, self.class_r, self.class_bias, classes[own])
+        return out
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of outcomes by each context, bias in the first, and the log partition sum of every pair of contexts."""
+        """For a model of one class: scores of outcomes by each context, bias in the first, and the log partition sum of every pair of contexts."""
         first, second = self.a @ self.r.T + self.bias, self.b @ self.r.T
         log_sum = np.empty((self.size + 1, self.size + 1), np.float32)
         for u in range(self.size + 1):
@@ -167,9 +229,9 @@ class Model:
         return first, second, log_sum
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The end token and the tokens of the most frequent classes of counts (a sixteenth of a
-    doubling wide) that are ``most`` tokens together at most. The classes are counted first,
+def most_frequent(counts: DataFrame, most: int, always: float = math.inf) -> DataFrame:
+    """The end token, the tokens that occur ``always`` times and the tokens of the most frequent classes of counts
+    (a sixteenth of a doubling wide) that are ``most`` tokens together at most. The classes are counted first,
     of which there are under 1,024, so no task sorts the tokens."""
     step = F.floor(16 * F.log2(F.col("c")))
     classes = counts.groupBy(step.alias("k")).agg(F.count("*").alias("n")).collect()
@@ -179,42 +241,50 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
         if room < 0:
             break
         least = row["k"]
-    return counts.where((step >= least) | (F.col("h") == np.array(END, np.uint64).view(np.int64).item()))
+    return counts.where((step >= least) | (F.col("c") >= always) | (F.col("h") == np.array(END, np.uint64).view(np.int64).item()))
 
 
-def learn(texts: DataFrame, counts: DataFrame, model_words: int = MODEL_WORDS, head_words: int = HEAD_WORDS) -> tuple[Head, Model]:
+def learn(texts: DataFrame, counts: DataFrame, model_words: int | None = None, head_words: int = HEAD_WORDS) -> tuple[Head, Model]:
     """The head of the counts and the model, trained on every text."""
     spark = texts.sparkSession
-    top = most_frequent(counts, head_words).toArrow()
-    head = Head(top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.float64), model_words)
     total = counts.agg(F.sum("c")).first()[0] or 0
+    least = max(LEAST, math.sqrt(total) / LEAST_PART)
+    top = most_frequent(counts, head_words, least if model_words is None else math.inf).toArrow()
+    head = Head(top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.float64), model_words, least if model_words is None else 0)
     noise = head.outcome_counts.copy()
     noise[0] = total - noise[1:].sum()
-    start = Model(head.size, noise)
-    small = Head(head.hashes[head.outcome > 0], head.counts[head.outcome > 0], model_words)
-    sent = spark.sparkContext.broadcast((small, start))
-
-    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, begin = sent.value
-        model = Model(begin.size, noise, begin.width)
-        model.load(begin.flat())
-        state: dict = {}
-        tokens = 0
-        for batch in batches:
-            for _, part in slices(batch.column(0), BLOCK):
-                _, _, outcome, one, two, _ = sequence(part, own)
-                model.train(outcome, one, two, state)
-                tokens += len(outcome)
-        if tokens:
-            flat = model.flat().astype(np.float64) * tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), float(tokens)))], names=["i", "x", "w"])
-
-    rows = texts.select("text").mapInArrow(trained, "i int, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
-    model = Model(start.size, noise, start.width)
-    if rows.num_rows:
-        flat = np.zeros(len(model.flat()))
-        flat[rows.column("i").to_numpy()] = rows.column("x").to_numpy()
-        model.load(flat)
+    model = Model(head.size, noise)
+    small = Head(head.hashes[head.outcome > 0], head.counts[head.outcome > 0])
+    names = [f"x{k}" for k in range(3 * model.width + 1)]
+    tasks = max(1, TASKS * spark.sparkContext.defaultParallelism)
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((small, noise, model.matrix()))
+
+        def trained(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own, noise, begin = sent.value
+            model = Model(own.size, noise)
+            model.load(begin)
+            state: dict = {}
+            for batch in batches:
+                for _, part in slices(batch.column(0), BLOCK):
+                    _, _, outcome, one, two, _ = sequence(part, own)
+                    model.train(outcome, one, two, state)
+            if "touched" in state:
+                weight, rows = state["touched"], model.matrix()
+                state.clear()
+                used = np.flatnonzero(weight)
+                for at in range(0, len(used), ROWS):
+                    i = used[at : at + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(weight[i]), *[pa.array(np.ascontiguousarray(x)) for x in rows[i].T]], names=["i", "w", *names])
+
+        rows = texts.select("text").coalesce(tasks).mapInArrow(trained, "i int, w double, " + ", ".join(f"{n} float" for n in names)).groupBy("i").agg(*[(F.sum(F.col(n) * F.col("w")) / F.sum("w")).cast("float").alias(n) for n in names]).toArrow()
+        if rows.num_rows:
+            matrix = model.matrix()
+            at = rows.column("i").to_numpy()
+            for k, n in enumerate(names):
+                matrix[at, k] = rows.column(n).to_numpy()
+            model.load(matrix)
+        sent.destroy()
     return head, model
 
 
@@ -224,11 +294,11 @@ SCORED = "struct<n_tokens:bigint,n_known:bigint,base:double,model:double,rare:ar
 def _scored(spark, head: Head, model: Model, text: str) -> Column:
     """For each text: tokens, those of the head, their sum of log10(c + 0.5), the model's log10 of
     the outcomes with log10(c + 0.5) of the head's other tokens, the rarer tokens, and how many tokens the model doesn't know."""
-    sent = spark.sparkContext.broadcast((head, *model.tables()))
+    sent = spark.sparkContext.broadcast((head, model))
 
     @F.arrow_udf(SCORED)
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own, first, second, log_sum = sent.value
+        own, model = sent.value
         weight = np.log10(own.counts + 0.5)
         for texts in batches:
             parts: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -236,7 +306,7 @@ def _scored(spark, head: Head, model: Model, text: str) -> Column:
                 hashes, place, outcome, one, two, bounds = sequence(part, own)
                 known = place >= 0
                 base = np.where(known, weight[np.maximum(place, 0)], 0.0) if len(weight) else np.zeros(len(place))
-                log_p = (first[one, outcome] + second[two, outcome] - log_sum[one, two]).astype(np.float64) / math.log(10)
+                log_p = model.log_p(outcome, one, two).astype(np.float64) / math.log(10)
                 log_p += np.where(outcome == 0, base, 0.0)
 
                 def by_text(x: np.ndarray, bounds: np.ndarray = bounds) -> np.ndarray:
@@ -254,7 +324,7 @@ def _scored(spark, head: Head, model: Model, text: str) -> Column:
     return score(F.col(text))
 
 
-def scores(docs: DataFrame, model_words: int = MODEL_WORDS, head_words: int = HEAD_WORDS) -> DataFrame:
+def scores(docs: DataFrame, model_words: int | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     own = docs.select("doc_id", "text", held_out().alias("held_out"))
     training = own.where("NOT held_out").select(F.coalesce("text", F.lit("")).alias("text"))

@@ -2,7 +2,9 @@
 
 import time
 
-from quillgraph.llm import pii
+import numpy as np
+
+from quillgraph.llm import lm, pii
 
 
 def found(text):
@@ -23,3 +25,20 @@ def test_long_runs_take_linear_time():
     for run in ("token_id1.", "token_ida.", "http://h/", "http://h?user=", "http://a@h/", "://"):
         found(run * (1_000_000 // len(run)))
     assert time.time() - began < 30
+
+
+def test_modelled_words_grow_and_every_probability_sums_to_one(spark):
+    sizes = []
+    for n in (40, 80):  # twice as many words, each ten times, in fixed pairs
+        texts = [(d, " ".join(f"{x}{d % n}n{k}" for k in range(20) for x in "ab")) for d in range(10 * n)]
+        docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+        head, model = lm.learn(docs, lm.token_counts(docs))
+        sizes.append(model.size)
+    assert sizes == [2 + 40 * 40, 2 + 80 * 40] and len(model.class_bias) > 1
+    every = np.arange(model.size, dtype=np.int32)
+    for u, v in ((1, model.size), (5, 700), (model.size, model.size)):
+        p = np.exp(model.log_p(every, np.full_like(every, u), np.full_like(every, v)).astype(np.float64))
+        assert abs(p.sum() - 1) < 1e-3
+    single = lm.Model(50, np.arange(50.0))
+    first, second, log_sum = single.tables()
+    assert np.allclose(single.log_p(every[:50], every[:50], every[:50][::-1]), (first[every[:50], every[:50]] + second[every[:50][::-1], every[:50]] - log_sum[every[:50], every[:50][::-1]]), atol=1e-5)
