@@ -13,10 +13,10 @@ pair lies further apart than that. Similarity is M / (a + b - M) for M matched i
 
 Byte-equal texts become one node first, however many copies there are. Within a key,
 nodes are compared with the one that meets most others, and not with each other. Of what
-that leaves in different classes, texts that share two keys or more with other classes
-are compared too, where an exact prefix filter over their rarest shingles lets them. So a
-link between classes is missed only where similar texts share one key or none (about 1 in
-17,000 at similarity 0.8, see README). Nothing but counts reaches the driver.
+that leaves in different classes, all texts that share a key with other classes are
+compared too, where an exact prefix filter over their rarest shingles lets them. So a
+link between classes is missed only where similar texts share no key (3 in a million at
+similarity 0.8, see README). Nothing but counts reaches the driver.
 
 Defined results: a null text is a class of its own; texts without words are linked only
 to byte-equal ones; repeated rows belong to one class; a class is named by its least doc_id.
@@ -264,7 +264,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: Sketch
     # and the texts that share keys with texts of other classes, by the rare shingles that similar ones must share
     mixed = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = mixed.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
-    left = mixed.join(several, "k", "left_semi").groupBy("id").agg(F.count("*").alias("keys"), F.max("root").alias("root")).where("keys > 1")
+    left = mixed.join(several, "k", "left_semi").groupBy("id").agg(F.max("root").alias("root"))
     left = stored(texts.join(left, "id").select("id", "root", labels_by("text").alias("labels")), "left")
     open_ = stored(_sharing_rare(left, similarity).join(pairs, ["a", "b"], "left_anti"), "open")
     if not open_.isEmpty():

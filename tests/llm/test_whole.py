@@ -3,8 +3,9 @@
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quillgraph.llm import lm, pii
+from quillgraph.llm import lm, neardup, pii
 
 
 def found(text):
@@ -27,6 +28,15 @@ def test_long_runs_take_linear_time():
     assert time.time() - began < 30
 
 
+def test_near_texts_of_one_key_are_linked_whatever_stands_for_it(spark):
+    near = " ".join(f"w{k}" for k in range(100))
+    texts = [(1, near), (2, near + " end"), (3, "other " * 50), (4, "others " * 50)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    keys = F.when(F.col("text").startswith("others"), F.array(F.lit(8), F.lit(9))).when(F.col("text").startswith("other"), F.array(F.lit(7), F.lit(8), F.lit(9))).otherwise(F.array(F.lit(7)))
+    found = neardup.classes(docs, sketched_by=lambda text: F.struct(F.lit(100).cast("bigint").alias("n"), keys.cast("array<bigint>").alias("keys")))
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_modelled_words_grow_and_every_probability_sums_to_one(spark):
     sizes = []
     for n in (40, 80):  # twice as many words, each ten times, in fixed pairs
