@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.neardup import SHINGLE, SIMILARITY, classes, labels_with, sketch_with
+from quillgraph.llm.neardup import SHINGLE, SIMILARITY, classes, labels_with, shingles_needed, sketch_with
 from quillgraph.llm.tables import stored, text_key
 from quillgraph.llm.textops import CHUNK_BYTES, mix64, slices, window_hashes, windows_within, words_of
 
@@ -224,7 +224,7 @@ def op10_paragraph_minhash(docs: DataFrame) -> DataFrame:
     whole = own.join(found.where("copies > 1").select("key", F.col("doc_id").alias("first"), "n_words"), "key").select(F.lit("copy").alias("kind"), "doc_id", F.lit(0).cast("bigint").alias("place"), F.col("n_words").alias("size"), F.col("first").alias("class_id"), (F.col("doc_id") != F.col("first")).alias("removed"))
 
     lines = paragraphs(docs)
-    clusters = classes(lines, SIMILARITY, bands, jaccard_of, shingles).where("class_size > 1").select("key", "class_id", "chosen", F.col("doc_id").alias("first"))
+    clusters = classes(lines, SIMILARITY, bands, jaccard_of, shingles, shingles_needed()).where("class_size > 1").select("key", "class_id", "chosen", F.col("doc_id").alias("first"))
     near = lines.select("doc_id", "place", F.length("text").alias("size"), text_key().alias("key")).join(clusters, "key")
     near = near.select(F.lit("paragraph").alias("kind"), "doc_id", F.col("place").cast("bigint").alias("place"), F.col("size").cast("bigint").alias("size"), "class_id", (~F.col("chosen") | (F.col("doc_id") != F.col("first"))).alias("removed"))
     return repeated.union(whole).union(near)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.textops import slices
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
+#: Used only where spark.checkpoint.dir is unset and everything runs on one machine, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 
@@ -20,7 +20,11 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder of spark.checkpoint.dir. Without it only a local master works: other machines wouldn't see the tables."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or LOCAL_SHARED
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -366,9 +366,27 @@ def test_markov_is_a_distribution():
 # 9
 
 
+def edits(a, b):
+    """Plain edit distance, a row of costs at a time."""
+    number = {w: k for k, w in enumerate({*a, *b})}
+    a, b = (np.array([number[w] for w in x], int) for x in (a, b))
+    places = np.arange(len(b) + 1)
+    row = places
+    for i, x in enumerate(a, 1):
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (b != x))])
+        row = np.minimum.accumulate(new - places) + places
+    return int(row[-1])
+
+
+def edit_similarity(a, b):
+    longer = max(len(a), len(b))
+    common = sum((collections.Counter(a) & collections.Counter(b)).values())
+    return 1 - edits(a, b) / longer if longer and common >= 0.8 * longer else 0
+
+
 def _pairs(texts, least=0.8):
-    own = {d: shingles(t) for d, t in texts.items()}
-    return [(a, b) for a in own for b in own if a < b and own[a] and len(own[a] & own[b]) >= least * len(own[a] | own[b])]
+    own = {d: words(t) for d, t in texts.items() if t}
+    return [(a, b) for a in own for b in own if a < b and edit_similarity(own[a], own[b]) >= least - 1e-9]
 
 
 def _near_copies(seed):
@@ -406,10 +424,48 @@ def test_near_duplicates_are_all_found(spark, seed):
     assert all(found[d] == top(d) for d in texts)
 
 
+def _edited(rng, text, n):
+    text = list(text)
+    for _ in range(n):
+        at, kind = rng.randrange(len(text) + 1), rng.randrange(4)
+        text[at : at + (kind != 0)] = [] if kind == 1 else [f"z{rng.randrange(10**9)}"]
+    return text
+
+
+@pytest.mark.parametrize("kind", ["few words", "many words"])
+def test_recall_by_edit_similarity(spark, kind):
+    """Pairs of random texts of 50 to 1,000 words at edit similarity 0.9 to 0.99."""
+    rng = random.Random(12)
+    texts, pairs = {}, []
+    for size in (50, 60, 120, 300, 1000):
+        for share in (0.01, 0.03, 0.06, 0.1):
+            for _ in range(15):
+                base = [f"w{rng.randrange(300 if kind == 'few words' else 10**6)}" for _ in range(size)]
+                d = len(texts)
+                texts[d], texts[d + 1] = base, _edited(rng, base, max(1, int(share * size)))
+                pairs.append((d, d + 1))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string").repartition(7)
+    found = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in neardup.op9_order_minhash(docs).collect()}
+    near = [(a, b) for a, b in pairs if edit_similarity(texts[a], texts[b]) >= 0.9]
+    assert len(near) > 250 and sum(found[a][0] == found[b][0] for a, b in near) >= 0.98 * len(near)
+    assert all(size <= 2 for _, size in found.values())
+
+
 def test_alignment():
-    a, b = (neardup.labelled_shingles(pa.array([t]))[0] for t in ("a b c d e f g h i j k l", "x a b c d e f g h i j k l"))
-    assert neardup.aligned(a, b) == 8 / 9 and neardup.aligned(a, a[::-1].copy()) < 0.2 and neardup.aligned(a[:0], a) == 0
-    assert neardup._longest_rise(np.array([3, 1, 2, 5, 4])) == 3
+    rng = random.Random(3)
+    for _ in range(3000):
+        kinds = rng.choice([2, 5, 60])
+        a = [rng.randrange(kinds) for _ in range(rng.randrange(25))]
+        b = _edited(rng, a, rng.randrange(6)) if a and rng.random() < 0.8 else [rng.randrange(kinds) for _ in range(rng.randrange(25))]
+        b = [x if isinstance(x, int) else 77 for x in b]
+        most, want = rng.randrange(1, 12), edits(a, b)
+        got = neardup.edit_distance(np.array(a, int), np.array(b, int), most)
+        assert got == want if want <= most else got > most
+    one, other = np.arange(10_000), np.arange(10_000)
+    other = np.delete(np.where(other % 10 == 3, -1, other), [5, 77])
+    assert neardup.aligned(one, other) == 1 - 1002 / 10_000
+    assert neardup.aligned(one, one[::-1].copy()) == 0 and neardup.aligned(one[:0], one) == 0 and neardup.aligned(one[:0], one[:0]) == 0
+    assert neardup.aligned(np.arange(4), np.arange(4)) == 1 and neardup.aligned(np.arange(4), np.arange(1, 5)) == 0 and neardup.aligned(np.arange(5), np.array([0, 1, 9, 3, 4])) == 0.8
 
 
 def test_near_duplicates_hard(spark, hard, none):
