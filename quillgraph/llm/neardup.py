@@ -16,9 +16,11 @@ Byte-equal texts become one node first, however many copies there are. Within a
 nodes are compared with the one that meets most others, and not with each other. Of what
 that leaves in different classes, all texts that share a key with other classes are
 compared too, where an exact prefix filter over their rarest words lets them: texts of
-similarity s have s * max(n, m) labelled words in common. So a link between classes is missed
-only where similar texts share no key: with edits spread evenly, at similarity 0.9 for about
-one pair in a thousand and at 0.8 for one in four (README has measured figures).
+similarity s have s * max(n, m) labelled words in common. Before that, the texts of a key whose
+classes differ are compared with one of its largest class, another one for each key, so that
+large groups of near copies have become one class. So a link between classes is missed
+only where similar texts share no key: with edits spread evenly, at similarity 0.95 for one pair
+in a million, at 0.9 for one in forty, fewer if edits stand together (README has measured figures).
 Nothing but counts reaches the driver.
 
 Defined results: a null text is a class of its own; texts without words are linked only
@@ -40,7 +42,7 @@ from quillgraph.llm.textops import CHUNK_BYTES, mix64, slices, window_hashes, wi
 
 SHINGLE = 5
 SIMILARITY = 0.8
-LENGTH, COUNT = 2, 36
+LENGTH, COUNT = 3, 48
 SHORT_LENGTH, SHORT_COUNT, SHORT = 1, 12, 24
 #: Texts that one task compares with the same other text before that one's rows are split.
 SPLIT = 2000
@@ -272,22 +274,33 @@ def _in_classes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("_a != _b").drop("_a", "_b")
 
 
-def _sharing_rare(left: DataFrame, similarity: float, needed: NeedOf) -> DataFrame:
-    """Pairs (a, b) of texts of different classes that can be that similar.
+def _of_several_classes(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """k, id and root of the texts of keys that texts of several classes have; largest: the class of the most texts
+    (in all) among those of the key, pivot: a text of it."""
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    rooted = shared.join(roots.withColumnRenamed("node", "id").join(sizes, "root"), "id", "left").select("k", "id", F.coalesce("root", "id").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    several = rooted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("size", "root", F.xxhash64("id", "k"), "id")).alias("top")).where("lo < hi")
+    return rooted.join(several.select("k", F.col("top.root").alias("largest"), F.col("top.id").alias("pivot")), "k").select("k", "id", "root", "largest", "pivot")
 
-    left: id, root, labels. Labels are put in one order, rare ones first. Two texts of n and m labels need
+
+def _sharing_rare(left: DataFrame, keys: DataFrame, similarity: float, needed: NeedOf) -> DataFrame:
+    """Pairs (a, b) of texts of different classes that share a key and can be that similar.
+
+    left: id, root, labels; keys: k, id. Labels are put in one order, rare ones first. Two texts of n and m labels need
     some in common, ``needed(n, m)``, which is at least similarity * n and at least similarity * m; so
     the first common label has that many but one after it in both, which leaves few places for it and, among many near
-    copies of one text, mostly labels that no other text has. Their sizes are similar too, so a label
-    is split by a logarithm of the size; a text meets its own part and both next to it. Exact: no pair of that similarity is lost."""
+    copies of one text, mostly labels that no other text has. Texts meet under a key and a label together, so neither a
+    passage nor a word that many share brings them together. Their sizes are similar too, so a meeting is split by
+    a logarithm of the size; a text goes to its own part and both next to it. Exact: no such pair of that similarity is lost."""
     each = left.select("id", "root", F.size("labels").alias("n"), F.explode("labels").alias("h"))
     known = each.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1")
     joined = each.join(known, "h")
     order = Window.partitionBy("id").orderBy("df", "h")
     placed = joined.withColumn("place", F.col("n") - F.count("*").over(Window.partitionBy("id")) + F.row_number().over(order) - 1)
     sized = placed.withColumn("g", F.floor(F.log(F.col("n")) / -np.log(similarity)).cast("int"))
-    first = stored(sized.where((F.col("lo") < F.col("hi")) & (F.col("n") - F.col("place") >= similarity * F.col("n") - 1e-9)).select("h", "g", "id", "root", "n", "place"), "rare")
-    # the class that most texts of a label are in needn't meet itself
+    rare = sized.where((F.col("lo") < F.col("hi")) & (F.col("n") - F.col("place") >= similarity * F.col("n") - 1e-9)).select("h", "g", "id", "root", "n", "place")
+    first = stored(rare.join(keys.select("k", "id"), "id").withColumn("h", F.xxhash64("k", "h")), "rare")
+    # the class that most texts of a meeting are in needn't meet itself
     main = first.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.col("count")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
     one = first.join(main, "h").where("root != main").select("h", F.explode(F.array(*[F.col("g") + k for k in (-1, 0, 1)])).alias("g"), F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("place").alias("px"))
     two = first.select("h", "g", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("place").alias("py"))
@@ -316,20 +329,22 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: Sketch
     ids = nodes.join(involved, "id", "left_semi").select("key", "id")
     texts = stored(keyed.groupBy("key").agg(F.first("text").alias("text")).join(ids, "key").select("id", "text"), "texts")
 
-    # each text with the one that it shares most keys with, then with the others that stand for its keys
+    # each text with the one that it shares most keys with
     most = pairs.groupBy("a").agg(F.max_by("b", F.col("keys") * 1_000_003 - F.col("b") % 1_000_003).alias("b"))
     links = _verified(most, texts, similar, similarity, "links")
     roots = components(links, "roots")
-    rest = stored(_in_classes(pairs.join(most, ["a", "b"], "left_anti").select("a", "b"), roots), "rest")
+    # then with the others that stand for its keys, and with a text of the largest class that each key has
+    rest = _in_classes(pairs.join(most, ["a", "b"], "left_anti").select("a", "b"), roots)
+    largest = _of_several_classes(shared, roots).where("root != largest").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    rest = stored(rest.union(largest.join(most, ["a", "b"], "left_anti")).distinct(), "rest")
     if not rest.isEmpty():
         links = links.union(_verified(rest, texts, similar, similarity, "links"))
         roots = components(links, "roots")
-    # and the texts that share keys with texts of other classes, by the rare shingles that similar ones must share
-    mixed = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    several = mixed.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
-    left = mixed.join(several, "k", "left_semi").groupBy("id").agg(F.max("root").alias("root"))
-    left = stored(texts.join(left, "id").select("id", "root", labels_by("text").alias("labels")), "left")
-    open_ = stored(_sharing_rare(left, similarity, needed or words_needed(similarity)).join(pairs, ["a", "b"], "left_anti"), "open")
+    done = pairs.select("a", "b").union(rest)
+    # and all texts that still share keys with texts of other classes, by the rare labels that similar ones must share
+    keys = stored(_of_several_classes(shared, roots).select("k", "id", "root"), "keys")
+    left = stored(texts.join(keys.groupBy("id").agg(F.max("root").alias("root")), "id").select("id", "root", labels_by("text").alias("labels")), "left")
+    open_ = stored(_sharing_rare(left, keys, similarity, needed or words_needed(similarity)).join(done, ["a", "b"], "left_anti"), "open")
     if not open_.isEmpty():
         links = links.union(_verified(open_, texts, similar, similarity, "links"))
         roots = components(links, "roots")
