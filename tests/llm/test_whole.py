@@ -52,3 +52,11 @@ def test_modelled_words_grow_and_every_probability_sums_to_one(spark):
     single = lm.Model(50, np.arange(50.0))
     first, second, log_sum = single.tables()
     assert np.allclose(single.log_p(every[:50], every[:50], every[:50][::-1]), (first[every[:50], every[:50]] + second[every[:50][::-1], every[:50]] - log_sum[every[:50], every[:50][::-1]]), atol=1e-5)
+
+
+def test_model_beats_the_base_whatever_the_layout(spark):
+    """Held-out texts of 10,000 documents, in one file and in 32."""
+    docs = read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    for files in (1, 32):
+        row = lm.scores(docs.repartition(files, "doc_id")).where("held_out").agg(F.sum("score") - F.sum("base_score"), F.sum("n_tokens")).first()
+        assert row[0] >= 0.2 * row[1]
