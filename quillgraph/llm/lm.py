@@ -48,7 +48,7 @@ NOISE, GROUP = 24, 32
 ROUNDS, TASKS = 4, 1
 BATCH = 4096
 BLOCK = 4_000_000
-ROWS = 2048
+ROWS = 512
 #: Multiplications of a product that BLAS libraries do on one thread.
 ONE_THREAD = 1 << 18
 
@@ -122,26 +122,33 @@ def _summed(index: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """q @ r.T, piece by piece: small products stay on the thread that asks for them, while the BLAS library would deal a
+    """q @ r, piece by piece: small products stay on the thread that asks for them, while the BLAS library would deal a
     large one to threads of its own, which wait for the cores that other tasks use."""
     rows = max(1, ONE_THREAD // r.size)
-    out = np.empty((len(q), len(r)), q.dtype)
+    out = np.empty((len(q), r.shape[1]), q.dtype)
     whole = len(q) - len(q) % rows
     if whole:
-        np.matmul(q[:whole].reshape(-1, rows, q.shape[1]), r.T, out=out[:whole].reshape(-1, rows, len(r)))
+        np.matmul(q[:whole].reshape(-1, rows, q.shape[1]), r, out=out[:whole].reshape(-1, rows, r.shape[1]))
     if whole < len(q):
-        np.matmul(q[whole:], r.T, out=out[whole:])
+        np.matmul(q[whole:], r, out=out[whole:])
     return out
 
 
-def _log_softmax(q: np.ndarray, r: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log of the softmax of q . r + bias in each row at its place."""
-    scores = _products(q, r)
-    scores += bias
-    if math.sqrt(float((q * q).sum(axis=1).max()) * float((r * r).sum(axis=1).max())) + float(np.abs(bias).max()) > 60:  # they may overflow, or vanish all
-        scores -= scores.max(axis=1, keepdims=True)
-    own = scores[np.arange(len(at)), at]
-    return own - np.log(np.exp(scores, out=scores).sum(axis=1))
+class _Softmax:
+    """Logarithms of the softmax over outcomes of q . r + bias; powers of two are quicker than those of e."""
+
+    def __init__(self, r: np.ndarray, bias: np.ndarray) -> None:
+        self.weights = np.ascontiguousarray(np.concatenate([r.T, bias[None, :]]) * np.float32(math.log2(math.e)))
+        self.ones = np.ones(len(bias), np.float32)
+        self.longest, self.bias = float((r * r).sum(axis=1).max()), float(np.abs(bias).max())
+
+    def log_p(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """for each row of q (its last column is 1) the log at its place."""
+        scores = _products(q, self.weights)
+        if math.sqrt(float((q * q).sum(axis=1).max()) * self.longest) + self.bias > 60:  # they may overflow, or vanish all
+            scores -= scores.max(axis=1, keepdims=True)
+        own = scores[np.arange(len(at)), at]
+        return (own - np.log2(np.exp2(scores, out=scores) @ self.ones)) * np.float32(math.log(2))
 
 
 class Model:
@@ -226,13 +233,18 @@ class Model:
         classes = self.class_of[outcome]
         order = np.argsort(classes, kind="stable")
         ends = np.searchsorted(classes[order], np.arange(len(self.bounds)))
+        among_classes = _Softmax(self.class_r, self.class_bias) if len(self.class_bias) > 1 else None
+        q = np.ones((ROWS, self.width + 1), np.float32)
         for k, (lo, hi) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
+            if ends[k] == ends[k + 1]:
+                continue
+            within = _Softmax(self.r[lo:hi], self.bias[lo:hi])
             for at in range(ends[k], ends[k + 1], ROWS):
                 own = order[at : min(at + ROWS, ends[k + 1])]
-                q = self.a.take(one[own], axis=0) + self.b.take(two[own], axis=0)
-                out[own] = _log_softmax(q, self.r[lo:hi], self.bias[lo:hi], outcome[own] - lo)
-                if len(self.class_bias) > 1:
-                    out[own] += _log_softmax(q, self.class_r, self.class_bias, classes[own])
+                np.add(self.a.take(one[own], axis=0), self.b.take(two[own], axis=0), out=q[: len(own), : self.width])
+                out[own] = within.log_p(q[: len(own)], outcome[own] - lo)
+                if among_classes is not None:
+                    out[own] += among_classes.log_p(q[: len(own)], classes[own])
         return out
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
