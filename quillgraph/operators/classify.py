@@ -89,13 +89,8 @@ def arbitrated(candidates: Column) -> Column:
 
 def normalized_markers(markers: str, vocabulary: Vocabulary) -> Column:
     """Values by their slugs: aliases as canonical values, allowed spellings kept, empty ones dropped."""
-    pairs = {}
-    for name in {*vocabulary.markers, *vocabulary.aliases}:
-        for value in vocabulary.markers.get(name, []):
-            pairs[f"{name}\x00{vocabulary.forms(name, value)[0]}"] = value
-        for form, value in vocabulary.alias_index(name).items():
-            pairs[f"{name}\x00{form}"] = vocabulary.normalize(name, value)
-    table = F.create_map(*[F.lit(x) for pair in sorted(pairs.items()) for x in pair]) if pairs else None
+    rows = sorted((f"{name}\x00{form}", value) for (name, form), value in vocabulary.canonical.items())
+    table = F.create_map(*[F.lit(x) for row in rows for x in row]) if rows else None
 
     def one(name: Column, value: Column) -> Column:
         return F.coalesce(table[F.concat(name, F.lit("\x00"), slugify(value))], slugify(value)) if table is not None else slugify(value)
@@ -170,9 +165,5 @@ def arbitration_requests(classified: DataFrame, vocabulary: Vocabulary | None =
 def inferred_marker(text: Column, name: str, vocabulary: Vocabulary) -> Column:
     """The first value, then the first alias, whose slug stands in the text's slug between hyphens."""
     hay = F.concat(F.lit("-"), slugify(text), F.lit("-"))
-    index = vocabulary.alias_index(name)
-    out = None
-    for form, value in [*[(vocabulary.forms(name, v)[0], v) for v in vocabulary.markers.get(name, [])], *index.items()]:
-        test = hay.contains(f"-{form}-")
-        out = F.when(test, F.lit(value)) if out is None else out.when(test, F.lit(value))
-    return out if out is not None else F.lit(None).cast("string")
+    values = [F.when(hay.contains(f"-{form}-"), F.lit(value)) for form, value in vocabulary.looked_for(name)]
+    return F.coalesce(*values, F.lit(None).cast("string"))

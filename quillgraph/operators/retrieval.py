@@ -51,17 +51,17 @@ class Query:
 
     @property
     def hops(self) -> int:
-        cap = self.intent.hop_cap if self.intent else None
+        cap = self.intent.setting("hop_cap") if self.intent else None
         return max(0, self.max_hops if self.max_hops is not None else cap if cap is not None else 1)
 
     @property
     def penalty(self) -> float:
-        own = self.intent.hop_penalty if self.intent else None
+        own = self.intent.setting("hop_penalty") if self.intent else None
         return self.hop_penalty if self.hop_penalty is not None else own if own is not None else HOP_PENALTY
 
     @property
     def archived(self) -> bool:
-        own = self.intent.include_archived if self.intent else None
+        own = self.intent.setting("include_archived") if self.intent else None
         return bool(self.include_archived if self.include_archived is not None else own)
 
 
@@ -75,7 +75,8 @@ def factors(query: Query, as_of: str, markers: str = "markers", record_tokens: s
     matched = F.array_compact(F.array(*[F.when(e, F.lit(n)) for n, e in equal.items()])) if equal else F.array().cast("array<string>")
     exactness = sum((F.when(e, weights[n]).otherwise(0.0) for n, e in equal.items()), F.lit(0.0)) / total
     if query.intent is not None and equal:
-        boost = {n: float(query.intent.marker_weights.get(n, 1.0)) for n in equal}
+        weights = query.intent.table("marker")
+        boost = {n: float(weights.get(n, 1.0)) for n in equal}
         exactness = exactness * F.coalesce(F.try_divide(sum((F.when(e, boost[n]).otherwise(0.0) for n, e in equal.items()), F.lit(0.0)), F.size(matched)), F.lit(1.0))
     shared = F.array_intersect(words(*query.tokens), F.coalesce(F.col(record_tokens), F.array().cast("array<string>"))) if query.tokens else F.array().cast("array<string>")
     overlap = F.size(shared) / float(max(len(query.tokens), 1))
@@ -83,7 +84,7 @@ def factors(query: Query, as_of: str, markers: str = "markers", record_tokens: s
     recent = recency(F.col(stamp), as_of)
     raw = exactness * WEIGHTS["markers"] + overlap * WEIGHTS["tokens"] + severity * WEIGHTS["severity"] + status * WEIGHTS["status"] + recent * WEIGHTS["recency"]
     if query.intent is not None:
-        raw = raw * query.intent.bias(query.intent.type_boost, scalar(m, "type")) * query.intent.bias(query.intent.status_bias, scalar(m, "status")) * query.intent.freshness
+        raw = raw * query.intent.weight("type", scalar(m, "type")) * query.intent.weight("status", scalar(m, "status")) * float(query.intent.setting("freshness", 1.0))
     raw = rounded(raw)
     score = rounded(raw * freshness(scalar(m, "type"), F.col(stamp), as_of, query.half_lives))
     return F.struct(matched.alias("matched_markers"), shared.alias("matched_tokens"), exactness.alias("exactness"), overlap.alias("token_overlap"), severity.alias("severity"), status.alias("status"), recent.alias("recency"), raw.alias("raw"), score.alias("score"))
@@ -116,7 +117,7 @@ def ranked(records: DataFrame, query: Query, as_of: str, ordinal: str = "ingest_
     last = found
     relations = explicit_relations(own)
     if query.intent is not None:
-        relations = relations.where(query.intent.allows(F.col("type")))
+        relations = relations.where(query.intent.follows(F.col("type")))
     for hop in range(1, query.hops + 1):
         step = last.select(F.col("id").alias("source"), F.col("score").alias("from_score"), "discovery").join(relations, "source").join(found.select(F.col("id").alias("target")), "target", "left_anti")
         step = step.join(own.select(F.col("id").alias("target"), F.col("f.score").alias("own"), F.col("f.matched_markers").alias("matched_markers")), "target")

@@ -230,8 +230,8 @@ def _score_sql(mode: str | None = None) -> str:
     exact = f"({n}) / {float(len(equal))}"
     boost = "1.0::DOUBLE"
     if intent:
-        exact += f" * CASE WHEN {n} = 0 THEN 1.0 ELSE ({' + '.join(f'{e} * {intent.marker_weights.get(m, 1.0)}' for m, e in equal.items())}) / ({n}) END"
-        boost = f"({_cases('type', intent.type_boost)})::DOUBLE * ({_cases('status', intent.status_bias)})::DOUBLE * {intent.freshness}"
+        exact += f" * CASE WHEN {n} = 0 THEN 1.0 ELSE ({' + '.join(f'{e} * {intent.table('marker').get(m, 1.0)}' for m, e in equal.items())}) / ({n}) END"
+        boost = f"({_cases('type', intent.table('type'))})::DOUBLE * ({_cases('status', intent.table('status'))})::DOUBLE * {intent.setting('freshness')}"
     tokens = f"len(list_intersect(tokens, {vw._sql_list(asked.tokens)}))"
     base = f"{exact} * 0.45::DOUBLE + {tokens} / {float(len(asked.tokens))}::DOUBLE * 0.2 + {_cases('severity', rt.SEVERITY, 0.0)}::DOUBLE * 0.15 + {_cases('status', rt.STATUS, rt.OTHER_STATUS)}::DOUBLE * 0.1 + exp(-{_AGE} / 30.0) * 0.1"
     half = "CASE type WHEN 'rule' THEN 365 WHEN 'decision' THEN 180 WHEN 'architecture' THEN 180 ELSE 900 END"

@@ -92,6 +92,8 @@ def test_merged_vocabulary():
 
 def test_intents():
     assert resolve() is None
-    assert resolve("debug", {"hop_cap": 5}).hop_cap == 5 and PRESETS["debug"].hop_cap == 2
+    assert resolve("debug", {"set": {"hop_cap": 5}}).setting("hop_cap") == 5 and PRESETS["debug"].setting("hop_cap") == 2
+    own = resolve("debug", {"set": {"hop_cap": 5}, "type": {"rule": 2.0}})
+    assert own.setting("freshness") == 1.5 and own.table("type") == {"rule": 2.0} and list(own.table("relation")) == ["might_affect", "same_pattern_as"]
     with pytest.raises(ValueError):
         resolve("nope")
