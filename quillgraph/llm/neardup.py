@@ -309,11 +309,17 @@ def _sharing_rare(left: DataFrame, keys: DataFrame, similarity: float, needed: N
     return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: SketchOf = sketch, similar: SimilarityOf = similarity_of, labels_by: SketchOf = labels_of, needed: NeedOf | None = None) -> DataFrame:
+def of_nodes(keyed: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (doc_id, text, key) that stand for the nodes of ids (key, id, least: a doc_id), one for each."""
+    own = keyed.join(ids, (keyed.key == ids.key) & keyed.doc_id.eqNullSafe(ids.least)).drop(keyed.key)
+    return own.dropDuplicates(["id"])
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: SketchOf = sketch, similar: SimilarityOf = similarity_of, labels_by: SketchOf = labels_of, needed: NeedOf | None = None, keyed: bool = False) -> DataFrame:
     """Classes of texts under a sketch, whose equal keys make candidates, and a similarity, which
-    verifies them; labels_by gives distinct labels, of which texts that similar have ``needed`` in common. A row for each distinct text that isn't null: key, id, doc_id (its least), copies,
+    verifies them; labels_by gives distinct labels, of which texts that similar have ``needed`` in common; keyed: docs has text_key as ``key``. A row for each distinct text that isn't null: key, id, doc_id (its least), copies,
     root (an id), class_id (the least doc_id of the class), class_size, chosen (true for one text of each class)."""
-    keyed = docs.where("text IS NOT NULL").select("doc_id", "text", text_key().alias("key"))
+    keyed = docs.where("text IS NOT NULL").select("doc_id", "text", (F.col("key") if keyed else text_key()).alias("key"))
     sketched = keyed.select("doc_id", "key", sketched_by("text").alias("s"))
     nodes = sketched.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("s.n").alias("n"), F.first("s.keys").alias("keys"))
     nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
@@ -326,8 +332,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: Sketch
     pivots = shared.join(met, "id").groupBy("k").agg(F.max_by("id", F.least("met", F.lit(2**40)) * 2**20 + F.col("id") % 2**20).alias("b"))
     pairs = stored(shared.join(pivots, "k").where("id != b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("keys")), "pairs")
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = nodes.join(involved, "id", "left_semi").select("key", "id")
-    texts = stored(keyed.groupBy("key").agg(F.first("text").alias("text")).join(ids, "key").select("id", "text"), "texts")
+    ids = stored(nodes.join(involved, "id", "left_semi").select("key", "id", F.col("doc_id").alias("least")), "ids")
+    texts = stored(of_nodes(keyed, ids).select("id", "text"), "texts")
 
     # each text with the one that it shares most keys with
     most = pairs.groupBy("a").agg(F.max_by("b", F.col("keys") * 1_000_003 - F.col("b") % 1_000_003).alias("b"))

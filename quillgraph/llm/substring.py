@@ -13,7 +13,8 @@ inside different lines is found too. Each sliding paragraph has one MinHash, the
 hash of its 16-word shingles; neighbours mostly share it, so only those minima travel.
 Where a minimum stands in several texts, the sliding paragraphs around it are compared
 whole, by the hash of all their words. Every repeat of MIN_WORDS words or more is found.
-Overlapping repeats of a text merge to spans; the text of least number that has a passage keeps it.
+Overlapping repeats of a text that one other text keeps merge to spans, and spans of different keepers may
+overlap; the text of least number that has a passage keeps it.
 
 A text that occurs several times is one text here; its further copies are removed whole.
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.neardup import SHINGLE, SIMILARITY, classes, labels_with, shingles_needed, sketch_with
+from quillgraph.llm.neardup import SHINGLE, SIMILARITY, classes, labels_with, of_nodes, shingles_needed, sketch_with
 from quillgraph.llm.tables import stored, text_key
 from quillgraph.llm.textops import CHUNK_BYTES, mix64, slices, window_hashes, windows_within, words_of
 
@@ -138,15 +139,16 @@ def anchors(text: str = "text", width: int = MIN_WORDS) -> Column:
 
 
 def sliding(text: str = "text", places: str = "places", width: int = MIN_WORDS) -> Column:
-    """(start, hash) of the whole sliding paragraphs that hold the 16-word shingle at one of the places."""
+    """(start, hash, other) of the whole sliding paragraphs that hold the 16-word shingle at one of the places:
+    two hashes of all their words, 128 bits together."""
     back = width - ANCHOR
 
-    @F.arrow_udf("array<struct<start:int,hash:bigint>>")
+    @F.arrow_udf("array<struct<start:int,hash:bigint,other:bigint>>")
     def paragraphs_of(texts: pa.Array, wanted: pa.Array) -> pa.Array:
-        starts_out, hashes_out, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], []
+        starts_out, hashes_out, others_out, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
         for at, part in slices(texts, CHUNK_BYTES):
             _, _, words = words_of(part)
-            whole = window_hashes(words.hashes, width)
+            whole, other = window_hashes(words.hashes, width), window_hashes(mix64(words.hashes, 43), width)
             for k, near in enumerate(wanted.slice(at, len(part)).to_pylist()):
                 first, n = int(words.bounds[k]), int(words.counts[k])
                 mark = np.zeros(n + 1, np.int64)
@@ -156,31 +158,33 @@ def sliding(text: str = "text", places: str = "places", width: int = MIN_WORDS)
                 own = np.flatnonzero(np.cumsum(mark)[: max(0, n - width + 1)] > 0)
                 starts_out.append(own.astype(np.int32))
                 hashes_out.append(whole[first + own])
+                others_out.append(other[first + own])
                 sizes.append(len(own))
-        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(starts_out)), pa.array(np.concatenate(hashes_out).view(np.int64))], names=["start", "hash"])
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(starts_out)), *[pa.array(np.concatenate(x).view(np.int64)) for x in (hashes_out, others_out)]], names=["start", "hash", "other"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pairs)
 
     return paragraphs_of(F.col(text), F.col(places))
 
 
 def _spans(windows: str = "windows", width: int = MIN_WORDS) -> Column:
-    """Merged spans of (start, keeper, removed) windows: those kept and those removed apart."""
+    """Merged spans of (start, keeper, removed) windows, those of each keeper apart."""
 
     @F.arrow_udf("array<struct<start:bigint,end:bigint,class_id:bigint,removed:boolean>>")
     def merge(rows: pa.Array) -> pa.Array:
-        out = []
-        for row in rows.to_pylist():
-            spans: list[dict] = []
-            for removed in (False, True):
-                last = None
-                for w in sorted((w for w in row if w["removed"] == removed), key=lambda w: w["start"]):
-                    if last is not None and w["start"] <= last["end"]:
-                        last["end"] = w["start"] + width
-                    else:
-                        last = {"start": w["start"], "end": w["start"] + width, "class_id": w["keeper"], "removed": removed}
-                        spans.append(last)
-            out.append(spans)
-        return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class_id", pa.int64()), ("removed", pa.bool_())])))
+        sizes = np.diff(rows.offsets.to_numpy())
+        flat = rows.flatten()
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        start, keeper = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "keeper"))
+        removed = flat.field("removed").to_numpy(zero_copy_only=False).astype(bool)
+        order = np.lexsort((start, keeper, removed, owner))
+        owner, start, keeper, removed = owner[order], start[order], keeper[order], removed[order]
+        fresh = np.ones(len(owner), bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (keeper[1:] != keeper[:-1]) | (start[1:] > start[:-1] + width)
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(owner))[: len(first)] - 1
+        spans = pa.StructArray.from_arrays([pa.array(start[first]), pa.array(start[last] + width), pa.array(keeper[first]), pa.array(removed[first])], names=["start", "end", "class_id", "removed"])
+        offsets = np.searchsorted(owner[first], np.arange(len(rows) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), spans)
 
     return merge(F.col(windows))
 
@@ -195,11 +199,11 @@ def passages(docs: DataFrame, width: int = MIN_WORDS) -> DataFrame:
     minima = nodes.select("id", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("id", F.col("a.hashes").alias("h"), F.col("a.places").alias("place"))
     several = minima.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
     near = minima.join(several, "h", "left_semi").groupBy("id").agg(F.collect_list("place").alias("places"))
-    near = stored(near.join(nodes.select("id", "key"), "id"), "near")
-    texts = keyed.groupBy("key").agg(F.first("text").alias("text")).join(near, "key")
-    windows = stored(texts.select("id", F.explode(sliding("text", "places", width)).alias("w")).select("id", "w.start", "w.hash"), "windows")
-    shared = windows.groupBy("hash").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("hash", "keeper")
-    hit = windows.join(shared, "hash").groupBy("id").agg(F.collect_list(F.struct("start", "keeper", (F.col("id") != F.col("keeper")).alias("removed"))).alias("windows"))
+    near = stored(near.join(nodes.select("id", "key", F.col("doc_id").alias("least")), "id"), "near")
+    texts = of_nodes(keyed, near)
+    windows = stored(texts.select("id", F.explode(sliding("text", "places", width)).alias("w")).select("id", "w.start", "w.hash", "w.other"), "windows")
+    shared = windows.groupBy("hash", "other").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("hash", "other", "keeper")
+    hit = windows.join(shared, ["hash", "other"]).groupBy("id").agg(F.collect_list(F.struct("start", "keeper", (F.col("id") != F.col("keeper")).alias("removed"))).alias("windows"))
     spans = hit.select("id", _spans("windows", width).alias("spans"))
     return nodes.select("id", "key", "doc_id", "copies", "n_words").join(spans, "id", "left").where("spans IS NOT NULL OR copies > 1")
 
@@ -223,8 +227,8 @@ def op10_paragraph_minhash(docs: DataFrame) -> DataFrame:
     repeated = own.join(spans, "key").select("s.kind", "doc_id", "s.place", "s.size", "s.class_id", "s.removed")
     whole = own.join(found.where("copies > 1").select("key", F.col("doc_id").alias("first"), "n_words"), "key").select(F.lit("copy").alias("kind"), "doc_id", F.lit(0).cast("bigint").alias("place"), F.col("n_words").alias("size"), F.col("first").alias("class_id"), (F.col("doc_id") != F.col("first")).alias("removed"))
 
-    lines = paragraphs(docs)
-    clusters = classes(lines, SIMILARITY, bands, jaccard_of, shingles, shingles_needed()).where("class_size > 1").select("key", "class_id", "chosen", F.col("doc_id").alias("first"))
-    near = lines.select("doc_id", "place", F.length("text").alias("size"), text_key().alias("key")).join(clusters, "key")
+    lines = stored(paragraphs(docs).withColumn("key", text_key()), "lines")
+    clusters = classes(lines, SIMILARITY, bands, jaccard_of, shingles, shingles_needed(), keyed=True).where("class_size > 1").select("key", "class_id", "chosen", F.col("doc_id").alias("first"))
+    near = lines.select("doc_id", "place", F.length("text").alias("size"), "key").join(clusters, "key")
     near = near.select(F.lit("paragraph").alias("kind"), "doc_id", F.col("place").cast("bigint").alias("place"), F.col("size").cast("bigint").alias("size"), "class_id", (~F.col("chosen") | (F.col("doc_id") != F.col("first"))).alias("removed"))
     return repeated.union(whole).union(near)
