@@ -36,6 +36,7 @@ from quillgraph.llm.textops import CHUNK_BYTES, mix64, slices, window_hashes, wi
 MIN_WORDS = 51
 ROWS, BANDS = 4, 14
 ANCHOR = 16
+HOT, HOT_HASHES = 2000, 100_000
 
 
 def _distinct_shingles(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +190,18 @@ def _spans(windows: str = "windows", width: int = MIN_WORDS) -> Column:
     return merge(F.col(windows))
 
 
+def _with_keepers(windows: DataFrame, shared: DataFrame) -> DataFrame:
+    """windows with the keeper of their hash. Hashes of over HOT windows would each be one task's work, so they are broadcast;
+    there are at most windows / HOT of them. Where that is more than HOT_HASHES, Spark's own splitting of large partitions is left to do."""
+    keys = ["hash", "other"]
+    hot = shared.where(F.col("n") > HOT).drop("n")
+    if not 0 < hot.count() <= HOT_HASHES:
+        return windows.join(shared.drop("n"), keys)
+    marked = windows.join(F.broadcast(hot), keys, "left")
+    others = marked.where("keeper IS NULL").drop("keeper").join(shared.where(F.col("n") <= HOT).drop("n"), keys)
+    return marked.where("keeper IS NOT NULL").unionByName(others)
+
+
 def passages(docs: DataFrame, width: int = MIN_WORDS) -> DataFrame:
     """key, doc_id (the text's least), copies, n_words and spans of repeated passages, a row
     for each text that repeats one or is itself repeated."""
@@ -202,8 +215,8 @@ def passages(docs: DataFrame, width: int = MIN_WORDS) -> DataFrame:
     near = stored(near.join(nodes.select("id", "key", F.col("doc_id").alias("least")), "id"), "near")
     texts = of_nodes(keyed, near)
     windows = stored(texts.select("id", F.explode(sliding("text", "places", width)).alias("w")).select("id", "w.start", "w.hash", "w.other"), "windows")
-    shared = windows.groupBy("hash", "other").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("hash", "other", "keeper")
-    hit = windows.join(shared, ["hash", "other"]).groupBy("id").agg(F.collect_list(F.struct("start", "keeper", (F.col("id") != F.col("keeper")).alias("removed"))).alias("windows"))
+    shared = windows.groupBy("hash", "other").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.count("*").alias("n")).where("keeper < last")
+    hit = _with_keepers(windows, stored(shared.drop("last"), "shared")).groupBy("id").agg(F.collect_list(F.struct("start", "keeper", (F.col("id") != F.col("keeper")).alias("removed"))).alias("windows"))
     spans = hit.select("id", _spans("windows", width).alias("spans"))
     return nodes.select("id", "key", "doc_id", "copies", "n_words").join(spans, "id", "left").where("spans IS NOT NULL OR copies > 1")
 

@@ -32,7 +32,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     and, unlike a local checkpoint, outlives the executors that made it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
