@@ -292,7 +292,7 @@ def _sharing_rare(left: DataFrame, keys: DataFrame, similarity: float, needed: N
     copies of one text, mostly labels that no other text has. Texts meet under a key and a label together, so neither a
     passage nor a word that many share brings them together. Their sizes are similar too, so a meeting is split by
     a logarithm of the size; a text goes to its own part and both next to it. Exact: no such pair of that similarity is lost."""
-    each = left.select("id", "root", F.size("labels").alias("n"), F.explode("labels").alias("h"))
+    each = left.select("id", "root", F.size("labels").alias("n"), F.explode("labels").alias("h")).repartition("h")
     known = each.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1")
     joined = each.join(known, "h")
     order = Window.partitionBy("id").orderBy("df", "h")
@@ -324,7 +324,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: Sketch
     nodes = sketched.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("s.n").alias("n"), F.first("s.keys").alias("keys"))
     nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
-    members = nodes.select("id", "n", F.explode("keys").alias("k"))
+    # dealt by key once: the counts and the join both find them so
+    members = nodes.select("id", F.explode("keys").alias("k")).repartition("k")
     buckets = members.groupBy("k").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("c")).where("first < last").select("k", "c")
     shared = stored(members.join(buckets, "k"), "shared")  # only keys that several texts have
     # the text that meets most others stands for each key: of copies of one text, that text
