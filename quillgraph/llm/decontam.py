@@ -19,6 +19,7 @@ repeated items count once by item_id, and an item whose id is null hits but isn'
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ from quillgraph.llm.textops import ALNUM_WORD, CHUNK_BYTES, known_ids, slices, w
 
 WINDOW = 13
 BLOCK_WORDS = 500_000
+KEPT = 4
 HIT = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 
 
@@ -141,12 +143,25 @@ def _hit_array(rows: list[tuple[int, list[tuple[int, int]], list[str]]]) -> pa.A
     )
 
 
+_PREPARED: dict[tuple[str, int], Phrases] = {}
+
+
+def _prepared(sent, window: int) -> Phrases:
+    """The phrases of a broadcast, made once in a worker, which keeps those of the last few blocks for its next tasks."""
+    name, items = sent.value
+    if (name, window) not in _PREPARED:
+        while len(_PREPARED) >= KEPT:
+            _PREPARED.pop(next(iter(_PREPARED)))
+        _PREPARED[name, window] = Phrases(items, window)
+    return _PREPARED[name, window]
+
+
 def _finder(spark: SparkSession, items: list[tuple[str | None, str | None]], window: int) -> Callable[[str], Column]:
-    sent = spark.sparkContext.broadcast(items)
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
 
     @F.arrow_udf(HIT)
-    def hits(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:  # so the phrases are prepared once per task
-        phrases = Phrases(sent.value, window)
+    def hits(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        phrases = _prepared(sent, window)
         for texts in parts:
             yield _hit_array([row for _, part in slices(texts, CHUNK_BYTES) for row in find(phrases, part)])
 

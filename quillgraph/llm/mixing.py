@@ -2,7 +2,8 @@
 
 Tokens are summed by (source, language, topic) cell. Fitting starts with ``budget`` of each
 cell's tokens and rakes the cells in turn to the target shares of each marginal, never
-beyond the tokens that a cell has, until all hold or are as near as the tokens allow. A
+beyond the tokens that a cell has, until a sweep moves no cell by more than TOLERANCE of it, or for SWEEPS
+sweeps, which bound the work; ``residuals`` tells how far each marginal then is from its target. A
 cell's fitted tokens over its own are the probability with which its documents are
 sampled, so no document is taken twice, a value with too few tokens is kept whole, and the
 expected tokens have the target shares where there are enough. The draw is a hash of the
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.tables import whole_row
 
 OTHER = "other"
-SWEEPS = 25
+SWEEPS, TOLERANCE = 25, 1e-13
 BUDGET = 0.8
 
 
@@ -57,15 +58,27 @@ def fit(tokens: np.ndarray, targets: list[dict[str, float]], names: list[list[st
     fitted = tokens * budget
     total = fitted.sum()
     for _ in range(sweeps if total else 0):
+        before = fitted
         for axis, (target, own) in enumerate(zip(targets, names, strict=True)):
             others = tuple(k for k in range(fitted.ndim) if k != axis)
             have = fitted.sum(axis=others)
             want = np.array([target.get(n, 0.0) for n in own]) * (tokens.sum(axis=others) > 0)
             factor = np.divide(want / want.sum() * total, have, out=np.zeros_like(have), where=have > 0)
             fitted = np.minimum(tokens, fitted * factor.reshape([-1 if k == axis else 1 for k in range(fitted.ndim)]))
+        if (np.abs(fitted - before) <= TOLERANCE * before).all():
+            break
     return fitted
 
 
+def residuals(fitted: np.ndarray, targets: list[dict[str, float]], names: list[list[str]]) -> list[dict[str, float]]:
+    """For each axis, by value, the fitted share of tokens less the target share."""
+    out = []
+    for axis, (target, own) in enumerate(zip(targets, names, strict=True)):
+        have = fitted.sum(axis=tuple(k for k in range(fitted.ndim) if k != axis)) / max(fitted.sum(), 1e-300)
+        out.append({n: float(h - target.get(n, 0.0)) for n, h in zip(own, have, strict=True)})
+    return out
+
+
 def _named(column: str, target: dict[str, float]) -> Column:
     value = F.col(column).cast("string")
     return F.when(value.isin(sorted(set(target) - {OTHER})), value).otherwise(F.lit(OTHER))
@@ -96,8 +109,8 @@ def mixed(docs: DataFrame, targets: Targets | None = None, topic: Column | None
     return out.withColumn("_kept", draw(seed) < F.col("_probability"))
 
 
-def op7_ipf_mixing(docs: DataFrame) -> DataFrame:
-    return mixed(docs.select("doc_id", "text", "source", "lang")).select(
+def op7_ipf_mixing(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
+    return mixed(docs.select("doc_id", "text", "source", "lang"), targets).select(
         "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_probability", 9).alias("probability"), F.col("_kept").alias("kept")
     )
 

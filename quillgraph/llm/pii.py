@@ -1,9 +1,9 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick automaton finds at-signs, plus signs, schemes and identifier cues in a
+One Aho-Corasick automaton finds at-signs, plus signs, digits, schemes and identifier cues in a
 text; from each, a deterministic parser that only looks around the anchor expands the
-span and validates it. Digit groups are the anchors of network addresses and cards. Every
-parser is linear in the text, also on long runs of digits or at-signs, and positions
+span and validates it. A digit that no group before has reached begins one, of which network
+addresses and cards are made. Every parser is linear in the text, also on long runs of digits or at-signs, and positions
 are code points.
 
 Base kinds are email, ip, card and phone; ``account`` and ``address`` are added:
@@ -36,6 +36,7 @@ CUES = "account acct iban passport ssn password passwd pwd token api_key apikey
 KEY_PREFIXES = ("AKIA", "ASIA")
 STREETS = "Street Avenue Road Boulevard Lane Drive Square Court Straße Strasse Weg Platz".split()
 SCHEMES = ("://",)
+STREET_REACH = 160
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -46,6 +47,7 @@ _AFTER_CUE = re.compile(r"(?:[ _-]?(?:number|no\.?|nr\.?|num|id|code|key|is|n°)
 _VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_/+.-]{4,}[A-Za-z0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,9}")
 _KEY = re.compile(r"[A-Z0-9]{20}(?![A-Za-z0-9])")
+#: Of a house number and up to four words; the pattern is shorter than STREET_REACH, so nothing of it lies further left.
 _NUMBER_LEFT = re.compile(r"[0-9]{1,5}[A-Za-z]? (?:[A-ZÄÖÜ][\w'-]{1,30} ){1,4}\Z")
 _NAMES_USER = re.compile(r"[?&](?:user|username|email|mail|login|phone|token|key)=|/~")
 _URL_END = re.compile(r"[ \t\n\r\v\f<>\"']|\Z")
@@ -54,7 +56,7 @@ _HOST_END = re.compile(r"[/?#]|\Z")
 
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for kind, words in (("@", ("@",)), ("+", ("+",)), ("scheme", SCHEMES), ("key", KEY_PREFIXES), ("street", STREETS), ("cue", [v for c in CUES for v in {c, c.upper(), c.capitalize()}])):
+    for kind, words in (("@", ("@",)), ("+", ("+",)), ("digit", tuple("0123456789")), ("scheme", SCHEMES), ("key", KEY_PREFIXES), ("street", STREETS), ("cue", [v for c in CUES for v in {c, c.upper(), c.capitalize()}])):
         for w in words:
             found.add_word(w, (kind, len(w)))
     found.make_automaton()
@@ -72,17 +74,33 @@ def _email(text: str, at: int, free: int) -> Span | None:
     return (start, right.end()) if start < at else None
 
 
-def _ips(text: str) -> Iterator[Span]:
-    """Four digit groups joined by dots, group by group from the left of each chain."""
-    chain: list[tuple[int, int]] = []
-    for m in _DIGITS.finditer(text):
-        if chain and not (m.start() == chain[-1][1] + 1 and text[chain[-1][1]] == "."):
-            chain = []
-        chain.append(m.span())
-        if len(chain) == 4:
-            if all(len(p := text[a:b].lstrip("0")) < 4 and int(p or 0) < 256 for a, b in chain):
-                yield chain[0][0], chain[3][1]
-            chain = []
+class _Digits:
+    """Addresses and cards from the first digits of groups, in the order of the text."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.free, self.card_free = 0, 0
+        self.chain: list[Span] = []
+
+    def ip(self, begin: int) -> Span | None:
+        """The address that a group ends: four groups joined by dots, counted from the left of each chain."""
+        group = _DIGITS.match(self.text, begin).span()
+        self.free = group[1]
+        if self.chain and not (begin == self.chain[-1][1] + 1 and self.text[begin - 1] == "."):
+            self.chain = []
+        self.chain.append(group)
+        if len(self.chain) < 4:
+            return None
+        parts, self.chain = self.chain, []
+        small = all(len(p := self.text[a:b].lstrip("0")) < 4 and int(p or 0) < 256 for a, b in parts)
+        return (parts[0][0], parts[3][1]) if small else None
+
+    def card(self, begin: int) -> Span | None:
+        if begin < self.card_free or (m := _CARD.match(self.text, begin)) is None:
+            return None
+        self.card_free = m.end()
+        valid = m.end() - begin < 40 and 16 <= len(digits := re.sub("[ -]", "", m[0])) <= 19 and luhn(digits)
+        return m.span() if valid else None
 
 
 def luhn(digits: str) -> bool:
@@ -93,12 +111,6 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _cards(text: str) -> Iterator[Span]:
-    for m in _CARD.finditer(text):
-        if m.end() - m.start() < 40 and 16 <= len(digits := re.sub("[ -]", "", m[0])) <= 19 and luhn(digits):
-            yield m.span()
-
-
 def iban(value: str) -> bool:
     value = value.replace(" ", "")
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
@@ -123,7 +135,7 @@ def _account(text: str, begin: int, end: int, seen: dict[str, int]) -> Span | No
 def _street(text: str, begin: int, end: int, seen: dict[str, int]) -> Span | None:
     if text[end : end + 1].isalnum():
         return None
-    left = _NUMBER_LEFT.search(text, max(0, begin - 160), begin)
+    left = _NUMBER_LEFT.search(text, max(0, begin - STREET_REACH), begin)
     return (left.start(), end) if left else None
 
 
@@ -151,9 +163,14 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
     free, phone_free = 0, 0
     seen: dict[str, int] = {}
+    digits = _Digits(text)
     for last, (kind, size) in automaton.iter(text):
         begin, end = last + 1 - size, last + 1
-        if kind == "@":
+        if kind == "digit":
+            if begin >= digits.free:
+                found["card"] += filter(None, (digits.card(begin),))
+                found["ip"] += filter(None, (digits.ip(begin),))
+        elif kind == "@":
             if span := _email(text, begin, free):
                 found["email"].append(span)
                 free = span[1]
@@ -167,8 +184,6 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
                 found["account"].append(m.span())
         elif span := {"cue": _account, "street": _street}[kind](text, begin, end, seen) if kind != "scheme" else _url(text, begin, seen):
             found["account" if kind == "cue" else "address"].append(span)
-    found["ip"] += _ips(text)
-    found["card"] += _cards(text)
     out = []
     for kind in KINDS:
         free = 0

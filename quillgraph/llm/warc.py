@@ -6,8 +6,9 @@ language, outlinks, charset, status and the source's headers) and a ``conversion
 date, carry digests of their own block, and keep the response's digest as a field.
 Records are rows, so any number of files is built without a shuffle.
 
-Record ids are name-based (UUID version 5 of the response's id and the record's type), so
-building again gives the same records.
+Record ids are name-based (UUID version 5 of the response's id and the record's type; a response made of a
+row is named by page_id, url and digest), so building again gives the same records.
+Work is linear in a page, whatever is in it.
 
 Defined results: null html or url counts as empty; a page without text has an empty
 conversion block; a response without an HTTP header is all payload; bytes that aren't
@@ -36,13 +37,18 @@ RECORD = "headers map<string,string>, block binary, truncated boolean"
 #: Headers of records made here that a table of pages has no value for.
 DATE = "1970-01-01T00:00:00Z"
 
-_DROPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)")
-_BREAK = re.compile(r"(?is)</?(?:p|div|br|hr|h[1-6]|li|ul|ol|tr|table|section|article|nav|header|footer|aside|main|blockquote|pre|dl|dt|dd|figure|form|title)\b[^<>]*>")
-_CELL = re.compile(r"(?i)</?t[dh]\b[^<>]*>")
-_TAG = re.compile(r"(?s)</?[A-Za-z][^<>]*>|<![^<>]*>|<\?[^<>]*>")
-_TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title")
-_LANG = re.compile(r"(?is)<html[^>]*?\slang\s*=\s*[\"']?([\w-]+)")
-_LINK = re.compile(r"(?is)<(a|link|img|script|iframe)\b[^>]*?\s(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+# What elements mean.
+_DROPPED = frozenset("script style noscript template svg head".split())
+_RAW = {n: re.compile(rf"(?i)</{n}\s*+>") for n in ("script", "style")}
+_BREAK = frozenset("p div br hr h1 h2 h3 h4 h5 h6 li ul ol tr table section article nav header footer aside main blockquote pre dl dt dd figure form title".split())
+_CELL = frozenset(("td", "th"))
+_LINKS = frozenset("a link img script iframe".split())
+
+# Every pattern goes over a text once: none can give back what it has taken.
+_TAG = re.compile(r"<!--|<[!?][^<>]*+>|<(/?+)([A-Za-z][^\s<>/]*+)([^<>]*+)>")
+_TITLE_END = re.compile(r"(?i)</title")
+_LANG = re.compile(r"(?i)\slang\s*+=\s*+[\"']?+([\w-]++)")
+_LINK = re.compile(r"(?i)\s(href|src)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _CHARSET = re.compile(r"(?i)charset\s*=\s*[\"']?([\w-]+)")
 
 
@@ -54,13 +60,66 @@ def record_id(*names: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(names))}>"
 
 
+@dataclass
+class Page:
+    """What one pass over the tags of a page finds. A tag ends at the next ``<`` or ``>``; what isn't ended by ``>`` is text."""
+
+    title: str | None = None
+    lang: str | None = None
+    links: list[tuple[str, str, str]] = field(default_factory=list)
+    text: str = ""
+
+    @classmethod
+    def of(cls, page: str) -> Page:
+        own, pieces = cls(), []
+        at, shown, dropped = 0, 0, None  # text from ``shown`` on isn't taken yet; the element that is left out
+        while m := _TAG.search(page, at):
+            at = m.end()
+            name, closing = (m[2] or "").lower(), bool(m[1])
+            if dropped is None:
+                pieces += [page[shown : m.start()], "\n" if name in _BREAK else "\t" if name in _CELL else ""]
+                shown = at
+            if m[0] == "<!--":
+                end = page.find("-->", at)
+                at = shown = len(page) if end < 0 else end + 3
+                pieces.append(" ")
+                continue
+            if not name:
+                continue
+            if closing:
+                if name == dropped:
+                    dropped, shown = None, at
+                continue
+            own._opened(page, name, m[3], at)
+            if dropped is None and name in _DROPPED:
+                dropped = name
+                pieces.append(" ")
+            if name in _RAW:
+                end = _RAW[name].search(page, at)
+                at = end.end() if end else len(page)
+                if dropped == name:
+                    dropped, shown = (None, at) if end else (name, at)
+        pieces.append("" if dropped else page[shown:])
+        body = html.unescape("".join(pieces))
+        lines = (re.sub(r"[^\S\n]+", " ", line).strip() for line in body.split("\n"))
+        own.text = "\n".join(line for line in lines if line)
+        return own
+
+    def _opened(self, page: str, name: str, attributes: str, at: int) -> None:
+        if name == "title" and self.title is None and (end := _TITLE_END.search(page, at)):
+            self.title = " ".join(html.unescape(page[at : end.start()]).split())
+        elif name == "title" and self.title is None:
+            self.title = ""
+        elif name == "html" and self.lang is None and (m := _LANG.search(attributes)):
+            self.lang = m[1].lower()
+        elif name in _LINKS and (m := _LINK.search(attributes)):
+            url = html.unescape(m[2] or m[3] or m[4] or "").strip()
+            self.links += [(url, name, m[1].lower())] if url else []
+
+
 def plain_text(page: str) -> str:
     """The text of a page: blocks on lines of their own, entities decoded, white space collapsed."""
-    body = _DROPPED.sub(" ", page)
-    body = _CELL.sub("\t", _BREAK.sub("\n", body))
-    body = html.unescape(_TAG.sub("", body))
-    lines = (re.sub(r"[^\S\n]+", " ", line).strip() for line in body.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return Page.of(page).text
 
 
 @dataclass
@@ -138,13 +197,11 @@ def derivatives(response: Record) -> list[Record]:
     common = {"WARC-Refers-To": source, "WARC-Refers-To-Target-URI": response.header("WARC-Target-URI"), "WARC-Refers-To-Date": response.header("WARC-Date"), "WARC-Target-URI": response.header("WARC-Target-URI"), "WARC-Date": response.header("WARC-Date")}
     fields = [("http-status", http.status), *((f"http-header-{k.lower()}", v) for k, v in http.headers)]
     fields += [("source-block-digest", response.header("WARC-Block-Digest") or digest(response.block)), ("source-payload-digest", response.header("WARC-Payload-Digest") or digest(http.payload))]
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
-    fields += [("language", lang[1].lower())] if lang else []
-    links = [(html.unescape(m[3] or m[4] or m[5] or "").strip(), m[1].lower(), m[2].lower()) for m in _LINK.finditer(re.sub(r"(?s)<!--.*?-->", "", page))]
-    fields += [("outlink", f"{re.sub(r'\s+', '%20', url)} {tag}/@{attribute}") for url, tag, attribute in links if url]
+    found = Page.of(page)
+    fields += [("title", found.title or ""), ("language", found.lang or "")]
+    fields += [("outlink", f"{re.sub(r'\s+', '%20', url)} {tag}/@{attribute}") for url, tag, attribute in found.links]
     block = "".join(f"{k}: {v}\r\n" for k, v in fields if v).encode()
-    text = plain_text(page).encode()
+    text = found.text.encode()
     made = []
     for kind, content_type, body in (("metadata", "application/warc-fields", block), ("conversion", "text/plain; charset=utf-8", text)):
         headers = {"WARC-Type": kind, "WARC-Record-ID": record_id(source, kind), **{k: v for k, v in common.items() if v}, "Content-Type": content_type, "WARC-Block-Digest": digest(body)}
@@ -152,11 +209,11 @@ def derivatives(response: Record) -> list[Record]:
     return made
 
 
-def response_of(url: str, page: str, date: str = DATE) -> Record:
-    """A response record of a page from a table."""
+def response_of(url: str, page: str, date: str = DATE, number: object = "") -> Record:
+    """A response record of a page from a table; number tells pages apart that have one url and text."""
     payload = page.encode("utf-8", "replace")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-    headers = {"WARC-Type": "response", "WARC-Record-ID": record_id(url, hashlib.sha256(payload).hexdigest()), "WARC-Target-URI": url, "WARC-Date": date, "Content-Type": "application/http; msgtype=response", "WARC-Block-Digest": digest(block), "WARC-Payload-Digest": digest(payload)}
+    headers = {"WARC-Type": "response", "WARC-Record-ID": record_id(str(number), url, hashlib.sha256(payload).hexdigest()), "WARC-Target-URI": url, "WARC-Date": date, "Content-Type": "application/http; msgtype=response", "WARC-Block-Digest": digest(block), "WARC-Payload-Digest": digest(payload)}
     return Record(headers, block)
 
 
@@ -206,13 +263,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def responses(pages: DataFrame) -> DataFrame:
-    """Response records of the rows of pages (url, html)."""
+    """Response records of the rows of pages (url, html and, if there is one, page_id)."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _rows([response_of(u or "", h or "") for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+            yield _rows([response_of(u or "", h or "", number=n) for u, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
 
-    return pages.select("url", "html").mapInArrow(records, RECORD)
+    return pages.select("url", "html", F.col("page_id") if "page_id" in pages.columns else F.lit("")).mapInArrow(records, RECORD)
 
 
 def derived(records: DataFrame) -> DataFrame:
@@ -245,10 +302,10 @@ def op3_warc_derivatives(pages: DataFrame) -> DataFrame:
     """Two rows for each page: its metadata and its conversion record, with their links, digests and text."""
 
     @F.arrow_udf("array<struct<record_type:string,record_id:string,refers_to:string,target_uri:string,content_type:string,block_digest:string,source_digest:string,content_length:bigint,content:string>>")
-    def build(urls: pa.Array, bodies: pa.Array) -> pa.Array:
+    def build(urls: pa.Array, bodies: pa.Array, numbers: pa.Array) -> pa.Array:
         out = []
-        for url, body in zip(urls.to_pylist(), bodies.to_pylist(), strict=True):
-            response = response_of(url or "", body or "")
+        for url, body, number in zip(urls.to_pylist(), bodies.to_pylist(), numbers.to_pylist(), strict=True):
+            response = response_of(url or "", body or "", number=number)
             out.append(
                 [
                     {"record_type": r.header("WARC-Type"), "record_id": r.header("WARC-Record-ID"), "refers_to": r.header("WARC-Refers-To"), "target_uri": r.header("WARC-Target-URI"), "content_type": r.header("Content-Type"), "block_digest": r.header("WARC-Block-Digest"), "source_digest": response.header("WARC-Payload-Digest"), "content_length": len(r.block), "content": r.block.decode()}
@@ -258,4 +315,4 @@ def op3_warc_derivatives(pages: DataFrame) -> DataFrame:
         kind = pa.struct([(n, pa.int64() if n == "content_length" else pa.string()) for n in ("record_type", "record_id", "refers_to", "target_uri", "content_type", "block_digest", "source_digest", "content_length", "content")])
         return pa.array(out, pa.list_(kind))
 
-    return pages.select("page_id", F.explode(build(F.col("url"), F.col("html"))).alias("r")).select("page_id", "r.*")
+    return pages.select("page_id", F.explode(build(F.col("url"), F.col("html"), F.col("page_id"))).alias("r")).select("page_id", "r.*")

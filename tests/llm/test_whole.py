@@ -1,11 +1,14 @@
 """Cases that bounds and filters once left out."""
 
+import base64
+import random
 import time
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillgraph.llm import lm, neardup, pii
+from quillgraph.llm import lm, mixing, neardup, pii, tokencount, urlfilter, warc
 from quillgraph.llm.tables import read
 
 
@@ -61,3 +64,67 @@ def test_model_beats_the_base_whatever_the_layout(spark):
     for files in (1, 32):
         row = lm.scores(docs.repartition(files, "doc_id")).where("held_out").agg(F.sum("score") - F.sum("base_score"), F.sum("n_tokens")).first()
         assert row[0] >= 0.2 * row[1]
+
+
+def test_pages_of_any_form_take_linear_time():
+    """5 MB of what patterns that go back would read again and again."""
+    begin = time.time()
+    for part in ("<a ", '<a href="', "<", "<!--", "<script>", "<title>", "<html lang", "<svg>", "<p><b>x"):
+        warc.Page.of(part * (5_000_000 // len(part)))
+    assert time.time() - begin < 30
+    page = warc.Page.of('<html lang="EN"><head><title> a &amp;\n b</title><link href="s.css"></head><script>if (1<2) "<a href=x>"</script><p>one<br>two <a href=\'/u v\'>l</a><!-- <a href=n> --><td>3 < 4</td><svg>no')
+    assert (page.title, page.lang, page.text) == ("a & b", "en", "one\ntwo l 3 < 4") and page.links == [("s.css", "link", "href"), ("/u v", "a", "href")]
+
+
+def test_repeated_pages_have_records_of_their_own(spark):
+    rows = spark.createDataFrame([(1, "http://a/", "<p>x"), (2, "http://a/", "<p>x"), (3, None, None)], "page_id bigint, url string, html string")
+    found = [r["record_id"] for r in warc.op3_warc_derivatives(rows).collect()]
+    assert len(found) == len(set(found)) == 6 and warc.derived(warc.responses(rows)).count() == 6
+
+
+def test_tokens_of_texts_without_white_space():
+    path = str(public_tokenizers.path(tokencount.VOCABULARY))
+    model, rng = tokencount.tokenizer(path), random.Random(5)
+    texts = [
+        base64.b64encode(rng.randbytes(1_000_000)).decode(),
+        "".join(chr(rng.randrange(0x4E00, 0x9FFF)) if rng.random() < 0.9 else rng.choice("。，") for _ in range(300_000)),
+        "if(x){y[z]=\"it's<|endoftext|>\";}" * 10_000,
+        "ab" * 200_000,
+    ]
+    for text in texts:
+        begin = time.time()
+        whole = len(model.encode(text, add_special_tokens=False).ids)
+        middle = time.time()
+        assert tokencount.count_long(model.encode, text) == whole
+        assert time.time() - middle < 8 * (middle - begin) + 2
+    pieces = ["a", "é", "é", "1", "²", "'s", "'", "<|endoftext|>", "<|", "|>", "。", "ア", "ｶﾞ", "゙", "한", "하", "ᆫ", "-", "_", "٣", "x9", "‍", "İ", " ", "\n", ";", "(", "1́", "漢", "！", "̸", "≠"]
+    for _ in range(100):
+        text = "".join(rng.choices(pieces, k=500))
+        assert tokencount.count_long(model.encode, text, 40, 8) == len(model.encode(text, add_special_tokens=False).ids)
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokencount.splits_proven(str(public_tokenizers.path(tokencount.VOCABULARY))) and not tokencount.splits_proven(path)
+    rows = spark.createDataFrame([("a  b\n\n c" * 9000,), (None,), ("",)], "text string")
+    model = tokencount.tokenizer(path)
+    assert [r[0] for r in rows.select(tokencount.counts(path)).collect()] == [len(model.encode("a  b\n\n c" * 9000, add_special_tokens=False).ids), 0, 0]
+
+
+def test_fitting_stops_when_it_has_arrived():
+    names = [["a", "b", "other"], ["x", "other"]]
+    targets = [{"a": 0.5, "b": 0.5, "other": 0.0}, {"x": 0.25, "other": 0.75}]
+    fitted = mixing.fit(np.array([[400.0, 900.0], [300.0, 500.0], [0.0, 0.0]]), targets, names, 200, 0.3)
+    assert all(abs(v) < 1e-9 for axis in mixing.residuals(fitted, targets, names) for v in axis.values())
+
+
+def test_hash_ranges_choose_the_sample(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("http://a.org/"), "id").alias("url"), F.when(F.col("id") % 3 == 0, "block").otherwise("allow").alias("verdict"))
+    many, few = urlfilter.learn(rows, 500), urlfilter.learn(rows, 5000)
+    assert 400 <= many.accepted.sampled + many.rejected.sampled <= 500 and few.accepted.sampled + few.rejected.sampled == 1500
+
+
+def test_long_urls_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "http://a.org/" + "x" * 300_000, "mine"), (1, "http://a.org/" + "x" * 300_000, "mine"), (2, None, "mine"), (3, "", "mine")], "page_id bigint, url string, host string")
+    found = urlfilter.op8_url_ratio(rows).collect()
+    assert sorted((r["page_id"], r["verdict"], r["rule"]) for r in found) == [(1, "allow", "org/"), (1, "allow", "org/"), (2, "allow", None), (3, "allow", None)]
