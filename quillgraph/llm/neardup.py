@@ -15,8 +15,8 @@ band of the alignment is that wide at most; it starts narrow and is widened on f
 Byte-equal texts become one node first, however many copies there are. Within a key,
 nodes are compared with the one that meets most others, and not with each other. Of what
 that leaves in different classes, all texts that share a key with other classes are
-compared too, where an exact prefix filter over their rarest words lets them: texts of
-similarity s have s * max(n, m) labelled words in common. Before that, the texts of a key whose
+compared too: under keys that one class nearly has to itself the few others with all, under other keys where an
+exact prefix filter over the rarest words of texts that keys connect lets them, as texts of similarity s have s * max(n, m) labelled words in common. Before that, the texts of a key whose
 classes differ are compared with one of its largest class, another one for each key, so that
 large groups of near copies have become one class. So a link between classes is missed
 only where similar texts share no key: with edits spread evenly, at similarity 0.95 for one pair
@@ -46,6 +46,7 @@ LENGTH, COUNT = 3, 48
 SHORT_LENGTH, SHORT_COUNT, SHORT = 1, 12, 24
 #: Texts that one task compares with the same other text before that one's rows are split.
 SPLIT = 2000
+FEW = 8
 SKETCH = "struct<n:bigint,keys:array<bigint>>"
 
 SketchOf = Callable[[str], Column]
@@ -261,9 +262,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: SimilarityOf, similar
     SPLIT of them, so that no task gets all of its rows."""
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
     salted = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
-    with_a = salted.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    copies = parts.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text_b")
-    return stored(with_a.join(copies, ["b", "part"]).where(similar("text_a", "text_b") >= similarity).select("a", "b"), name)
+    # texts have no bound, so they are never broadcast, however few there are
+    with_a = salted.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    copies = parts.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text_b")
+    return stored(with_a.join(copies.hint("merge"), ["b", "part"]).where(similar("text_a", "text_b") >= similarity).select("a", "b"), name)
 
 
 def _in_classes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -283,23 +285,33 @@ def _of_several_classes(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(several.select("k", F.col("top.root").alias("largest"), F.col("top.id").alias("pivot")), "k").select("k", "id", "root", "largest", "pivot")
 
 
-def _sharing_rare(left: DataFrame, keys: DataFrame, similarity: float, needed: NeedOf) -> DataFrame:
-    """Pairs (a, b) of texts of different classes that share a key and can be that similar.
+def _with_few_others(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, keys): pairs (a, b) of texts of different classes under the keys where the largest class has half of the texts
+    or more and at most FEW texts are of others, each of these with all; and the other keys. So a key makes at most FEW pairs for each of its texts."""
+    counted = keys.groupBy("k").agg(F.count("*").alias("c"), F.count_if(F.col("root") != F.col("largest")).alias("others"))
+    few = counted.where((F.col("others") <= FEW) & (2 * F.col("others") <= F.col("c"))).select("k")
+    own = keys.join(few, "k")
+    one = own.where("root != largest").select("k", F.col("id").alias("x"), F.col("root").alias("rx"))
+    pairs = one.join(own.select("k", F.col("id").alias("y"), F.col("root").alias("ry")), "k").where("rx != ry")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), keys.join(few, "k", "left_anti")
 
-    left: id, root, labels; keys: k, id. Labels are put in one order, rare ones first. Two texts of n and m labels need
+
+def _sharing_rare(left: DataFrame, similarity: float, needed: NeedOf) -> DataFrame:
+    """Pairs (a, b) of texts of different classes and one group that can be that similar.
+
+    left: id, root, g0 (the group), labels. Labels are put in one order, rare ones first. Two texts of n and m labels need
     some in common, ``needed(n, m)``, which is at least similarity * n and at least similarity * m; so
     the first common label has that many but one after it in both, which leaves few places for it and, among many near
-    copies of one text, mostly labels that no other text has. Texts meet under a key and a label together, so neither a
-    passage nor a word that many share brings them together. Their sizes are similar too, so a meeting is split by
+    copies of one text, mostly labels that no other text has. Texts meet under their group and a label together. Their sizes are similar too, so a meeting is split by
     a logarithm of the size; a text goes to its own part and both next to it. Exact: no such pair of that similarity is lost."""
-    each = left.select("id", "root", F.size("labels").alias("n"), F.explode("labels").alias("h")).repartition("h")
+    each = left.select("id", "root", F.size("labels").alias("n"), F.explode(F.transform("labels", lambda x: F.xxhash64("g0", x))).alias("h")).repartition("h")
     known = each.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1")
     joined = each.join(known, "h")
     order = Window.partitionBy("id").orderBy("df", "h")
     placed = joined.withColumn("place", F.col("n") - F.count("*").over(Window.partitionBy("id")) + F.row_number().over(order) - 1)
     sized = placed.withColumn("g", F.floor(F.log(F.col("n")) / -np.log(similarity)).cast("int"))
-    rare = sized.where((F.col("lo") < F.col("hi")) & (F.col("n") - F.col("place") >= similarity * F.col("n") - 1e-9)).select("h", "g", "id", "root", "n", "place")
-    first = stored(rare.join(keys.select("k", "id"), "id").withColumn("h", F.xxhash64("k", "h")), "rare")
+    first = sized.where((F.col("lo") < F.col("hi")) & (F.col("n") - F.col("place") >= similarity * F.col("n") - 1e-9)).select("h", "g", "id", "root", "n", "place")
+    first = stored(first, "rare")
     # the class that most texts of a meeting are in needn't meet itself
     main = first.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.col("count")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
     one = first.join(main, "h").where("root != main").select("h", F.explode(F.array(*[F.col("g") + k for k in (-1, 0, 1)])).alias("g"), F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("place").alias("px"))
@@ -311,7 +323,7 @@ def _sharing_rare(left: DataFrame, keys: DataFrame, similarity: float, needed: N
 
 def of_nodes(keyed: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``keyed`` (doc_id, text, key) that stand for the nodes of ids (key, id, least: a doc_id), one for each."""
-    own = keyed.join(ids, (keyed.key == ids.key) & keyed.doc_id.eqNullSafe(ids.least)).drop(keyed.key)
+    own = keyed.join(ids.hint("merge"), (keyed.key == ids.key) & keyed.doc_id.eqNullSafe(ids.least)).drop(keyed.key)
     return own.dropDuplicates(["id"])
 
 
@@ -349,9 +361,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: Sketch
         roots = components(links, "roots")
     done = pairs.select("a", "b").union(rest)
     # and all texts that still share keys with texts of other classes, by the rare labels that similar ones must share
-    keys = stored(_of_several_classes(shared, roots).select("k", "id", "root"), "keys")
-    left = stored(texts.join(keys.groupBy("id").agg(F.max("root").alias("root")), "id").select("id", "root", labels_by("text").alias("labels")), "left")
-    open_ = stored(_sharing_rare(left, keys, similarity, needed or words_needed(similarity)).join(done, ["a", "b"], "left_anti"), "open")
+    keys = stored(_of_several_classes(shared, roots).select("k", "id", "root", "largest"), "keys")
+    pairs, keys = _with_few_others(keys)
+    # texts that keys connect are a group; those of different groups share no key
+    least = keys.groupBy("k").agg(F.min("id").alias("b"))
+    groups = components(keys.join(least, "k").select(F.col("id").alias("a"), "b").distinct(), "groups").select(F.col("node").alias("id"), F.col("root").alias("g0"))
+    own = keys.groupBy("id").agg(F.max("root").alias("root")).join(groups, "id")
+    left = stored(texts.join(own.hint("merge"), "id").select("id", "root", "g0", labels_by("text").alias("labels")), "left")
+    rare = _sharing_rare(left, similarity, needed or words_needed(similarity))
+    open_ = stored(pairs.union(rare).distinct().join(done, ["a", "b"], "left_anti"), "open")
     if not open_.isEmpty():
         links = links.union(_verified(open_, texts, similar, similarity, "links"))
         roots = components(links, "roots")
