@@ -39,9 +39,10 @@ def ids(system: str, space: str, path: str = "path") -> Column:
     return F.coalesce(F.concat(F.lit("notion:"), page_id(stem)), plain) if system == EXPORT else plain
 
 
-def records(found: DataFrame, space: str, system: str = "markdown", vocabulary: Vocabulary | None = None) -> DataFrame:
+def records(found: DataFrame, space: str, system: str = "markdown", vocabulary: Vocabulary | None = None, among: DataFrame | None = None) -> DataFrame:
     """Unclassified records of files (url, path, modified, text). Links and ``relates_to`` become
-    related_to relations; a link is resolved by an equi-join on the normalised relative path."""
+    related_to relations; a link is resolved by an equi-join on the normalised relative path with the
+    paths of ``among`` (column path), or of the files themselves. No text of ``among`` is read."""
     vocabulary = vocabulary or Vocabulary()
     names = list(dict.fromkeys([*vocabulary.markers, "project", "room", "scope", "owner"]))
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
@@ -51,7 +52,7 @@ def records(found: DataFrame, space: str, system: str = "markdown", vocabulary:
     own = own.withColumns({"title": F.coalesce(F.try_element_at(F.col("_front")["title"], F.lit(1)), F.col("_title")), "markers": markers, "parent": F.try_element_at(F.col("_front")["parent"], F.lit(1))})
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
     links = own.select("id", F.posexplode(link_targets("text")).alias("place", "t"), folder.alias("folder")).select("id", "place", normal_path(F.concat("folder", "t")).alias("to"))
-    resolved = links.join(own.select(F.col("id").alias("target"), F.col("path").alias("to")), "to").where("id != target")
+    resolved = links.join((found if among is None else among).select(ids(system, space).alias("target"), F.col("path").alias("to")), "to").where("id != target")
     linked = resolved.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "target"))).getField("target").alias("_linked"))
     out = own.join(linked, "id", "left")
     none = F.array().cast("array<string>")
@@ -68,7 +69,6 @@ def fresh_files(found: DataFrame, cursors: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, folder: str, space: str, cursors: DataFrame | None = None, system: str = "markdown", pattern: str = "*.md", recursive: bool = True, vocabulary: Vocabulary | None = None) -> DataFrame:
     """Records of the (fresh) files of a folder; links to files that aren't fresh are resolved too."""
     found = files(spark, folder, pattern, recursive)
-    made = records(found, space, system, vocabulary)
-    if cursors is not None:
-        made = made.join(fresh_files(found.drop("text"), cursors).select("url"), "url", "left_semi")
-    return made
+    if cursors is None:
+        return records(found, space, system, vocabulary)
+    return records(fresh_files(found, cursors), space, system, vocabulary, found.select("path"))

@@ -1,19 +1,22 @@
-"""Tables of a graph as Parquet snapshots: a new folder for each write, and a pointer that moves last."""
+"""Tables of a graph as Parquet snapshots: a new folder for each write, and one numbered version that names them all."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.plans.schemas import TABLES
 
-POINTER = "CURRENT"
+VERSIONS = "_versions"
 
 
 class Store:
-    """A folder with a snapshot folder for each write of each table; readers follow the pointer, so
-    a write that fails leaves what was there. The folder may be in any store that Spark writes to."""
+    """A folder with a snapshot folder for each write of each table. Version files, numbered upwards, say which
+    snapshot of each table holds; the greatest number counts. A version appears by one rename after all its
+    tables are written, so a write that fails at any point leaves all tables as they were, and tables saved
+    together change together. One writer at a time. The folder may be in any store that Spark writes to."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -23,43 +26,82 @@ class Store:
         found = jvm.org.apache.hadoop.fs.Path(path)
         return found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), found
 
-    def _current(self, table: str) -> str | None:
-        fs, path = self._fs(f"{self.folder}/{table}/{POINTER}")
-        if not fs.exists(path):
-            return None
+    def _numbers(self) -> list[int]:
+        fs, path = self._fs(f"{self.folder}/{VERSIONS}")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _read(self, number: int) -> dict[str, str]:
+        fs, path = self._fs(f"{self.folder}/{VERSIONS}/{number:012d}")
         stream = fs.open(path)
         try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def _current(self) -> dict[str, str]:
+        numbers = self._numbers()
+        return self._read(numbers[-1]) if numbers else {}
+
     def exists(self, table: str) -> bool:
-        return self._current(table) is not None
+        return table in self._current()
 
     def load(self, table: str) -> DataFrame:
         """The table, empty where it was never written."""
-        name = self._current(table)
+        name = self._current().get(table)
         if name is None:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.parquet(f"{self.folder}/{table}/{name}")
 
-    def save(self, table: str, df: DataFrame, dry_run: bool = False) -> int | None:
-        """Writes a snapshot and moves the pointer; a dry run only counts the rows."""
-        if dry_run:
-            return df.count()
+    def stage(self, table: str, df: DataFrame) -> str:
+        """Writes a snapshot that no reader sees before ``commit``, and gives its name."""
         name = f"snapshot-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{table}/{name}")
-        fs, staged = self._fs(f"{self.folder}/{table}/.{name}")
-        out = fs.create(staged, True)
-        out.write(bytearray(name.encode()))
+        return name
+
+    def staged(self, table: str, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{table}/{name}")
+
+    def discard(self, names: dict[str, str]) -> None:
+        """Deletes staged snapshots that won't be committed."""
+        for table, name in names.items():
+            fs, path = self._fs(f"{self.folder}/{table}/{name}")
+            fs.delete(path, True)
+
+    def commit(self, names: dict[str, str]) -> None:
+        """Makes staged snapshots the current ones, all at once; other tables stay."""
+        numbers = self._numbers()
+        number = numbers[-1] + 1 if numbers else 0
+        fs, draft = self._fs(f"{self.folder}/{VERSIONS}/.{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(self._current() | names, sort_keys=True).encode()))
         out.close()
-        _, pointer = self._fs(f"{self.folder}/{table}/{POINTER}")
-        old = self._current(table)
-        if old is not None:
-            fs.delete(pointer, False)
-        fs.rename(staged, pointer)
+        _, target = self._fs(f"{self.folder}/{VERSIONS}/{number:012d}")
+        if fs.exists(target) or not fs.rename(draft, target):
+            raise OSError(f"version {number} of {self.folder} was written by another")
+
+    def save(self, table: str, df: DataFrame, dry_run: bool = False) -> int | None:
+        """Writes one table as a version of its own; a dry run only counts the rows."""
+        if dry_run:
+            return df.count()
+        self.commit({table: self.stage(table, df)})
         return None
 
+    def clean(self, keep: int = 2) -> int:
+        """Deletes snapshots and versions older than the last ``keep`` versions, for times when nobody reads them or
+        writes; gives the number of snapshots deleted."""
+        if keep < 1:
+            raise ValueError("the current version has to stay")
+        numbers = self._numbers()
+        held = {(t, n) for number in numbers[-keep:] for t, n in self._read(number).items()}
+        gone = {(t, n) for number in numbers[:-keep] for t, n in self._read(number).items()} - held
+        for table, name in gone:
+            self.discard({table: name})
+        for number in numbers[:-keep]:
+            fs, path = self._fs(f"{self.folder}/{VERSIONS}/{number:012d}")
+            fs.delete(path, False)
+        return len(gone)
+
     def load_graph(self) -> dict[str, DataFrame]:
         return {t: self.load(t) for t in ("records", "edges")}
 
@@ -67,7 +109,7 @@ class Store:
 def index(store: Store, incoming: DataFrame, as_of: str, vocabulary=None, dry_run: bool = False) -> dict:
     """Classifies incoming records, upserts them, makes edges near them again, and counts tokens.
 
-    A dry run computes the same counts and writes nothing."""
+    A dry run computes the same counts over a staged snapshot that it deletes; the store stays as it was."""
     from pyspark.sql import functions as F
 
     from quillgraph.operators.classify import classify
@@ -80,15 +122,20 @@ def index(store: Store, incoming: DataFrame, as_of: str, vocabulary=None, dry_ru
     known = token_df if store.exists("token_df") else None
     classified = as_records(classify(incoming, vocabulary, known))
     after = upsert(records, classified, as_of)
-    if not dry_run:
-        store.save("records", after)
-        after = store.load("records")
-    new_edges = edges_around(edges, after, classified.select("id").distinct(), as_of)
-    if dry_run:
-        return {"records": after.count(), "edges": new_edges.count(), "dry_run": True}
-    store.save("edges", new_edges)
-    store.save("token_df", token_document_frequency(after).select("token", F.col("df").cast("bigint")))
-    return {"records": store.load("records").count(), "edges": store.load("edges").count(), "dry_run": False}
+    names = {"records": store.stage("records", after)}
+    try:
+        # Read back: edge inference over the unwritten plan copies the whole classification into each of its expressions.
+        after = store.staged("records", names["records"])
+        new_edges = edges_around(edges, after, incoming.select("id").distinct(), as_of)
+        if dry_run:
+            return {"records": after.count(), "edges": new_edges.count(), "dry_run": True}
+        names["edges"] = store.stage("edges", new_edges)
+        names["token_df"] = store.stage("token_df", token_document_frequency(after).select("token", F.col("df").cast("bigint")))
+    finally:
+        if dry_run:
+            store.discard(names)
+    store.commit(names)
+    return {"records": after.count(), "edges": store.load("edges").count(), "dry_run": False}
 
 
 def learn(store: Store) -> int:

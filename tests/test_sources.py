@@ -38,6 +38,21 @@ def test_index_and_dry_run(spark, tmp_path):
     assert learn(store) >= 0
 
 
+def test_tables_change_together(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = lambda *tokens: spark.createDataFrame([(t, 1) for t in tokens], "token string, df bigint")
+    store.save("token_df", rows("a"))
+    name = store.stage("token_df", rows("b"))
+    assert [r["token"] for r in Store(spark, str(tmp_path)).load("token_df").collect()] == ["a"]
+    store.commit({"token_df": name})
+    assert [r["token"] for r in store.load("token_df").collect()] == ["b"] and not store.exists("records")
+    store.discard({"token_df": store.stage("token_df", rows("c"))})
+    store.save("token_df", rows("d"))
+    assert store.clean(keep=1) == 2 and [r["token"] for r in store.load("token_df").collect()] == ["d"]
+    with pytest.raises(ValueError):
+        store.clean(keep=0)
+
+
 def test_markdown_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a-note.md").write_text("---\nstatus: done\nrelates_to: [x:1]\n---\n# Head\nsee [b](sub/b.md#p) and [out](../out.md) and [gone](gone.md)\n")
@@ -49,7 +64,7 @@ def test_markdown_files(spark, tmp_path):
     assert [r["target"] for r in a["relations"]] == ["x:1", b["id"]] and [r["target"] for r in b["relations"]] == [a["id"]]
     assert a["id"] == "src:markdown-space-a-note-md" and b["title"] == "B"
     marks = spark.createDataFrame([(a["url"],)], "source_key string").withColumn("watermark", F.lit("2999-01-01").cast("timestamp"))
-    assert [r["path"] for r in md.ingest(spark, str(tmp_path), "space", marks).collect()] == ["sub/b.md"]
+    assert [(r["path"], [x["target"] for x in r["relations"]]) for r in md.ingest(spark, str(tmp_path), "space", marks).collect()] == [("sub/b.md", [a["id"]])]
 
 
 def test_cursors(spark):
