@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontam, lm, mixing, neardup, pii, quality, substring, tokencount, urlfilter, warc
+from quillgraph.llm import crosstok, decontam, lexical, lm, mixing, neardup, pii, quality, ranking, substring, tokencount, urlfilter, warc
 from quillgraph.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,9 @@ def queries() -> dict[str, Query]:
         "op8_url_ratio": lambda spark, folder: urlfilter.op8_url_ratio(read(spark, folder, "pages")),
         "op9_order_minhash": lambda spark, folder: neardup.op9_order_minhash(read(spark, folder, "documents")),
         "op10_paragraph_minhash": lambda spark, folder: substring.op10_paragraph_minhash(read(spark, folder, "documents")),
+        "op11_pairwise_ranking": lambda spark, folder: ranking.op11_pairwise_ranking(read(spark, folder, "documents"), read(spark, folder, "labels")),
+        "op12_byte_owners": lambda spark, folder: crosstok.op12_byte_owners(read(spark, folder, "documents")),
+        "op13_threshold_search": lambda spark, folder: lexical.op13_threshold_search(read(spark, folder, "documents"), read(spark, folder, "benchmark")),
         "pipeline": _pipeline,
     }
 
@@ -38,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_benchmark_decontamination": decontam.ORACLE,
         "op7_ipf_mixing": mixing.ORACLE,
+        "op13_threshold_search": lexical.ORACLE,
     }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from compare import database, rows
 from conftest import SMALL
 from quillgraph.llm import components as cc
-from quillgraph.llm import decontam, fmindex, lm, mixing, neardup, pii, quality, queries, substring, tables, tokencount, urlfilter, warc
+from quillgraph.llm import crosstok, decontam, fmindex, lexical, lm, mixing, neardup, pii, quality, queries, ranking, substring, tables, tokencount, urlfilter, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, _row string, _counts string, _kept string, _hits string, _topic string"
 HARD = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 3), (4, "one", "en", "s", 3), (4, "one", "en", "s", 3), (None, "two words", "en", "s", 9), (5, "x" * 300_000, "xx", "s", 1), (6, "a b c d e " * 20_000, "en", None, 1), (7, "a b c d e " * 20_000, "en", None, 1)]
@@ -567,4 +567,180 @@ def test_pipeline_hard(spark, hard, none):
 
 
 def test_queries_are_registered():
-    assert set(queries.oracle_sql()) <= set(queries.queries()) and len([n for n in queries.queries() if n.startswith("op")]) == 10
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and len([n for n in queries.queries() if n.startswith("op")]) == 13
+
+
+# 11
+
+
+def test_ranking_tells_held_out_documents(documents, spark):
+    labels = tables.read(spark, SMALL, "labels")
+    found = {r["doc_id"]: r for r in ranking.op11_pairwise_ranking(documents, labels).collect()}
+    assert len(found) == documents.count()
+    for doc, r in found.items():
+        assert r["held_out"] == (zlib.crc32(str(doc).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
+    known = [(found[r["doc_id"]], r["quality"]) for r in labels.collect() if found[r["doc_id"]]["held_out"]]
+    good, bad = ([r["score"] for r, q in known if q == k] for k in (1, 0))
+    assert sum(g > b for g in good for b in bad) >= 0.98 * len(good) * len(bad)
+    assert sum(r["predicted"] == q for r, q in known) >= 0.95 * len(known)
+
+
+def test_ranking_learns_from_training_rows_only(documents, spark):
+    labels = tables.read(spark, SMALL, "labels")
+    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert ranking.learn(documents, labels) == ranking.learn(documents, turned)
+
+
+def test_ranking_threshold_is_a_quantile():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, ranking.WIDTH))
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > -0.5).astype(int)
+    model = ranking.fit(x, y)
+    assert abs((model.scores(x) < ranking.CUT).mean() - (y == 0).mean()) < 0.01
+    assert abs((ranking.fit(x, y, share=0.5).scores(x) < ranking.CUT).mean() - 0.5) < 0.01
+    good, bad = model.scores(x[y == 1]), model.scores(x[y == 0])
+    assert (good[:, None] > bad[None]).mean() > 0.95
+    preferred, other = ranking.preference_pairs(y, 1000, 1)
+    assert (y[preferred] == 1).all() and (y[other] == 0).all() and len(preferred) == len(other) == 1000
+
+
+def test_ranking_hard(spark, hard, none, documents):
+    kind = "doc_id bigint, quality int, toxic int, text string, _quality string"
+    labels = spark.createDataFrame([(1, 1, 0, "x", "x"), (4, 0, 0, "x", "x"), (4, 1, 0, "x", "x"), (None, 0, 0, "x", "x"), (6, None, 0, "x", "x"), (7, 0, 1, "x", "x"), (7, 0, 1, "x", "x"), (99, 0, 0, "x", "x")], kind)
+    assert ranking.op11_pairwise_ranking(hard, labels).count() == len(HARD)
+    assert {r["score"] for r in ranking.op11_pairwise_ranking(hard, labels.limit(0)).collect()} == {0.5}
+    assert ranking.op11_pairwise_ranking(none, labels).count() == 0
+    small = ranking.learn(documents, tables.read(spark, SMALL, "labels"), sample=30)
+    assert small.weights
+
+
+# 12
+
+
+def aligned_by_hand(a, b, text):
+    """(counts, groups as text, links) from two encodings, token by token."""
+    if not text:
+        return (0, 0, 0, 0), "", collections.Counter()
+    (ids_a,), (ids_b,) = a.encode([" " + text]), b.encode([" " + text])
+    ends = []
+    for ids, v in ((ids_a, a), (ids_b, b)):
+        if b"".join(v.bytes[i].as_py() for i in ids) != (" " + text).encode():
+            return (0, 0, 0, 0), "", collections.Counter()
+        ends.append(np.cumsum([len(v.bytes[i].as_py()) for i in ids]).tolist())
+    i = j = 0
+    links, groups, own = [], [], ([], [])
+    while i < len(ids_a):
+        links.append((ids_a[i], ids_b[j]))
+        x, y = ends[0][i], ends[1][j]
+        if x <= y:
+            own[0].append(str(ids_a[i]))
+        if y <= x:
+            own[1].append(str(ids_b[j]))
+        if x == y:
+            groups.append("|".join(map(",".join, own)))
+            own = ([], [])
+        i, j = i + (x <= y), j + (y <= x)
+    return (len(ids_a), len(ids_b), len(groups), len(links)), ";".join(groups), collections.Counter(links)
+
+
+def vocabularies():
+    import public_tokenizers
+
+    return crosstok.byte_level(public_tokenizers.path("byte_bpe_50k.json")), crosstok.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def check_alignment(given, found):
+    a, b = vocabularies()
+    want = [aligned_by_hand(a, b, t) for t in given]
+    held = collections.Counter(p for _, _, links in want for p in links)
+    most = collections.defaultdict(int)
+    for (x, _), n in held.items():
+        most[x] = max(most[x], n)
+    expected = collections.Counter()
+    for counts, groups, links in want:
+        digest = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+        expected[(*counts, sum(n for p, n in links.items() if held[p] == most[p[0]]), sum(n * held[p] for p, n in links.items()), digest)] += 1
+    assert collections.Counter(tuple(r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")) for r in found) == expected
+
+
+def test_byte_owners(documents, texts):
+    check_alignment(list(texts.values()), crosstok.op12_byte_owners(documents).collect())
+
+
+def test_byte_owners_on_odd_texts(spark):
+    given = [None, "", " ", "  ", "a ", "a  b", "a \n b", "x▁y", "<|endoftext|> a", "<s> </s> <unk> <0x41>", "　 a 　 b", "é à ü  ö", "\x00 a b", "a  b", "a\u0085 b c", "ﬁ ₂ ½", "\n\n a", "don't 's 12 345 6x", "字 漢 字字", "😀 😀 a", "x" * 3000, "x" * 3000, " " * 300, "a\x7f b c", "Á b   c d", "same text", "same text"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(given)], "doc_id bigint, text string").repartition(3)
+    found = crosstok.aligned(docs, *(__import__("public_tokenizers").path(p) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model")), 32_000, block_pairs=10)
+    check_alignment(given, found.collect())
+
+
+def test_pieces_are_those_of_the_whole_text():
+    a, b = vocabularies()
+    model = crosstok.Aligner(a, b)
+    rng = random.Random(7)
+    given = ["".join(rng.choice(["a", "é", " ", "  ", "\n", ".", "the", "\t", "　", "7", "'s", "😀", "<s>"]) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    found = model.align(pa.array(given))
+    assert list(zip(*(found[c].tolist() for c in crosstok.COUNTS))) == [aligned_by_hand(a, b, t)[0] for t in given]
+    again = model.align(pa.array(given))  # out of memory now
+    assert again["sha"] == found["sha"] and (again["pairs"] == found["pairs"]).all()
+
+
+def test_byte_owners_hard(hard, none):
+    found = crosstok.op12_byte_owners(hard).collect()
+    check_alignment([r[1] for r in HARD], found)
+    assert collections.Counter(r["doc_id"] for r in found) == collections.Counter(r[0] for r in HARD)
+    assert crosstok.op12_byte_owners(none).count() == 0
+
+
+# 13
+
+
+def searched(docs, items, top=50):
+    """{item: [(doc_id, score)]} by the contract's formula over all pairs."""
+    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    counts = [(d, collections.Counter(re.findall(pattern, (t or "").translate(lower)))) for d, t in docs]
+    counts = [(d, c) for d, c in counts if c]
+    n, total = len(counts), sum(sum(c.values()) for _, c in counts)
+    df = collections.Counter(t for _, c in counts for t in c)
+    w = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * f + 1))) for t, f in df.items()}
+    out = {}
+    for item, text in items:
+        terms = set(re.findall(pattern, (text or "").translate(lower)))
+        scores = [(sum(w[t] * (10**9 * c[t] // (1000 * c[t] + 20 * (50 + 50 * sum(c.values()) * n // total))) for t in terms if t in c), d) for d, c in counts]
+        out[item] = [(d, s) for s, d in sorted(((s, d) for s, d in scores if s > 0), key=lambda x: (-x[0], x[1]))[:top]]
+    return out
+
+
+def ranking_of(found):
+    out = collections.defaultdict(list)
+    for r in sorted(found.collect(), key=lambda r: (r["item_id"], r["rank"])):
+        out[r["item_id"]].append((r["doc_id"], r["score"]))
+        assert r["rank"] == len(out[r["item_id"]])
+    return out
+
+
+def test_search_sql(spark):
+    found = queries.queries()["op13_threshold_search"](spark, SMALL).toPandas()
+    assert rows(found) == rows(database(SMALL).sql(lexical.ORACLE).df())
+
+
+@pytest.mark.parametrize("top", [1, 3, 50])
+def test_search_is_exact(spark, top):
+    rng = random.Random(top)
+    pool = [f"w{k}" for k in range(300)]
+    weights = [1 / (k + 1) for k in range(300)]
+    docs = [(k, " ".join(rng.choices(pool, weights, k=rng.randrange(1, 60)))) for k in range(400)]
+    docs += [(1000 + k, docs[5][1]) for k in range(80)] + [(2000, None), (2001, " .,")]
+    items = [(k, " ".join(rng.choices(pool, weights if k % 2 else None, k=rng.choice([1, 5, 40])))) for k in range(20)] + [(99, "absent"), (98, "")]
+    found = ranking_of(lexical.search(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), top))
+    want = searched(docs, items, top)
+    assert found == {k: v for k, v in want.items() if v}
+
+
+def test_search_hard(spark, hard, none):
+    items = spark.createDataFrame([(1, "one words a", "x"), (2, None, "x"), (3, "", "x"), (3, "b", "x"), (None, "two", "x"), (5, "x" * 300_000, "x")], "item_id bigint, text string, term string")
+    found = lexical.search(hard, items).collect()
+    assert collections.Counter(r["item_id"] for r in found) == {1: 5, 3: 2, None: 1, 5: 1}
+    assert [(r["doc_id"], r["rank"]) for r in sorted(found, key=lambda r: r["rank"]) if r["item_id"] == 3] == [(6, 1), (7, 2)]
+    assert lexical.search(none, items).count() == 0 and lexical.search(hard, items.limit(0)).count() == 0
