@@ -2,9 +2,9 @@
 
 Documents are scanned once. A filter of fixed size (``FILTER_BITS``, broadcast) holds the
 items' terms, so only postings that may matter leave the scan; its false hits meet no item.
-For each term the ``TOP`` postings of most impact are kept as seeds. What an item's seeds add up to
-for a document is no more than the document's score, so the TOP-th largest of these sums,
-and the TOP-th impact of any one term, are lower bounds of the item's TOP-th score.
+For each term the ``TOP`` postings of most impact are kept as seeds, a number that doesn't grow with the documents.
+The TOP-th impact of any one term is a lower bound of an item's TOP-th score, and so is the TOP-th best score among the
+``TRIED * TOP`` documents for which the item's seeds add up to most.
 
 An item's terms are ordered by falling largest impact. From the place on where all that
 follows can't reach the bound together, terms are left out: a document that has only those isn't among the best. The
@@ -34,6 +34,7 @@ from quillgraph.llm.tables import stored
 from quillgraph.llm.textops import ALNUM_WORD, CHUNK_BYTES, mix64, slices, words_of
 
 TOP = 50
+TRIED = 8
 FILTER_BITS = 22
 PROBES = 3
 DEAL = 16
@@ -105,10 +106,17 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     stats = stats.withColumn("w", F.floor(1000 * F.log((F.lit(float(2 * n)) + 2) / (2 * F.col("df") + 1))).cast("bigint"))
     weighted = stored(asked.join(stats.select("term", "w", "most", "kth"), "term").select("item", "item_id", "term", "w", (F.col("w") * F.col("most")).alias("most"), (F.col("w") * F.coalesce("kth", F.lit(0))).alias("kth")), "weighted")
 
-    # lower bounds of each item's last score
+    def scores(pairs: DataFrame) -> DataFrame:
+        """The scores of pairs (item, row) from all terms of both."""
+        whole = pairs.join(found, "row").select("item", "row", "doc_id", "n", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("item", "row", "doc_id", "n", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
+        both = whole.select("item", "row", "doc_id", "term", impact.alias("impact")).join(weighted.select("item", "item_id", "term", "w"), ["item", "term"])
+        return both.groupBy("item", "row").agg(F.first("item_id").alias("item_id"), F.first("doc_id").alias("doc_id"), F.sum(F.col("w") * F.col("impact")).alias("score"))
+
+    # lower bounds of each item's last score: of one term alone, and of the seeds that add up to most
     sums = weighted.select("item", "term", "w").join(seeds, "term").groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("least"))
-    kth = sums.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("least")))).where(F.col("place") == top).select("item", "least")
-    bounds = weighted.groupBy("item").agg(F.max("kth").alias("single")).join(kth, "item", "left").select("item", F.greatest("single", F.coalesce("least", F.lit(0)), F.lit(1)).alias("bound"))
+    tried = sums.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("least"), "row"))).where(F.col("place") <= TRIED * top).select("item", "row")
+    kth = scores(tried).withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score")))).where(F.col("place") == top).select("item", "score")
+    bounds = weighted.groupBy("item").agg(F.max("kth").alias("single")).join(kth, "item", "left").select("item", F.greatest("single", F.coalesce("score", F.lit(0)), F.lit(1)).alias("bound"))
 
     # terms in order of what they can give at most; those of the end can't reach the bound together
     falling = Window.partitionBy("item").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -116,18 +124,13 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     leading = ordered.where("rest >= bound").select("item", "item_id", "term", "w", "bound")
     left_out = ordered.where("rest < bound").groupBy("item").agg(F.max("rest").alias("rest"))
     parts = max(1, math.ceil(math.sqrt(n) / DEAL))
-    dealt = postings.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    dealt = postings.join(leading.select("term").distinct(), "term", "left_semi").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
     copies = leading.join(left_out, "item", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("bigint"))
     met = dealt.join(copies.hint("shuffle_hash"), ["term", "part"])
     likely = met.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("some"), F.first("bound").alias("bound"), F.first("rest").alias("rest"))
     candidates = likely.where(F.col("some") + F.coalesce("rest", F.lit(0)) >= F.col("bound")).select("item", "row")
-
-    # scores of the candidates from all terms of both
-    whole = candidates.join(found, "row").select("item", "row", "doc_id", "n", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("item", "row", "doc_id", "n", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
-    scores = whole.select("item", "row", "doc_id", "term", impact.alias("impact")).join(weighted.select("item", "item_id", "term", "w"), ["item", "term"])
-    scores = scores.groupBy("item", "row").agg(F.first("item_id").alias("item_id"), F.first("doc_id").alias("doc_id"), F.sum(F.col("w") * F.col("impact")).alias("score")).where("score > 0")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
+    return scores(candidates).where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
 
 
 def op13_threshold_search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
