@@ -16,11 +16,11 @@ Byte-equal texts become one node first, however many copies there are. Within a
 nodes are compared with the one that meets most others, and not with each other. Of what
 that leaves in different classes, all texts that share a key with other classes are
 compared too: under keys that one class nearly has to itself the few others with all, under other keys where an
-exact prefix filter over the rarest words of texts that keys connect lets them, as texts of similarity s have s * max(n, m) labelled words in common. Before that, the texts of a key whose
+exact prefix filter over the rarer words of texts that keys connect lets them, as texts of similarity s have s * max(n, m) labelled words in common. Before that, the texts of a key whose
 classes differ are compared with one of its largest class, another one for each key, so that
 large groups of near copies have become one class. So a link between classes is missed
-only where similar texts share no key: with edits spread evenly, at similarity 0.95 for one pair
-in a million, at 0.9 for one in forty, fewer if edits stand together (README has measured figures).
+only where similar texts share no key: with edits spread evenly, at similarity 0.8 for about one pair
+in ten, at 0.85 for one in a hundred, at 0.9 for hardly any, fewer if edits stand together (README has measured figures).
 Nothing but counts reaches the driver.
 
 Defined results: a null text is a class of its own; texts without words are linked only
@@ -29,7 +29,7 @@ to byte-equal ones; repeated rows belong to one class; a class is named by its l
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +42,13 @@ from quillgraph.llm.textops import CHUNK_BYTES, mix64, slices, window_hashes, wi
 
 SHINGLE = 5
 SIMILARITY = 0.8
-LENGTH, COUNT = 3, 48
+LENGTH, COUNT = 2, 60
 SHORT_LENGTH, SHORT_COUNT, SHORT = 1, 12, 24
 #: Texts that one task compares with the same other text before that one's rows are split.
 SPLIT = 2000
 FEW = 8
+#: Frequent labels that are told apart by how often they stand; the rest come first, whatever their number.
+FREQUENT = 1 << 16
 SKETCH = "struct<n:bigint,keys:array<bigint>>"
 
 SketchOf = Callable[[str], Column]
@@ -296,22 +298,54 @@ def _with_few_others(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), keys.join(few, "k", "left_anti")
 
 
+def _frequent_labels(left: DataFrame, most: int = FREQUENT) -> np.ndarray:
+    """The labels that most texts of ``left`` (labels) have, rarest first; ``most`` of them at most reach the driver.
+    Tasks count whole batches, so few rows are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, n = np.unique(batch.column("labels").flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(n.astype(np.int64))], names=["label", "n"])
+
+    counted = left.select("labels").mapInArrow(count, "label bigint, n bigint").groupBy("label").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = counted.orderBy(F.desc("n"), "label").limit(most).collect()
+    return np.array([r["label"] for r in reversed(rows)], dtype=np.int64)
+
+
+def _first_labels(frequent: np.ndarray, similarity: float) -> Column:
+    """The labels of each text that come first when frequent ones come last; as many as similar texts need one in common among."""
+    order = np.argsort(frequent)
+    known, rank = frequent[order], order
+
+    @F.arrow_udf("array<bigint>")
+    def first(labels: pa.Array) -> pa.Array:
+        bounds = np.concatenate([[0], np.cumsum(labels.value_lengths().fill_null(0).to_numpy())])
+        flat = labels.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+        late = np.where(known[at] == flat, rank[at] + 1, 0) if len(known) else np.zeros(len(flat), np.int64)
+        sizes = np.diff(bounds)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        flat = flat[np.lexsort((flat, late, owner))]
+        chosen = np.minimum(sizes, np.floor((1 - similarity) * sizes + 1e-9).astype(np.int64) + 1)
+        places = np.repeat(bounds[:-1] - (np.cumsum(chosen) - chosen), chosen) + np.arange(chosen.sum())
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(chosen)]).astype(np.int32)), pa.array(flat[places]))
+
+    return first(F.col("labels"))
+
+
 def _sharing_rare(left: DataFrame, similarity: float, needed: NeedOf) -> DataFrame:
     """Pairs (a, b) of texts of different classes and one group that can be that similar.
 
-    left: id, root, g0 (the group), labels. Labels are put in one order, rare ones first. Two texts of n and m labels need
+    left: id, root, g0 (the group), labels. Labels are put in one order for all texts, frequent ones last. Two texts of n and m labels need
     some in common, ``needed(n, m)``, which is at least similarity * n and at least similarity * m; so
     the first common label has that many but one after it in both, which leaves few places for it and, among many near
-    copies of one text, mostly labels that no other text has. Texts meet under their group and a label together. Their sizes are similar too, so a meeting is split by
+    copies of one text, mostly labels that no other text has. Only the labels in those places leave their text. Texts meet under their group and a label together. Their sizes are similar too, so a meeting is split by
     a logarithm of the size; a text goes to its own part and both next to it. Exact: no such pair of that similarity is lost."""
-    each = left.select("id", "root", F.size("labels").alias("n"), F.explode(F.transform("labels", lambda x: F.xxhash64("g0", x))).alias("h")).repartition("h")
-    known = each.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1")
-    joined = each.join(known, "h")
-    order = Window.partitionBy("id").orderBy("df", "h")
-    placed = joined.withColumn("place", F.col("n") - F.count("*").over(Window.partitionBy("id")) + F.row_number().over(order) - 1)
-    sized = placed.withColumn("g", F.floor(F.log(F.col("n")) / -np.log(similarity)).cast("int"))
-    first = sized.where((F.col("lo") < F.col("hi")) & (F.col("n") - F.col("place") >= similarity * F.col("n") - 1e-9)).select("h", "g", "id", "root", "n", "place")
-    first = stored(first, "rare")
+    firsts = left.select("id", "root", "g0", F.size("labels").alias("n"), _first_labels(_frequent_labels(left), similarity).alias("firsts"))
+    each = firsts.select("id", "root", "n", F.posexplode(F.transform("firsts", lambda x: F.xxhash64("g0", x))).alias("place", "h")).repartition("h")
+    several = each.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    sized = each.join(several, "h").withColumn("g", F.floor(F.log(F.col("n")) / -np.log(similarity)).cast("int"))
+    first = stored(sized.select("h", "g", "id", "root", "n", "place"), "rare")
     # the class that most texts of a meeting are in needn't meet itself
     main = first.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.col("count")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
     one = first.join(main, "h").where("root != main").select("h", F.explode(F.array(*[F.col("g") + k for k in (-1, 0, 1)])).alias("g"), F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("place").alias("px"))
@@ -387,8 +421,10 @@ def op9_order_minhash(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each class, the one of least doc_id, and every row whose text is null."""
-    chosen = classes(docs).where("chosen").select("key")
-    one = docs.where("text IS NOT NULL").groupBy(text_key().alias("_key")).agg(F.min_by(whole_row(docs), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("_row"))
-    kept = one.join(chosen, F.col("_key") == F.col("key"), "left_semi").select("_row.*")
-    return kept.unionByName(docs.where("text IS NULL"))
+    """One row of each class, the one of least doc_id, and every row whose text is null.
+
+    Only keys and ids are grouped; whole rows are dealt once, by them, to meet the chosen ones."""
+    chosen = classes(docs).where("chosen").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
+    rows = docs.where("text IS NOT NULL").select(text_key().alias("_k"), F.col("doc_id").alias("_d"), whole_row(docs).alias("_row"))
+    one = rows.join(chosen.hint("merge"), (F.col("_k") == F.col("_key")) & F.col("_d").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_k", "_d"])
+    return one.select("_row.*").unionByName(docs.where("text IS NULL"))

@@ -251,11 +251,10 @@ def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def kept(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose text passes, with the columns of docs only. The counts are
-    taken twice, once to learn and once to judge, so no join on ids that may repeat is needed."""
-    accuracies = learn(docs.select(counts("text").alias("_counts")))
-    marked = docs.select(whole_row(docs).alias("_row"), counts("text").alias("_counts"))
-    return marked.where(~base_failed() & (posterior(accuracies) >= threshold)).select("_row.*")
+    """The rows of docs whose text passes, with the columns of docs only. Rows are stored with
+    their counts, so texts are counted once and no join on ids that may repeat is needed."""
+    marked = stored(docs.select(whole_row(docs).alias("_row"), counts("text").alias("_counts")), "counted")
+    return marked.where(~base_failed() & (posterior(learn(marked)) >= threshold)).select("_row.*")
 
 
 def op1_quality_rules(docs: DataFrame) -> DataFrame:

@@ -434,11 +434,11 @@ def _edited(rng, text, n):
 
 @pytest.mark.parametrize("kind", ["few words", "many words"])
 def test_recall_by_edit_similarity(spark, kind):
-    """Pairs of random texts of 50 to 1,000 words at edit similarity 0.9 to 0.99."""
+    """Pairs of random texts of 50 to 1,000 words at edit similarity 0.8 to 0.99: 0.9 of all are found, and of those below 0.85."""
     rng = random.Random(12)
     texts, pairs = {}, []
     for size in (50, 60, 120, 300, 1000):
-        for share in (0.01, 0.03, 0.06, 0.1):
+        for share in (0.01, 0.05, 0.1, 0.14, 0.19, 0.2):
             for _ in range(15):
                 base = [f"w{rng.randrange(300 if kind == 'few words' else 10**6)}" for _ in range(size)]
                 d = len(texts)
@@ -446,8 +446,10 @@ def test_recall_by_edit_similarity(spark, kind):
                 pairs.append((d, d + 1))
     docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string").repartition(7)
     found = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in neardup.op9_order_minhash(docs).collect()}
-    near = [(a, b) for a, b in pairs if edit_similarity(texts[a], texts[b]) >= 0.9]
-    assert len(near) > 250 and sum(found[a][0] == found[b][0] for a, b in near) >= 0.98 * len(near)
+    near = {pair: edit_similarity(texts[pair[0]], texts[pair[1]]) for pair in pairs}
+    for low, high, share in ((0.8, 1.01, 0.95), (0.9, 1.01, 0.99), (0.8, 0.85, 0.9)):
+        own = [found[a][0] == found[b][0] for (a, b), x in near.items() if low <= x < high]
+        assert len(own) > 80 and sum(own) >= share * len(own), (low, len(own), sum(own))
     assert all(size <= 2 for _, size in found.values())
 
 

@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import lm, mixing, neardup, pii, tokencount, urlfilter, warc
@@ -121,7 +122,23 @@ def test_fitting_stops_when_it_has_arrived():
 def test_hash_ranges_choose_the_sample(spark):
     rows = spark.range(3000).select(F.concat(F.lit("http://a.org/"), "id").alias("url"), F.when(F.col("id") % 3 == 0, "block").otherwise("allow").alias("verdict"))
     many, few = urlfilter.learn(rows, 500), urlfilter.learn(rows, 5000)
-    assert 400 <= many.accepted.sampled + many.rejected.sampled <= 500 and few.accepted.sampled + few.rejected.sampled == 1500
+    assert 250 <= many.accepted.sampled + many.rejected.sampled <= 500 and few.accepted.sampled + few.rejected.sampled == 1500
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4, 16])
+def test_a_sample_is_found_however_many_rows_a_range_has(spark, bits):
+    rows = spark.range(4000).select(F.xxhash64(F.col("id").cast("string")).alias("h")).cache()
+    hashes = [r["h"] for r in rows.collect()]
+    for sample in (1, 2, 7, 300, 3999, 4000, 5000):
+        limit = urlfilter.hash_limit(rows, sample, bits)
+        n = 4000 if limit is None else sum(h < limit for h in hashes)
+        assert n <= sample and 2 * n >= min(sample, 4000)
+    assert urlfilter.hash_limit(rows.limit(0), 5, bits) is None
+
+
+def test_urls_beyond_the_sample_still_have_a_model(spark):
+    rows = spark.range(2000).select(F.concat(F.lit("http://a.org/"), "id").alias("url"), F.when(F.col("id") % 3 == 0, "block").otherwise("allow").alias("verdict"))
+    assert urlfilter.learn(rows, 2) is not None
 
 
 def test_long_urls_and_clashing_columns(spark):
