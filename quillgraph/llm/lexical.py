@@ -8,12 +8,11 @@ The TOP-th impact of any one term is a lower bound of an item's TOP-th score, an
 
 An item's terms are ordered by falling largest impact. From the place on where all that
 follows can't reach the bound together, terms are left out: a document that has only those isn't among the best. The
-other terms' postings are joined and summed by (item, document); where the sum and all that
+other terms meet the postings of all documents, the items in blocks; where a document's sum and all that
 the left-out terms could add reach the bound, the document is a candidate, and its score
 is computed anew from all its terms. Nothing is cut by number, so the result is exact.
 
-Postings of a term are dealt to about sqrt(N) / ``DEAL`` parts by document, so a term that
-every document has isn't one task's. Terms are told apart by 64-bit hashes.
+A term that every document has is one posting of each document's row, which stays where it is. Terms are told apart by 64-bit hashes.
 
 Defined results: null texts and texts without a term are no documents; an item without terms,
 or an empty table on either side, gives no rows; equal scores rank by ascending doc_id, null ones
@@ -24,6 +23,7 @@ items have a ranking each; other columns are never looked at.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,8 @@ TOP = 50
 TRIED = 8
 FILTER_BITS = 22
 PROBES = 3
-DEAL = 16
+#: Pairs of an item and a leading term that are sent to the workers at once, and sums that one worker holds at once.
+BLOCK_TERMS, CELLS = 500_000, 4_000_000
 TERMS = "struct<n:bigint,terms:array<bigint>,tf:array<bigint>>"
 
 
@@ -88,6 +89,64 @@ def term_filter(terms: DataFrame) -> np.ndarray:
     return out
 
 
+class Block:
+    """Leading terms of some items: sorted terms, for each the items that have it with their weights, and what each item's sum has to reach."""
+
+    def __init__(self, item: np.ndarray, term: np.ndarray, w: np.ndarray, need: np.ndarray) -> None:
+        self.items, which = np.unique(item, return_inverse=True)
+        order = np.lexsort((which, term))
+        self.terms, first = np.unique(term[order], return_index=True)
+        self.begin = np.append(first, len(order))
+        self.item, self.w = which[order], w[order]
+        self.need = np.zeros(len(self.items))
+        self.need[which] = np.maximum(need, 1)
+
+    def reached(self, owner: np.ndarray, term: np.ndarray, impact: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """(item, document) for which the sum over postings (owner: the document's number) reaches what the item needs."""
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        hit = self.terms[at] == term
+        at, owner, impact = at[hit], owner[hit], impact[hit]
+        many = self.begin[at + 1] - self.begin[at]
+        posting = np.repeat(self.begin[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        # sums of whole numbers below 2**53, so they are exact
+        some = np.bincount(np.repeat(owner, many) * len(self.items) + self.item[posting], weights=self.w[posting] * np.repeat(impact, many).astype(np.float64), minlength=docs * len(self.items))
+        place = np.flatnonzero(some.reshape(docs, -1) >= self.need)
+        return self.items[place % len(self.items)], place // len(self.items)
+
+
+def _candidates(found: DataFrame, leading: DataFrame, n: int, total: int, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """(item, row) of the documents that can be among an item's best.
+
+    The items' leading terms meet all documents in blocks of about ``block_terms`` of them, one after another, so what is sent
+    to the workers is bounded; within a block a document's sums are made where its row is, and only candidates leave it."""
+    spark = found.sparkSession
+    blocks = max(1, math.ceil(leading.count() / block_terms))
+    out = None
+    for k in range(blocks):
+        own = leading.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toArrow()
+        if not own.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast(Block(*(own.column(c).to_numpy() for c in ("item", "term", "w", "need"))))
+
+        def meet(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            block = sent.value
+            step = max(1, CELLS // len(block.items))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    bounds = np.concatenate([[0], np.cumsum(part.column("terms").value_lengths().to_numpy())])
+                    owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                    tf, term = (part.column(c).flatten().to_numpy() for c in ("tf", "terms"))
+                    m = 50 + (50 * part.column("n").to_numpy() * n) // total
+                    item, doc = block.reached(owner, term, 10**9 * tf // (1000 * tf + 20 * m[owner]), part.num_rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(item), part.column("row").take(pa.array(doc))], names=["item", "row"])
+
+        pairs = stored(found.select("row", "n", "terms", "tf").mapInArrow(meet, "item bigint, row bigint"), "candidates")
+        sent.destroy()
+        out = pairs if out is None else out.union(pairs)
+    return leading.select("item", F.col("item").alias("row")).limit(0) if out is None else out
+
+
 def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     """item_id, rank, doc_id, score: the ``top`` best documents (doc_id, text) of each item (item_id, text)."""
     asked = stored(items.select("item_id", counted("text").alias("c")).withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", F.explode("c.terms").alias("term")), "asked")
@@ -121,14 +180,9 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     # terms in order of what they can give at most; those of the end can't reach the bound together
     falling = Window.partitionBy("item").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ordered = stored(weighted.withColumn("rest", F.sum("most").over(falling)).join(bounds, "item"), "ordered")
-    leading = ordered.where("rest >= bound").select("item", "item_id", "term", "w", "bound")
-    left_out = ordered.where("rest < bound").groupBy("item").agg(F.max("rest").alias("rest"))
-    parts = max(1, math.ceil(math.sqrt(n) / DEAL))
-    dealt = postings.join(leading.select("term").distinct(), "term", "left_semi").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
-    copies = leading.join(left_out, "item", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("bigint"))
-    met = dealt.join(copies.hint("shuffle_hash"), ["term", "part"])
-    likely = met.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("some"), F.first("bound").alias("bound"), F.first("rest").alias("rest"))
-    candidates = likely.where(F.col("some") + F.coalesce("rest", F.lit(0)) >= F.col("bound")).select("item", "row")
+    leading = ordered.where("rest >= bound").join(ordered.where("rest < bound").groupBy("item").agg(F.max("rest").alias("left_out")), "item", "left")
+    leading = stored(leading.select("item", "term", "w", (F.col("bound") - F.coalesce("left_out", F.lit(0))).alias("need")), "leading")
+    candidates = _candidates(found, leading, n, total)
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return scores(candidates).where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
 
