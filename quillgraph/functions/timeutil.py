@@ -32,6 +32,11 @@ def age_days(stamp: Column, as_of: str | Column) -> Column:
     return F.when(days.isNotNull(), F.greatest(days, F.lit(0.0)))
 
 
+def age_stamp(*stamps: Column | str) -> Column:
+    """The first stamp that is there, of columns in order of trust; strings that aren't times count as missing."""
+    return F.coalesce(*[F.try_to_timestamp(F.col(s).cast("string")) if isinstance(s, str) else s.cast("timestamp") for s in stamps])
+
+
 def recency(stamp: Column, as_of: str | Column) -> Column:
     return F.coalesce(F.exp(-age_days(stamp, as_of) / RECENCY_DAYS), F.lit(0.0))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import FRONT_MATTER, markdown_to_text, ordered_tokens, slugify, tokenize, words
-from quillgraph.plans.vocabulary import Vocabulary
+from quillgraph.plans.vocabulary import HASHTAG, Vocabulary
 
 # Fixed values.
 REGIONS = {"frontmatter": 5.0, "metadataBlock": 4.0, "titleText": 3.0, "breadcrumb": 2.0, "body": 1.0}
@@ -167,3 +167,16 @@ def inferred_marker(text: Column, name: str, vocabulary: Vocabulary) -> Column:
     hay = F.concat(F.lit("-"), slugify(text), F.lit("-"))
     values = [F.when(hay.contains(f"-{form}-"), F.lit(value)) for form, value in vocabulary.looked_for(name)]
     return F.coalesce(*values, F.lit(None).cast("string"))
+
+
+def hashtags(text: str | Column, vocabulary: Vocabulary) -> Column:
+    """(known: marker by field, unknown tags, rest: the text without the known tags) of ``#value`` tags. A value of several
+    fields is the first one's; the last tag of a field wins."""
+    column = F.col(text) if isinstance(text, str) else text
+    field_of = {value.lower(): name for name, values in reversed(vocabulary.markers.items()) for value in values}
+    table = F.create_map(*[F.lit(x) for pair in field_of.items() for x in pair])
+    tags = F.transform(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(HASHTAG.pattern), 0), lambda t: F.substring(t, 2, 1 << 30))
+    told = F.filter(F.transform(tags, lambda t: F.struct(table[F.lower(t)].alias("field"), F.lower(t).alias("value"))), lambda e: e["field"].isNotNull())
+    last = F.aggregate(told, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["field"]), F.create_map(e["field"], e["value"])))
+    words_ = F.transform(F.filter(F.split(F.coalesce(column, F.lit("")), r"\s+"), lambda w: w != ""), lambda w: F.when(w.rlike("^(?:" + HASHTAG.pattern + ")$") & table[F.lower(F.substring(w, 2, 1 << 30))].isNotNull(), F.lit("")).otherwise(w))
+    return F.struct(last.alias("known"), F.filter(tags, lambda t: table[F.lower(t)].isNull()).alias("unknown"), F.array_join(F.filter(words_, lambda w: w != ""), " ").alias("rest"))

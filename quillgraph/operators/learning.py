@@ -25,6 +25,15 @@ def token_document_frequency(records: DataFrame, text: Column | None = None) ->
     return records.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
+def frequency_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(token, df): what the document frequencies change by where records ``before`` become ``after``; only their texts are read."""
+    signed = None
+    for records, sign in ((before, -1), (after, 1)):
+        part = records.select(F.explode(F.array_distinct(ordered_tokens(text_of()))).alias("token"), F.lit(sign).alias("df"))
+        signed = part if signed is None else signed.unionByName(part)
+    return signed.groupBy("token").agg(F.sum("df").cast("bigint").alias("df")).where("df != 0")
+
+
 def corpus_size(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("n"))
 

@@ -170,8 +170,37 @@ def inspect_rank(records: DataFrame, query: Query, as_of: str) -> DataFrame:
     """id, raw, score and the rank by falling raw score, then id, among records with a raw score above 0.
 
     The rank is 1 + how many stand before, so it needs a global order; only (id, score) take part."""
-    own = scored(records, query, as_of).select("id", F.col("f.raw").alias("raw"), F.col("f.score").alias("score")).where("raw > 0")
-    return global_rank(own, [F.desc("raw"), F.asc("id")])
+    return global_rank(raw_scores(records, query, as_of), [F.desc("raw"), F.asc("id")])
+
+
+def raw_scores(records: DataFrame, query: Query, as_of: str) -> DataFrame:
+    """id, raw, score of the visible records whose raw score is above 0."""
+    return scored(records, query, as_of).select("id", F.col("f.raw").alias("raw"), F.col("f.score").alias("score")).where("raw > 0")
+
+
+def inspect_report(record_id: str, found: dict[str, DataFrame]) -> str:
+    """What ``inspect`` found of one record as text; only its own rows and up to 10 edges each way reach the driver."""
+    factors, rank = found["factors"].first(), found["rank"].first()
+    lines = [f"record {record_id}: " + ("not visible" if factors is None else "relevant" if factors["relevant"] else "not relevant")]
+    if factors is not None:
+        lines += [f"{n}: {', '.join(v) if isinstance(v, list) else v}" for n, v in factors.asDict().items() if n not in ("id", "relevant")]
+    lines.append(f"rank: {rank['rank'] if rank is not None else 'none'}")
+    for side, end in (("outgoing", "target"), ("incoming", "source")):
+        lines += [f"{side}: {r['type']} {r[end]} ({r['kind']}, {r['confidence']})" for r in found[side].orderBy("kind", F.desc("confidence"), end).limit(10).collect()]
+    return "\n".join(lines)
+
+
+def ranks_of(ranked_: DataFrame, ids: DataFrame, score: str = "raw") -> DataFrame:
+    """The rows of ranked_ (id, score) that ``ids`` names, with their ``rank`` by falling score, then id: 1 and how many stand before.
+
+    A histogram of the scores (rounded to three digits, so it has few distinct ones) with sums of the greater ones counts those of
+    better scores; only records of equal score with an id before are counted one by one. Nothing is sorted."""
+    wanted = ranked_.join(ids.select("id").distinct(), "id", "left_semi")
+    histogram = ranked_.groupBy(score).agg(F.count("*").alias("_n"))
+    before = histogram.withColumn("_better", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(score, "_better")
+    equal = ranked_.select(score, F.col("id").alias("_other")).join(wanted.select("id", score), score).where(F.col("_other") < F.col("id")).groupBy("id").agg(F.count("*").alias("_equal"))
+    out = wanted.join(before, score).join(equal, "id", "left")
+    return out.withColumn("rank", (1 + F.col("_better") + F.coalesce("_equal", F.lit(0))).cast("bigint")).drop("_better", "_equal")
 
 
 def global_rank(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -188,7 +217,7 @@ def inspect(records: DataFrame, edges: DataFrame, query: Query, record_id: str,
     """The factors, rank and edges of one record."""
     return {
         "factors": scored(records, query, as_of).where(F.col("id") == record_id).select("id", "relevant", "f.*"),
-        "rank": inspect_rank(records, query, as_of).where(F.col("id") == record_id),
+        "rank": ranks_of(raw_scores(records, query, as_of), records.where(F.col("id") == record_id)),
         "outgoing": edges.where(F.col("source") == record_id),
         "incoming": edges.where(F.col("target") == record_id),
     }

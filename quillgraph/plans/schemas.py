@@ -18,7 +18,13 @@ CURSOR = "source_key string, watermark timestamp"
 PROPOSAL = "status string, value string, source string, field string, confidence double"
 OUTBOX = "id string, ordinal bigint"
 PUSH_STATE = "id string, page_id string, revision int, pushed_at timestamp"
-TABLES = {"records": RECORD, "edges": EDGE, "token_df": TOKEN_DF, "cursors": CURSOR, "proposals": PROPOSAL, "outbox": OUTBOX, "push_state": PUSH_STATE}
+MEETING = "id string, k string"
+TABLES = {"records": RECORD, "edges": EDGE, "meeting": MEETING, "token_df": TOKEN_DF, "cursors": CURSOR, "proposals": PROPOSAL, "outbox": OUTBOX, "push_state": PUSH_STATE}
+
+#: What a row of a table is known by; a change replaces or removes all rows of a key.
+KEYS = {"records": ["id"], "edges": ["source", "target", "type"], "meeting": ["id"]}
+#: Tables of counts, by key and count; a change is a difference to add.
+COUNTS = {"token_df": ("token", "df")}
 
 
 def record_columns() -> list[tuple[str, str]]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
 from quillgraph.functions import timeutil as tm
+from quillgraph.operators import batch as ba
 from quillgraph.operators import classify as cl
 from quillgraph.operators import evaluation as ev
 from quillgraph.operators import learning as le
@@ -68,9 +69,10 @@ def markdown_to_text(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.md5(tx.markdown_to_text(text)).alias("digest"))
 
 
-@query(r"""SELECT doc_id, 'b' || doc_id || '.md' AS target FROM documents UNION ALL SELECT doc_id, 'c d.md' FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, trim(unnest(regexp_extract_all('see [x](b' || doc_id || '.md#part) ' || text || ' and [y](c%20d.md), not [z](https://a.b/c.md) or [w](#top) or [v](pic.png)', '{LINK}', 1))) AS t FROM documents)
+SELECT doc_id, split_part(url_decode(t), '#', 1) AS target FROM t WHERE t != '' AND t NOT LIKE '#%' AND NOT regexp_matches(lower(t), '^(https?://|mailto:|notion://)') AND lower(t) LIKE '%.md%'""".replace("{LINK}", tx.LINK))
 def markdown_links(spark, folder):
-    text = F.concat(F.lit("see [x](b"), F.col("doc_id"), F.lit(".md#part) and [y](c%20d.md), not [z](https://a.b/c.md) or [w](#top) or [v](pic.png)"))
+    text = F.concat(F.lit("see [x](b"), F.col("doc_id"), F.lit(".md#part) "), F.col("text"), F.lit(" and [y](c%20d.md), not [z](https://a.b/c.md) or [w](#top) or [v](pic.png)"))
     return table(spark, folder, "documents").select("doc_id", F.explode(tx.link_targets(text)).alias("target"))
 
 
@@ -286,6 +288,12 @@ def inspect_rank(spark, folder):
     return rt.inspect_rank(vw.order_records(spark, folder), _asked(), AS_OF)
 
 
+@query(f"WITH {_score_sql()}, x AS (SELECT id, raw, score, row_number() OVER (ORDER BY raw DESC, id) AS rank FROM s WHERE raw > 0) SELECT x.* FROM x WHERE id IN (SELECT 'order:' || event_id FROM events)")
+def ranks_of_some(spark, folder):
+    wanted = table(spark, folder, "events").select(F.concat(F.lit("order:"), F.col("event_id")).alias("id"))
+    return rt.ranks_of(rt.raw_scores(vw.order_records(spark, folder), _asked(), AS_OF), wanted)
+
+
 @query(f"""WITH {_score_sql()} SELECT id, {_cases("severity", rt.SEVERITY, 0.0)}::DOUBLE AS severity, {_cases("status", rt.STATUS, rt.OTHER_STATUS)}::DOUBLE AS status, round(n_markers / 4.0, 6) AS exactness, round(n_tokens / 4.0, 6) AS token_overlap, raw FROM s""")
 def inspect_factors(spark, folder):
     own = rt.scored(vw.order_records(spark, folder), _asked(), AS_OF)
@@ -417,6 +425,18 @@ def graph_diff_records(spark, folder):
     return lc.record_diff(*_snapshots(spark, folder)).withColumn("fields", F.array_join("fields", ","))
 
 
+@query("""SELECT 'order:' || o_orderkey AS id, unnest(['title', 'version']) AS field, unnest([o_orderpriority, '1']) AS "left", unnest(['changed', '2']) AS "right" FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' AND o_orderkey % 13 != 0 AND o_orderkey % 11 = 0""")
+def graph_field_changes(spark, folder):
+    return lc.field_changes(*_snapshots(spark, folder))
+
+
+@query("""WITH o AS (SELECT 'order:' || o_orderkey AS id, o_orderkey, o_orderdate < TIMESTAMP '2000-01-01' AS l, o_orderkey % 13 != 0 AS r, o_orderkey % 11 = 0 AS c FROM orders)
+SELECT id, CASE WHEN NOT l THEN 'added' WHEN NOT r THEN 'removed' ELSE 'modified' END AS change, CASE WHEN l AND r THEN 'title,version' ELSE '' END AS fields FROM o WHERE NOT l AND r OR l AND NOT r OR l AND r AND c""")
+def graph_diff_by_digest(spark, folder):
+    left, right = _snapshots(spark, folder)
+    return lc.record_diff_by_digest(left, right, lc.bucket_digests(left), lc.bucket_digests(right)).withColumn("fields", F.array_join("fields", ","))
+
+
 @query("""WITH a AS (SELECT DISTINCT 'o:' || l_orderkey AS source, 'p:' || l_partkey AS target FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'), b AS (SELECT DISTINCT 'o:' || l_orderkey AS source, 'p:' || l_partkey AS target FROM lineitem WHERE l_returnflag != 'R')
 SELECT *, 'removed' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'added' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def graph_diff_edges(spark, folder):
@@ -548,7 +568,9 @@ def promote_cohorts(spark, folder):
 _EVAL_SQL = f"""q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '{TOKEN}')) AS t FROM benchmark), d AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '{TOKEN}'))) AS token FROM documents),
 a AS (SELECT query_id, len(t) AS n, unnest(t) AS token FROM q), s AS (SELECT query_id, id, round(count(*) / any_value(n), 3) AS score FROM a JOIN d USING (token) GROUP BY query_id, id),
 ret AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10),
-ex AS (SELECT query_id, id FROM (SELECT query_id, doc_id AS id FROM q, labels WHERE quality = 1 AND doc_id % 40 = query_id % 40)),
+o AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{TOKEN}') AS t FROM documents), oq AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '{TOKEN}') AS t FROM benchmark),
+wd AS (SELECT DISTINCT id, array_to_string(t[i:i + 4], ' ') AS w FROM o, unnest(range(1, len(t) - 3)) AS u(i)), wq AS (SELECT DISTINCT query_id, array_to_string(t[i:i + 4], ' ') AS w FROM oq, unnest(range(1, len(t) - 3)) AS u(i)),
+ex AS (SELECT DISTINCT query_id, id FROM wq JOIN wd USING (w) JOIN labels ON doc_id = id WHERE quality = 1),
 res AS (SELECT q.query_id, CASE WHEN want = 0 THEN 1.0 WHEN n = 0 THEN 0.0 ELSE hits / n END AS precision, CASE WHEN want = 0 THEN 1.0 ELSE hits / want END AS recall FROM
 (SELECT query_id, (SELECT count(*) FROM ret r WHERE r.query_id = q.query_id AND rank <= 5) AS n, (SELECT count(*) FROM ret r JOIN ex USING (query_id, id) WHERE r.query_id = q.query_id AND rank <= 5) AS hits, (SELECT count(DISTINCT id) FROM ex WHERE ex.query_id = q.query_id) AS want FROM q) q)"""
 
@@ -557,8 +579,9 @@ def _evaluated(spark, folder):
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), tx.tokenize("text").alias("tokens"))
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), tx.tokenize("text").alias("tokens"))
     found = ev.batch_retrieve(docs, asked, 10)
-    good = table(spark, folder, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("k"))
-    wanted = asked.select("query_id", (F.col("query_id") % 40).alias("k")).join(good, "k").select("query_id", "id")
+    good = table(spark, folder, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    in_order = [table(spark, folder, name).select(F.col(key).alias(own), tx.ordered_tokens("text").alias("tokens")) for name, key, own in (("documents", "doc_id", "id"), ("benchmark", "item_id", "query_id"))]
+    wanted = ev.sharing_windows(*in_order).join(good, "id", "left_semi").select("query_id", "id")
     return found, ev.at_k(found, wanted, asked.select("query_id", F.lit(5).alias("k")))
 
 
@@ -572,10 +595,79 @@ def precision_recall_at_k(spark, folder):
     return _evaluated(spark, folder)[1]
 
 
-@query(f"WITH {_EVAL_SQL} SELECT count(*) AS query_count, round(avg(precision), 9) AS mean_precision, round(avg(recall), 9) AS mean_recall, 0.5 AS pack_ratio FROM res")
+@query(f"""WITH {_EVAL_SQL} SELECT count(*) AS query_count, round(avg(precision), 9) AS mean_precision, round(avg(recall), 9) AS mean_recall,
+round((SELECT sum(length(text)) FROM ret JOIN documents ON doc_id = id WHERE rank <= 5) / (count(*) * (SELECT sum(length(text)) FROM documents)), 9) AS pack_ratio FROM res""")
 def eval_summary(spark, folder):
-    out = ev.summary(_evaluated(spark, folder)[1].withColumns({"pack_size": F.lit(1), "full_size": F.lit(2)}))
-    return out.select("query_count", F.round("mean_precision", 9).alias("mean_precision"), F.round("mean_recall", 9).alias("mean_recall"), "pack_ratio")
+    found, results = _evaluated(spark, folder)
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    out = ev.summary(ev.with_sizes(results, found.where("rank <= 5"), docs))
+    return out.select("query_count", *[F.round(c, 9).alias(c) for c in ("mean_precision", "mean_recall", "pack_ratio")])
+
+
+# ---- many queries at once ----
+
+_MODES = (None, *PRESETS)
+
+
+def _order_queries(spark, folder):
+    """A query for each priority and segment, in turn under each mode and none."""
+    own = vw.order_records(spark, folder).select(F.split("title", " ")[0].alias("p"), F.split("title", " ")[1].alias("s"), F.substring_index("title", " ", 1).alias("_"), "markers", "title")
+    words = F.regexp_extract("title", "^([0-9]-(?:NOT SPECIFIED|[A-Z]+) [A-Z]+) ", 1)
+    own = own.select(words.alias("query_id"), F.map_filter("markers", lambda k, v: k.isin("severity", "domain")).alias("m")).dropDuplicates(["query_id"])
+    mode = F.element_at(F.array(*[F.lit(m) for m in _MODES]), (F.substring("query_id", 1, 1).cast("int") + F.length("query_id")) % len(_MODES) + 1)
+    return own.select("query_id", tx.tokenize("query_id").alias("tokens"), F.transform_values("m", lambda k, v: v[0]).alias("asked"), mode.alias("mode"))
+
+
+def _batch_sql() -> str:
+    parts = []
+    for mode in _MODES:
+        intent = PRESETS[mode] if mode else None
+        factor = lambda name: intent.table(name) if intent else {}  # noqa: B023, E731
+        n = "((severity = qs)::INT + (domain = qd)::INT)"
+        boost = f"CASE WHEN {n} = 0 THEN 1.0 ELSE ((severity = qs)::INT * {factor('marker').get('severity', 1.0)}::DOUBLE + (domain = qd)::INT * {factor('marker').get('domain', 1.0)}::DOUBLE) / {n} END"
+        base = f"{n} / 2.0::DOUBLE * {boost} * 0.45 + len(list_intersect(tokens, qt)) / len(qt)::DOUBLE * 0.2 + {_cases('severity', rt.SEVERITY, 0.0)}::DOUBLE * 0.15 + {_cases('status', rt.STATUS, rt.OTHER_STATUS)}::DOUBLE * 0.1 + exp(-{_AGE} / 30.0) * 0.1"
+        times = f"({_cases('type', factor('type'))})::DOUBLE * ({_cases('status', factor('status'))})::DOUBLE * {factor('set').get('freshness', 1.0)}"
+        parts.append(f"SELECT *, {n} + len(list_intersect(tokens, qt)) AS hits, round(({base}) * {times} + 5e-10, 3) AS raw FROM r JOIN q ON q.mode IS NOT DISTINCT FROM {f'{chr(39)}{mode}{chr(39)}' if mode else 'NULL'} WHERE NOT archived")
+    half = "CASE type WHEN 'rule' THEN 365 WHEN 'decision' THEN 180 WHEN 'architecture' THEN 180 ELSE 900 END"
+    modes = ", ".join(f"'{m}'" if m else "NULL" for m in _MODES)
+    return f"""WITH {ORDERS_SQL}, q AS (SELECT DISTINCT o_orderpriority || ' ' || c_mktsegment AS query_id, severity AS qs, domain AS qd, {vw._sql_tokens("o_orderpriority || ' ' || c_mktsegment")} AS qt,
+([{modes}])[(substr(o_orderpriority, 1, 1)::INT + length(o_orderpriority || ' ' || c_mktsegment)) % {len(_MODES)} + 1] AS mode FROM r0),
+x AS ({" UNION ALL ".join(parts)}), s AS (SELECT query_id, id, o_orderkey, round(raw * pow(0.5, {_AGE} / {half}) + 5e-10, 3) AS score FROM x WHERE hits > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o_orderkey)::INT AS rank FROM s WHERE score > 0) SELECT query_id, id, score, rank FROM k WHERE rank <= 8"""
+
+
+_LIVES = {"default": 900.0, "task": 900.0, "bug": 900.0, "incident": 900.0}
+
+
+@query(_batch_sql())
+def batch_best(spark, folder):
+    return ba.best(vw.order_records(spark, folder), _order_queries(spark, folder), AS_OF, half_lives=_LIVES)
+
+
+_NOUNS = ("ring", "anvil", "gizmo", "bolt", "gear", "plate", "rod", "widget")
+_ASKED = [(f"{noun}:{mode}", noun, mode) for k, noun in enumerate(_NOUNS) for mode in (list(PRESETS)[k % len(PRESETS)],)]
+
+
+def _frontier_sql(hops: int = 3) -> str:
+    def of(mode: str, factor: str, key: str, otherwise: float) -> float:
+        return PRESETS[mode].table(factor).get(key, otherwise)
+
+    values = ", ".join(f"('{q}', '{n}', {of(m, 'set', 'hop_cap', hops)}, {of(m, 'set', 'hop_penalty', 0.5)}::DOUBLE, {of(m, 'marker', 'flow', 1.0)}::DOUBLE, {of(m, 'set', 'freshness', 1.0)}::DOUBLE, {vw._sql_list(list(PRESETS[m].table('relation')))})" for q, n, m in _ASKED)
+    base = f"""{PARTS_SQL}, {LINKS_SQL}, q(query_id, noun, cap, pen, boost, fresh, rels) AS (VALUES {values}),
+own AS (SELECT query_id, cap, pen, rels, id, p_partkey, (flow = noun || '-3')::INT AS m, len(list_intersect(tokens, [noun])) AS t, round(round(((flow = noun || '-3')::INT * boost * 0.45 + len(list_intersect(tokens, [noun])) * 0.2::DOUBLE + 0.025 + exp(-31 / 30.0) * 0.1) * fresh + 5e-10, 3) * pow(0.5, 31 / 1e12) + 5e-10, 3) AS own FROM p0, q),
+l0 AS MATERIALIZED (SELECT query_id, id, own AS score, 0 AS hop, [p_partkey::BIGINT] AS disc FROM own WHERE m + t > 0 AND own > 0), f0 AS (SELECT * FROM l0)"""
+    for h in range(1, hops + 1):
+        base += f""", l{h} AS MATERIALIZED (SELECT query_id, target AS id, score, {h} AS hop, disc FROM (SELECT *, row_number() OVER (PARTITION BY query_id, target ORDER BY disc) AS n FROM (SELECT l.query_id, k.target, round(greatest(o.own * pow(o.pen, {h - 1}), l.score * o.pen) + 5e-10, 3) AS score, list_append(l.disc, k.ordinal::BIGINT) AS disc
+FROM l{h - 1} l JOIN links k ON k.source = l.id JOIN own o ON o.id = k.target AND o.query_id = l.query_id AND o.cap >= {h} AND list_contains(o.rels, k.rel) WHERE NOT EXISTS (SELECT 1 FROM f{h - 1} f WHERE f.query_id = l.query_id AND f.id = k.target)) WHERE score > 0) WHERE n = 1),
+f{h} AS (SELECT * FROM f{h - 1} UNION ALL SELECT * FROM l{h})"""
+    return f"WITH {base} SELECT query_id, id, score, hop FROM f{hops}"
+
+
+@query(_frontier_sql())
+def frontier_modes(spark, folder):
+    own = vw.part_records(spark, folder, related=True, typed=True)
+    asked = spark.createDataFrame([(q, [n], {"flow": f"{n}-3"}, m) for q, n, m in _ASKED], "query_id string, tokens array<string>, asked map<string,string>, mode string")
+    return ba.expanded(own, asked, AS_OF, hops=3, half_lives={"default": 1e12}).select("query_id", "id", "score", "hop")
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -584,20 +676,30 @@ def windowed_changes(spark, folder):
     return windowed_counts(own).withColumn("start", F.unix_micros("start"))
 
 
-@query("SELECT * FROM (VALUES ('artifact', 'ui-modal'), ('flow', 'checkout'), ('rest', 'fix the #odd thing')) AS t(name, value)")
-def hashtag_markers(spark, folder):
-    found, _, rest = Vocabulary().hashtags("fix #checkout the #odd  #UI-modal thing")
-    return spark.createDataFrame([*found.items(), ("rest", rest)], "name string, value string")
+def _case(hay: str, name: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains({hay}, '-{form}-') THEN '{value}'" for form, value in _SHOP.looked_for(name)) + " END"
 
 
-@query("SELECT * FROM (VALUES ('artifact', 'webhook'), ('domain', 'payments'), ('flow', 'webhook')) AS t(field, value)")
+@query(f"""WITH h AS (SELECT p_partkey, '-' || {SLUG.format("p_type || ' ' || p_name")} || '-' AS h FROM part)
+SELECT p_partkey, {_case("h", "artifact")} AS artifact, {_case("h", "flow")} AS flow, {_case("h", "type")} AS type FROM h""")
 def query_signals(spark, folder):
-    return spark.createDataFrame(list(Vocabulary().query_markers("webhook payment retry").items()), "field string, value string")
+    text = F.concat_ws(" ", "p_type", "p_name")
+    return table(spark, folder, "part").select("p_partkey", *[cl.inferred_marker(text, n, _SHOP).alias(n) for n in ("artifact", "flow", "type")])
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT id, nullif(artifact, 'webhook') AS artifact, CASE WHEN artifact = 'webhook' THEN 'webhook' ELSE flow END AS flow, 'fix the #odd thing' AS rest FROM r""")
+def hashtag_markers(spark, folder):
+    own = vw.order_records(spark, folder).select("id", F.format_string("fix #%s the #odd  #%s thing", F.upper(cl.scalar("markers", "flow")), cl.scalar("markers", "artifact")).alias("text"))
+    return own.select("id", F.inline(F.array(cl.hashtags("text", Vocabulary())))).select("id", F.col("known")["artifact"].alias("artifact"), F.col("known")["flow"].alias("flow"), "rest")
 
 
-@query(f"SELECT field, count(*) AS n FROM (VALUES {', '.join(f'({n!r})' for n, values in MARKERS.items() for _ in values)}, ('domain')) AS t(field) GROUP BY field")
+@query("""SELECT 'domain' AS field, value FROM (SELECT DISTINCT lower(c_mktsegment) AS value FROM customer WHERE c_mktsegment != 'HOUSEHOLD' UNION SELECT 'payments')
+UNION ALL SELECT DISTINCT 'flow', lower(event_type) FROM events""")
 def merged_vocabulary(spark, folder):
     from quillgraph.plans.vocabulary import merged
 
-    own = merged(Vocabulary(), {"markers": {"domain": ["payments"]}}, {"domain": ["lending", "cards"]}, {"domain": ["cards"]})
-    return spark.createDataFrame([(n, v) for n, values in own.markers.items() for v in values], "field string, value string").groupBy("field").agg(F.count("*").alias("n"))
+    # accepted proposals and rejected values from tables; both are vocabularies, so small
+    segments = sorted(r[0] for r in table(spark, folder, "customer").select(F.lower("c_mktsegment")).distinct().collect())
+    events = sorted(r[0] for r in table(spark, folder, "events").select(F.lower("event_type")).distinct().collect())
+    own = merged(Vocabulary({"domain": ["payments"]}, {}), {"markers": {"flow": events}}, {"domain": segments}, {"domain": ["household"]})
+    return spark.createDataFrame([(n, v) for n, values in own.markers.items() for v in values], "field string, value string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import tokenize, words
@@ -75,8 +75,13 @@ ORDERS_SQL = f"""r0 AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderprior
 r AS (SELECT *, o_orderpriority || ' ' || c_mktsegment || ' ' || flow || ' ' || artifact AS title, {_sql_tokens("o_orderpriority || ' ' || c_mktsegment || ' ' || flow || ' ' || artifact")} AS tokens FROM r0)"""
 
 
-def part_records(spark: SparkSession, folder: str, related: bool = False) -> DataFrame:
-    """Parts by brand and name. Some words are a flow of one part and an artifact of another."""
+#: Relation types of lines by their number, where they are typed.
+RELATION_TYPES = ["might_affect", "same_pattern_as", "derived_from", "related_pattern"]
+
+
+def part_records(spark: SparkSession, folder: str, related: bool = False, typed: bool = False) -> DataFrame:
+    """Parts by brand and name. Some words are a flow of one part and an artifact of another. related: each part to
+    the next part of each order that it is in; typed: by relations of several types."""
     own = table(spark, folder, "part")
     adjective, noun = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
     even = F.col("p_partkey") % 2 == 0
@@ -86,12 +91,13 @@ def part_records(spark: SparkSession, folder: str, related: bool = False) -> Dat
     own = own.withColumn("id", F.concat(F.lit("part:"), F.col("p_partkey")))
     relations = F.array().cast("array<struct<type:string,target:string,confidence:double>>")
     if related:
-        lines = table(spark, folder, "lineitem").where("l_linenumber IN (1, 2)")
-        first = lines.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("p_partkey"))
-        second = lines.where("l_linenumber = 2").select("l_orderkey", F.concat(F.lit("part:"), F.col("l_partkey")).alias("target"))
-        of = first.join(second, "l_orderkey").groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "target"))).alias("_of"))
+        lines = table(spark, folder, "lineitem")
+        following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+        links = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), F.concat(F.lit("part:"), following).alias("target")).where("target IS NOT NULL")
+        of = links.groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "target"))).alias("_of"))
         own = own.join(of, "p_partkey", "left")
-        relations = F.coalesce(F.transform("_of", lambda x: F.struct(F.lit("related_to").alias("type"), x["target"].alias("target"), F.lit(1.0).alias("confidence"))), relations)
+        kind = (lambda x: F.element_at(words(*RELATION_TYPES), x["l_linenumber"] % len(RELATION_TYPES) + 1)) if typed else (lambda x: F.lit("related_to"))
+        relations = F.coalesce(F.transform("_of", lambda x: F.struct(kind(x).alias("type"), x["target"].alias("target"), F.lit(1.0).alias("confidence"))), relations)
     return own.select("id", F.col("p_name").alias("title"), text.alias("content"), _markers(domain="domain", type="type", flow="flow", artifact="artifact").alias("markers"), relations.alias("relations"), tokenize(text).alias("tokens"), F.lit("2001-12-01").cast("timestamp").alias("updated_at"), F.lit(False).alias("archived"), F.col("p_partkey").alias("ingest_ordinal"), "p_brand", "p_size")
 
 
@@ -109,8 +115,9 @@ e AS (SELECT source, target, CASE WHEN md + mf = 2 THEN 'same_pattern_as' WHEN m
   array_to_string(shared[1:12], ',') AS shared FROM pairs),
 inferred AS (SELECT * FROM e WHERE confidence >= 0.3)"""
 
-LINKS_SQL = """links AS (SELECT 'part:' || a.l_partkey AS source, 'part:' || b.l_partkey AS target, row_number() OVER (PARTITION BY a.l_partkey ORDER BY a.l_orderkey, 'part:' || b.l_partkey) - 1 AS ordinal
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2)"""
+LINKS_SQL = f"""links AS (SELECT 'part:' || p AS source, 'part:' || following AS target, ({_sql_list(RELATION_TYPES)})[l_linenumber % {len(RELATION_TYPES)} + 1] AS rel,
+  row_number() OVER (PARTITION BY p ORDER BY l_orderkey, l_linenumber, 'part:' || following) - 1 AS ordinal
+  FROM (SELECT l_orderkey, l_linenumber, l_partkey AS p, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS following FROM lineitem) WHERE following IS NOT NULL)"""
 
 
 def event_changes(spark: SparkSession, folder: str) -> DataFrame:
