@@ -9,8 +9,8 @@ The TOP-th impact of any one term is a lower bound of an item's TOP-th score, an
 An item's terms are ordered by falling largest impact. From the place on where all that
 follows can't reach the bound together, terms are left out: a document that has only those isn't among the best. The
 other terms meet the postings of all documents, the items in blocks; where a document's sum and all that
-the left-out terms could add reach the bound, the document is a candidate, and its score
-is computed anew from all its terms. Nothing is cut by number, so the result is exact.
+the left-out terms could add reach the bound, the document is a candidate, and its exact score
+counts the left-out terms too. Scores under the bound go. Nothing is cut by number, so the result is exact.
 
 A term that every document has is one posting of each document's row, which stays where it is. Terms are told apart by 64-bit hashes.
 
@@ -37,7 +37,7 @@ TOP = 50
 TRIED = 8
 FILTER_BITS = 22
 PROBES = 3
-#: Pairs of an item and a leading term that are sent to the workers at once, and sums that one worker holds at once.
+#: Pairs of an item and a term that are sent to the workers at once, and sums that one worker holds at once.
 BLOCK_TERMS, CELLS = 500_000, 4_000_000
 TERMS = "struct<n:bigint,terms:array<bigint>,tf:array<bigint>>"
 
@@ -89,44 +89,66 @@ def term_filter(terms: DataFrame) -> np.ndarray:
     return out
 
 
-class Block:
-    """Leading terms of some items: sorted terms, for each the items that have it with their weights, and what each item's sum has to reach."""
+class _Terms:
+    """(item number, term, weight) by sorted term."""
 
-    def __init__(self, item: np.ndarray, term: np.ndarray, w: np.ndarray, need: np.ndarray) -> None:
-        self.items, which = np.unique(item, return_inverse=True)
-        order = np.lexsort((which, term))
+    def __init__(self, item: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
+        order = np.lexsort((item, term))
         self.terms, first = np.unique(term[order], return_index=True)
         self.begin = np.append(first, len(order))
-        self.item, self.w = which[order], w[order]
-        self.need = np.zeros(len(self.items))
-        self.need[which] = np.maximum(need, 1)
+        self.item, self.w = item[order], w[order].astype(np.float64)
 
-    def reached(self, owner: np.ndarray, term: np.ndarray, impact: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """(item, document) for which the sum over postings (owner: the document's number) reaches what the item needs."""
+    def sums(self, owner: np.ndarray, term: np.ndarray, impact: np.ndarray, items: int, cells: int, only: np.ndarray | None = None) -> np.ndarray:
+        """What postings (owner: the document's number) add to each cell, a document and an item; only: the cells that count.
+        Sums are of whole numbers below 2**53, so they are exact."""
+        if not len(self.terms) or not len(term):
+            return np.zeros(cells)
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         hit = self.terms[at] == term
         at, owner, impact = at[hit], owner[hit], impact[hit]
         many = self.begin[at + 1] - self.begin[at]
         posting = np.repeat(self.begin[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        # sums of whole numbers below 2**53, so they are exact
-        some = np.bincount(np.repeat(owner, many) * len(self.items) + self.item[posting], weights=self.w[posting] * np.repeat(impact, many).astype(np.float64), minlength=docs * len(self.items))
-        place = np.flatnonzero(some.reshape(docs, -1) >= self.need)
-        return self.items[place % len(self.items)], place // len(self.items)
+        cell, impact = np.repeat(owner, many) * items + self.item[posting], np.repeat(impact, many)
+        if only is not None:
+            kept = only[cell]
+            cell, impact, posting = cell[kept], impact[kept], posting[kept]
+        return np.bincount(cell, weights=self.w[posting] * impact, minlength=cells)
 
 
-def _candidates(found: DataFrame, leading: DataFrame, n: int, total: int, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """(item, row) of the documents that can be among an item's best.
+class Block:
+    """Terms of some items, leading ones and those left out; what the sum over leading ones has to reach, and the score itself."""
 
-    The items' leading terms meet all documents in blocks of about ``block_terms`` of them, one after another, so what is sent
-    to the workers is bounded; within a block a document's sums are made where its row is, and only candidates leave it."""
+    def __init__(self, item: np.ndarray, term: np.ndarray, w: np.ndarray, leading: np.ndarray, need: np.ndarray, bound: np.ndarray) -> None:
+        self.items, which = np.unique(item, return_inverse=True)
+        self.leading, self.others = (_Terms(which[part], term[part], w[part]) for part in (leading, ~leading))
+        self.need, self.bound = np.zeros(len(self.items)), np.zeros(len(self.items))
+        self.need[which], self.bound[which] = np.maximum(need, 1), bound
+
+    def reached(self, owner: np.ndarray, term: np.ndarray, impact: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, document, score) of the documents whose score reaches the item's bound. Only candidates, whose leading terms
+        reach what is needed, are scored by the terms left out."""
+        n = len(self.items)
+        some = self.leading.sums(owner, term, impact, n, docs * n)
+        candidates = (some.reshape(docs, n) >= self.need).ravel()
+        score = some + self.others.sums(owner, term, impact, n, docs * n, candidates)
+        place = np.flatnonzero(candidates & (score.reshape(docs, n) >= self.bound).ravel())
+        return self.items[place % n], place // n, score[place].astype(np.int64)
+
+
+def _best(found: DataFrame, ordered: DataFrame, n: int, total: int, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """(item, row, doc_id, score) of the documents whose score reaches the item's bound.
+
+    The items meet all documents in blocks of about ``block_terms`` terms, one block after another, so what is sent
+    to the workers is bounded; within a block a document's sums are made where its row is, and only what reaches the bound leaves it."""
     spark = found.sparkSession
-    blocks = max(1, math.ceil(leading.count() / block_terms))
+    blocks = max(1, math.ceil(ordered.count() / block_terms))
+    schema = "item bigint, row bigint, doc_id bigint, score bigint"
     out = None
     for k in range(blocks):
-        own = leading.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toArrow()
+        own = ordered.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).select("item", "term", "w", F.col("rest") >= F.col("bound"), "need", "bound").toArrow()
         if not own.num_rows:
             continue
-        sent = spark.sparkContext.broadcast(Block(*(own.column(c).to_numpy() for c in ("item", "term", "w", "need"))))
+        sent = spark.sparkContext.broadcast(Block(*(c.to_numpy() for c in own.columns)))
 
         def meet(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = sent.value
@@ -134,17 +156,18 @@ def _candidates(found: DataFrame, leading: DataFrame, n: int, total: int, block_
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    bounds = np.concatenate([[0], np.cumsum(part.column("terms").value_lengths().to_numpy())])
-                    owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                    sizes = part.column("terms").value_lengths().to_numpy()
+                    owner = np.repeat(np.arange(part.num_rows), sizes)
                     tf, term = (part.column(c).flatten().to_numpy() for c in ("tf", "terms"))
                     m = 50 + (50 * part.column("n").to_numpy() * n) // total
-                    item, doc = block.reached(owner, term, 10**9 * tf // (1000 * tf + 20 * m[owner]), part.num_rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(item), part.column("row").take(pa.array(doc))], names=["item", "row"])
+                    item, doc, score = block.reached(owner, term, 10**9 * tf // (1000 * tf + 20 * m[owner]), part.num_rows)
+                    doc = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays([pa.array(item), part.column("row").take(doc), part.column("doc_id").take(doc).cast(pa.int64()), pa.array(score)], names=["item", "row", "doc_id", "score"])
 
-        pairs = stored(found.select("row", "n", "terms", "tf").mapInArrow(meet, "item bigint, row bigint"), "candidates")
+        scores = stored(found.select("row", "doc_id", "n", "terms", "tf").mapInArrow(meet, schema), "best")
         sent.destroy()
-        out = pairs if out is None else out.union(pairs)
-    return leading.select("item", F.col("item").alias("row")).limit(0) if out is None else out
+        out = scores if out is None else out.union(scores)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
@@ -179,12 +202,12 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
 
     # terms in order of what they can give at most; those of the end can't reach the bound together
     falling = Window.partitionBy("item").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = stored(weighted.withColumn("rest", F.sum("most").over(falling)).join(bounds, "item"), "ordered")
-    leading = ordered.where("rest >= bound").join(ordered.where("rest < bound").groupBy("item").agg(F.max("rest").alias("left_out")), "item", "left")
-    leading = stored(leading.select("item", "term", "w", (F.col("bound") - F.coalesce("left_out", F.lit(0))).alias("need")), "leading")
-    candidates = _candidates(found, leading, n, total)
+    ordered = weighted.withColumn("rest", F.sum("most").over(falling)).join(bounds, "item")
+    left_out = F.max(F.when(F.col("rest") < F.col("bound"), F.col("rest"))).over(Window.partitionBy("item"))
+    ordered = stored(ordered.withColumn("need", F.col("bound") - F.coalesce(left_out, F.lit(0))), "ordered")
+    best_of = _best(found, ordered, n, total).join(asked.select("item", "item_id").distinct(), "item")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return scores(candidates).where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
+    return best_of.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
 
 
 def op13_threshold_search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -743,8 +743,8 @@ def test_search_is_exact(spark, top):
 def test_search_in_blocks(spark, monkeypatch):
     docs = [(k, f"a{k % 7} b{k % 5} c{k % 3} d common") for k in range(120)]
     items = [(k, f"a{k % 9} b{k} c1 common") for k in range(12)]
-    own = lexical._candidates
-    monkeypatch.setattr(lexical, "_candidates", lambda *given: own(*given, block_terms=5))
+    own = lexical._best
+    monkeypatch.setattr(lexical, "_best", lambda *given: own(*given, block_terms=5))
     monkeypatch.setattr(lexical, "CELLS", 10)
     found = ranking_of(lexical.search(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), 4))
     assert found == searched(docs, items, 4)
