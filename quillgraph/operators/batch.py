@@ -16,7 +16,7 @@ from quillgraph.functions.text import tokenize
 from quillgraph.functions.timeutil import HOP_PENALTY, freshness, recency, rounded, weighted
 from quillgraph.operators.classify import inferred_marker, scalar
 from quillgraph.operators.relations import explicit_relations
-from quillgraph.operators.retrieval import LIMIT, OTHER_STATUS, SEVERITY, STATUS, WEIGHTS, unarchived
+from quillgraph.operators.retrieval import LIMIT, OTHER_STATUS, SEVERITY, STATUS, WEIGHTS, age_of, unarchived
 from quillgraph.plans.intents import PRESETS
 from quillgraph.plans.vocabulary import Vocabulary
 
@@ -55,14 +55,14 @@ def _times(mode: str, markers: str) -> Column:
 
 def pair_scores(pairs: DataFrame, records: DataFrame, queries: DataFrame, as_of: str, half_lives: Mapping[str, float] | None = None) -> DataFrame:
     """query_id, id, ordinal, matched_markers, score, relevant of each pair (query_id, id)."""
-    own = records.select("id", F.col("ingest_ordinal").cast("bigint").alias("ordinal"), "markers", F.col("tokens").alias("_tokens"), "updated_at")
+    own = records.select("id", F.col("ingest_ordinal").cast("bigint").alias("ordinal"), "markers", F.col("tokens").alias("_tokens"), "updated_at", age_of(records).alias("_age"))
     both = pairs.select("query_id", "id").join(own, "id").join(queries, "query_id")
     equal = F.filter(F.map_entries("asked"), lambda e: F.coalesce((F.size(F.col("markers")[e["key"]]) == 1) & (F.get(F.col("markers")[e["key"]], F.lit(0)) == e["value"]), F.lit(False)))
     both = both.select("*", F.inline(F.array(F.struct(F.array_sort(F.transform(equal, lambda e: e["key"])).alias("matched_markers"), F.size(F.array_intersect("tokens", F.coalesce("_tokens", F.array().cast("array<string>")))).alias("shared")))))
     boost = F.aggregate("matched_markers", F.lit(0.0), lambda total, name: total + _per_mode("mode", "marker", name))
     exactness = F.size("matched_markers") / F.greatest(F.size("asked"), F.lit(1)) * F.coalesce(F.try_divide(boost, F.size("matched_markers")), F.lit(1.0))
     raw = rounded((exactness * WEIGHTS["markers"] + F.col("shared") / F.greatest(F.size("tokens"), F.lit(1)) * WEIGHTS["tokens"] + _own("markers", "updated_at", as_of)) * _times("mode", "markers"))
-    score = rounded(raw * freshness(scalar("markers", "type"), F.col("updated_at"), as_of, half_lives))
+    score = rounded(raw * freshness(scalar("markers", "type"), F.col("_age"), as_of, half_lives))
     scored = both.select("query_id", "id", "ordinal", "matched_markers", "shared", F.inline(F.array(F.struct(score.alias("score")))))
     return scored.select("query_id", "id", "ordinal", "matched_markers", "score", (((F.size("matched_markers") > 0) | (F.col("shared") > 0)) & (F.col("score") > 0)).alias("relevant"))
 
@@ -129,7 +129,7 @@ def best(records: DataFrame, queries: DataFrame, as_of: str, limit: int = LIMIT,
     top_boost = max([1.0, *(float(v) for intent in PRESETS.values() for v in intent.table("marker").values())])
     gain = F.when(F.col("mode").isNull(), WEIGHTS["markers"]).otherwise(WEIGHTS["markers"] * top_boost) + WEIGHTS["tokens"]
     # modes are few: those of the presets, or none
-    most = own.select("id", "markers", "updated_at").join(F.broadcast(modes)).select("id", "mode", (((gain + _own("markers", "updated_at", as_of)) * _times("mode", "markers") + 0.001) * freshness(scalar("markers", "type"), F.col("updated_at"), as_of, half_lives) + 0.001).alias("most"))
+    most = own.select("id", "markers", "updated_at", age_of(own).alias("_age")).join(F.broadcast(modes)).select("id", "mode", (((gain + _own("markers", "updated_at", as_of)) * _times("mode", "markers") + 0.001) * freshness(scalar("markers", "type"), F.col("_age"), as_of, half_lives) + 0.001).alias("most"))
     leveled = postings(own).join(most.select("id", F.coalesce("mode", F.lit("")).alias("m"), F.ceil(F.col("most") * LEVELS).alias("level")), "id")
     keys = query_keys(queries).withColumn("m", F.coalesce("mode", F.lit(""))).select("query_id", "m", "k")
     highest = Window.partitionBy("k", "m").orderBy(F.desc("level"), "id")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import STOPWORDS, negation_tokens, slugify, words
+from quillgraph.operators.classify import classify
+from quillgraph.plans.vocabulary import Vocabulary
 
 # Fixed values.
 CONSIDERED = ("type", "goal", "status", "severity", "domain", "flow", "artifact", "project", "room", "scope")
@@ -98,6 +100,17 @@ def content_conflicts(members: DataFrame) -> DataFrame:
     return sides.where("affirmative > 0 AND negated > 0")
 
 
+def sources(records: DataFrame, wanted: DataFrame, incoming: DataFrame | None = None, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """Members for ``promote``: of each cohort first the stored records that it asks for (cohort, id, ordinal), in that order and
+    without unknown ids, then the incoming ones (cohort and columns of a record), classified, in order of arrival."""
+    columns = ["id", "title", "content", "markers"]
+    stored = records.select(*columns).join(wanted.select("cohort", "id", F.col("ordinal").cast("bigint").alias("ordinal")), "id").select("cohort", "ordinal", *columns)
+    if incoming is None:
+        return stored
+    fresh = classify(incoming, vocabulary).select("cohort", (F.monotonically_increasing_id() + F.lit(1 << 32)).alias("ordinal"), *columns)
+    return stored.unionByName(fresh)
+
+
 def conflict_members(members: DataFrame) -> DataFrame:
     """cohort, token, id, side of every member on one side of a content conflict."""
     own = stances(members).where("affirmed != negated")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import has_redactors, redacted, words
-from quillgraph.functions.timeutil import EDGE_TTL_DAYS, HOP_PENALTY, freshness, hop_penalized, recency, rounded, weighted
+from quillgraph.functions.timeutil import EDGE_TTL_DAYS, HOP_PENALTY, age_stamp, freshness, hop_penalized, recency, rounded, weighted
 from quillgraph.operators.classify import scalar
 from quillgraph.operators.relations import explicit_relations, outgoing, visible_edges
 from quillgraph.plans.intents import Intent, resolve
@@ -65,9 +65,10 @@ class Query:
         return bool(self.include_archived if self.include_archived is not None else own)
 
 
-def factors(query: Query, as_of: str, markers: str = "markers", record_tokens: str = "tokens", stamp: str = "updated_at") -> Column:
+def factors(query: Query, as_of: str, markers: str = "markers", record_tokens: str = "tokens", stamp: str = "updated_at", age: Column | None = None) -> Column:
     """Every number of a score: matched_markers, matched_tokens, exactness, token_overlap, severity,
-    status, recency, raw (with the intent, rounded) and score (with the type's freshness, rounded)."""
+    status, recency, raw (with the intent, rounded) and score (with the type's freshness, rounded). age: the stamp that
+    freshness counts from, by default ``stamp``."""
     m = F.col(markers)
     weights = {n: float(query.importance.get(n, 0.5)) for n in query.markers}
     total = sum(weights.values()) or 1.0
@@ -86,10 +87,15 @@ def factors(query: Query, as_of: str, markers: str = "markers", record_tokens: s
     if query.intent is not None:
         raw = raw * query.intent.weight("type", scalar(m, "type")) * query.intent.weight("status", scalar(m, "status")) * float(query.intent.setting("freshness", 1.0))
     raw = rounded(raw)
-    score = rounded(raw * freshness(scalar(m, "type"), F.col(stamp), as_of, query.half_lives))
+    score = rounded(raw * freshness(scalar(m, "type"), F.col(stamp) if age is None else age, as_of, query.half_lives))
     return F.struct(matched.alias("matched_markers"), shared.alias("matched_tokens"), exactness.alias("exactness"), overlap.alias("token_overlap"), severity.alias("severity"), status.alias("status"), recent.alias("recency"), raw.alias("raw"), score.alias("score"))
 
 
+def age_of(records: DataFrame) -> Column:
+    """The stamp that a record's freshness counts from: when it was updated, else edited, else classified."""
+    return age_stamp(*[F.col(c) for c in ("updated_at", "last_edited_time", "classified_at") if c in records.columns])
+
+
 def unarchived(records: DataFrame, include: bool = False) -> DataFrame:
     return records if include else records.where(~F.coalesce("archived", F.lit(False))) if "archived" in records.columns else records
 
@@ -97,7 +103,7 @@ def unarchived(records: DataFrame, include: bool = False) -> DataFrame:
 def scored(records: DataFrame, query: Query, as_of: str) -> DataFrame:
     """Visible records with ``f`` (the factors) and ``relevant`` (some marker or token matches and the score is above 0)."""
     # through a generator, so that filters on a score don't carry its whole expression about in the plan
-    out = unarchived(records, query.archived).select("*", F.inline(F.array(F.struct(factors(query, as_of).alias("f")))))
+    out = unarchived(records, query.archived).select("*", F.inline(F.array(F.struct(factors(query, as_of, age=age_of(records)).alias("f")))))
     relevant = ((F.size("f.matched_markers") > 0) | (F.size("f.matched_tokens") > 0)) & (F.col("f.score") > 0)
     return out.withColumn("relevant", relevant)
 
