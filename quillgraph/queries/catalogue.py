@@ -83,7 +83,16 @@ def front_matter_fields(spark, folder):
     return own.select("p_partkey", F.col("m")["title"][0].alias("title"), F.col("m")["status"][0].alias("status"), F.array_join(F.col("m")["tags"], "; ").alias("tags"), tx.content_of("b").alias("content"), tx.title_of("b", F.lit("none")).alias("heading"))
 
 
-@query()
+_LINE_BLOCKS = r"""CASE WHEN t IN ('---', '***') THEN ['divider', '', NULL] WHEN starts_with(t, '### ') THEN ['heading_3', trim(substr(t, 5)), NULL] WHEN starts_with(t, '## ') THEN ['heading_2', trim(substr(t, 4)), NULL]
+WHEN starts_with(t, '# ') THEN ['heading_1', trim(substr(t, 3)), NULL] WHEN regexp_matches(t, '^- \[[xX]\] ') THEN ['to_do', trim(substr(t, 7)), 'true'] WHEN starts_with(t, '- [ ] ') THEN ['to_do', trim(substr(t, 7)), 'false']
+WHEN regexp_matches(t, '^[-*+] ') THEN ['bulleted_list_item', trim(substr(t, 3)), NULL] WHEN regexp_matches(t, '^[0-9]+\. ') THEN ['numbered_list_item', trim(regexp_replace(t, '^[0-9]+\. ', '')), NULL]
+WHEN starts_with(t, '>') THEN ['quote', ltrim(substr(t, 2)), NULL] ELSE ['paragraph', t, NULL] END"""
+
+
+# the given texts have no fences of their own
+@query(rf"""WITH l AS (SELECT doc_id AS id, unnest(string_split_regex('# ' || lang || chr(10) || '- [x] done' || chr(10) || chr(0) || chr(10) || text, '\r?\n')) AS t, unnest(range(1, 4 + len(string_split_regex(text, '\r?\n')))) AS n FROM documents),
+b AS (SELECT id, n, CASE WHEN n = 3 THEN ['code', 'select 1', NULL] ELSE {_LINE_BLOCKS} END AS b FROM (SELECT id, n, trim(t) AS t FROM l) WHERE t != '')
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY n)::INT AS ordinal, b[1] AS type, md5(b[2]) AS text, CASE WHEN n = 3 THEN 'sql' END AS language, b[3]::BOOLEAN AS checked FROM b""")
 def blocks_from_markdown(spark, folder):
     content = F.concat(F.lit("# "), F.col("lang"), F.lit("\n- [x] done\n```sql\nselect 1\n```\n"), F.col("text"))
     return bl.markdown_to_blocks(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), content.alias("content"))).withColumn("text", F.md5("text"))
@@ -92,12 +101,16 @@ def blocks_from_markdown(spark, folder):
 # ---- mining ----
 
 
-@query(f"""WITH d AS (SELECT regexp_extract_all(lower(text), '{TOKEN}') AS t FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM d),
+def _bigrams_sql(texts: str) -> str:
+    """c: value, confidence, doc_freq and pmi of all bigrams of the texts (column text)."""
+    return f"""d AS (SELECT regexp_extract_all(lower(text), '{TOKEN}') AS t FROM ({texts})), n AS (SELECT count(*)::DOUBLE AS n FROM d),
 f AS (SELECT token, count(*) AS f FROM (SELECT unnest(list_distinct(t)) AS token FROM d) GROUP BY token),
 b AS (SELECT l, r, count(*) AS df FROM (SELECT DISTINCT k, t[i] AS l, t[i + 1] AS r FROM (SELECT row_number() OVER () AS k, t FROM d), unnest(range(1, len(t))) AS u(i)) WHERE l NOT IN {tx.BIGRAM_STOPS} AND r NOT IN {tx.BIGRAM_STOPS} GROUP BY l, r),
 s AS (SELECT l || '-' || r AS value, df AS doc_freq, ln(df * n / (fl.f * fr.f)) AS pmi, n FROM b, n, f fl, f fr WHERE fl.token = l AND fr.token = r AND df >= 2 AND df < n),
-c AS (SELECT value, round(least(1.0, 0.6 * doc_freq / n + 0.25 * ln(n / doc_freq) / ln(n) + 0.15 * greatest(pmi / ln(n), 0)), 3) AS confidence, doc_freq, round(pmi, 3) AS pmi FROM s)
-SELECT * FROM c WHERE confidence >= 0.25 ORDER BY confidence DESC, value LIMIT 50""")
+c AS (SELECT value, round(least(1.0, 0.6 * doc_freq / n + 0.25 * ln(n / doc_freq) / ln(n) + 0.15 * greatest(pmi / ln(n), 0)), 3) AS confidence, doc_freq, round(pmi, 3) AS pmi FROM s)"""
+
+
+@query(f"WITH {_bigrams_sql('SELECT text FROM documents')} SELECT * FROM c WHERE confidence >= 0.25 ORDER BY confidence DESC, value LIMIT 50")
 def bigram_proposals(spark, folder):
     return le.mine_bigrams(table(spark, folder, "documents"), F.col("text"), least_confidence=0.25)
 
@@ -135,7 +148,13 @@ def marker_importance(spark, folder):
     return le.marker_importance(vw.order_records(spark, folder))
 
 
-@query()
+_PART_TEXT = "SELECT p_name || ' ' || p_name || ' ' || p_type || ' ' || p_brand || ' size' || p_size AS text FROM part"
+
+
+@query(f"""WITH {_bigrams_sql(_PART_TEXT)}, ng AS (SELECT value, confidence FROM c WHERE confidence >= 0.5 ORDER BY confidence DESC, value LIMIT 50),
+hi AS (SELECT {SLUG.format("p_brand")} AS value, round(0.4 + 0.2 * (1 - 1 / 5.0), 3) AS confidence FROM part GROUP BY ALL HAVING count(*) >= 2),
+x AS (SELECT value, 'hierarchy' AS source, confidence::DOUBLE AS confidence, 0 AS strategy FROM hi UNION ALL SELECT value, 'ngram', confidence::DOUBLE, 1 FROM ng)
+SELECT value, source, confidence, strategy FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY strategy) AS k FROM x) WHERE k = 1""")
 def learn_proposals(spark, folder):
     own = vw.part_records(spark, folder).withColumn("parent", F.concat_ws(" > ", F.lit("parts"), "p_brand")).withColumn("regions_used", F.array(F.lit("body")))
     known = spark.createDataFrame([("parts",)], "value string")
