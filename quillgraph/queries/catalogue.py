@@ -192,8 +192,11 @@ k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, field ORDER BY score
 SELECT p_partkey, field, CASE WHEN score < 0.2 THEN 'fallback' WHEN score >= 0.75 AND round(score - next, 4) >= 0.15 THEN 'deterministic' ELSE 'pending-arbitration' END AS arbiter,
 CASE WHEN score >= 0.2 THEN value END AS value, score, CASE WHEN score >= 0.2 THEN round(score - next, 4) ELSE 0 END AS gap FROM k WHERE n = 1""")
 def classify_arbitrate(spark, folder):
-    fields = F.array(*[F.struct(F.lit(n).alias("field"), cl.arbitrated(cl.top_candidates("s", n)).alias("d")) for n in _SHOP.markers])
-    return _shop(spark, folder).select("p_partkey", F.inline(fields)).select("p_partkey", "field", "d.arbiter", "d.value", "d.score", "d.gap")
+    # each step behind a generator: scores and candidates are used several times and must be made once
+    own = _shop(spark, folder).select("p_partkey", F.inline(F.array(F.struct("s"))))
+    each = own.select("p_partkey", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), cl.top_candidates("s", n).alias("candidates")) for n in _SHOP.markers])))
+    decided = each.select("p_partkey", "field", F.inline(F.array(F.struct(cl.arbitrated(F.col("candidates")).alias("d")))))
+    return decided.select("p_partkey", "field", "d.arbiter", "d.value", "d.score", "d.gap")
 
 
 @query("""SELECT 'order:' || o_orderkey AS id, 'record:' || trim(regexp_replace(lower(trim(o_orderpriority || ' ' || o_orderstatus)), '[^a-z0-9]+', '-', 'g'), '-') AS title_id,
