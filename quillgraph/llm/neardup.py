@@ -47,8 +47,8 @@ SHORT_LENGTH, SHORT_COUNT, SHORT = 1, 12, 24
 #: Texts that one task compares with the same other text before that one's rows are split.
 SPLIT = 2000
 FEW = 8
-#: Frequent labels that are told apart by how often they stand; the rest come first, whatever their number.
-FREQUENT = 1 << 16
+#: Labels are counted in 2**COUNT_BITS buckets; counts only choose the order of labels, which any order serves.
+COUNT_BITS = 21
 SKETCH = "struct<n:bigint,keys:array<bigint>>"
 
 SketchOf = Callable[[str], Column]
@@ -298,34 +298,36 @@ def _with_few_others(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), keys.join(few, "k", "left_anti")
 
 
-def _frequent_labels(left: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """The labels that most texts of ``left`` (labels) have, rarest first; ``most`` of them at most reach the driver.
-    Tasks count whole batches, so few rows are shuffled."""
+def _bucket(labels: np.ndarray) -> np.ndarray:
+    return (labels.view(np.uint64) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _label_counts(left: DataFrame) -> np.ndarray:
+    """About how many texts of ``left`` (labels) have a label: counts by buckets of labels, a table of a fixed size whatever the
+    number of texts. Tasks count whole batches, so few rows are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, n = np.unique(batch.column("labels").flatten().to_numpy(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(n.astype(np.int64))], names=["label", "n"])
+            found, n = np.unique(_bucket(batch.column("labels").flatten().to_numpy()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["bucket", "n"])
 
-    counted = left.select("labels").mapInArrow(count, "label bigint, n bigint").groupBy("label").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = counted.orderBy(F.desc("n"), "label").limit(most).collect()
-    return np.array([r["label"] for r in reversed(rows)], dtype=np.int64)
+    counted = left.select("labels").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).select(F.col("bucket").cast("int").alias("bucket"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.int32)
+    out[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    return out
 
 
-def _first_labels(frequent: np.ndarray, similarity: float) -> Column:
-    """The labels of each text that come first when frequent ones come last; as many as similar texts need one in common among."""
-    order = np.argsort(frequent)
-    known, rank = frequent[order], order
+def _first_labels(spark, counts: np.ndarray, similarity: float) -> Column:
+    """The labels of each text that come first when they are ordered by ``counts``; as many as similar texts need one in common among."""
+    sent = spark.sparkContext.broadcast(counts)
 
     @F.arrow_udf("array<bigint>")
     def first(labels: pa.Array) -> pa.Array:
         bounds = np.concatenate([[0], np.cumsum(labels.value_lengths().fill_null(0).to_numpy())])
         flat = labels.flatten().to_numpy()
-        at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
-        late = np.where(known[at] == flat, rank[at] + 1, 0) if len(known) else np.zeros(len(flat), np.int64)
         sizes = np.diff(bounds)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        flat = flat[np.lexsort((flat, late, owner))]
+        flat = flat[np.lexsort((flat, sent.value[_bucket(flat)], owner))]
         chosen = np.minimum(sizes, np.floor((1 - similarity) * sizes + 1e-9).astype(np.int64) + 1)
         places = np.repeat(bounds[:-1] - (np.cumsum(chosen) - chosen), chosen) + np.arange(chosen.sum())
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(chosen)]).astype(np.int32)), pa.array(flat[places]))
@@ -341,7 +343,7 @@ def _sharing_rare(left: DataFrame, similarity: float, needed: NeedOf) -> DataFra
     the first common label has that many but one after it in both, which leaves few places for it and, among many near
     copies of one text, mostly labels that no other text has. Only the labels in those places leave their text. Texts meet under their group and a label together. Their sizes are similar too, so a meeting is split by
     a logarithm of the size; a text goes to its own part and both next to it. Exact: no such pair of that similarity is lost."""
-    firsts = left.select("id", "root", "g0", F.size("labels").alias("n"), _first_labels(_frequent_labels(left), similarity).alias("firsts"))
+    firsts = left.select("id", "root", "g0", F.size("labels").alias("n"), _first_labels(left.sparkSession, _label_counts(left), similarity).alias("firsts"))
     each = firsts.select("id", "root", "n", F.posexplode(F.transform("firsts", lambda x: F.xxhash64("g0", x))).alias("place", "h")).repartition("h")
     several = each.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
     sized = each.join(several, "h").withColumn("g", F.floor(F.log(F.col("n")) / -np.log(similarity)).cast("int"))
