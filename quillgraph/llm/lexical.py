@@ -38,7 +38,7 @@ TRIED = 8
 FILTER_BITS = 22
 PROBES = 3
 #: Pairs of an item and a term that are sent to the workers at once, and sums that one worker holds at once.
-BLOCK_TERMS, CELLS = 500_000, 4_000_000
+BLOCK_TERMS, CELLS = 500_000, 1_000_000
 TERMS = "struct<n:bigint,terms:array<bigint>,tf:array<bigint>>"
 
 
