@@ -256,3 +256,17 @@ def test_empty_tables(spark):
     edges = rl.all_edges(none, AS_OF)
     assert edges.isEmpty() and rt.search(none, edges, rt.Query.of("webhook"), AS_OF).isEmpty()
     assert le.full_pass(none)["proposals"].isEmpty() and cl.classify(none).isEmpty()
+
+
+def test_matched_scores_are_the_matched_ones_of_all(spark):
+    """Hits are made once a row; what is left out is only values without hits, and candidates are those of all scores."""
+    v = Vocabulary({"domain": ["payments", "auth", "kyc", "ui", "data", "risk", "job"], "type": ["bug", "auth"]}, {"domain": {"payments": ["billing", "auth"]}}, (), ())
+    rows = spark.createDataFrame([(1, "billing bug", "auth auth ui-ui kyc", "data"), (2, "", "", ""), (3, "bug", "payments of auth_", "bug")], "id int, title string, content string, parent string")
+    found = rows.withColumn("r", cl.regions()).select("id", cl.scores("r", v).alias("s"), cl.matched_scores("r", v).alias("m"))
+    found = found.select("*", *[cl.top_candidates("m", n, v).alias(n) for n in v.markers]).collect()
+    for r in found:
+        assert sorted((x["field"], x["value"], x["score"]) for x in r["m"]) == sorted((x["field"], x["value"], x["score"]) for x in r["s"] if x["matched"])
+        for n in v.markers:
+            want = sorted((-x["score"], not x["matched"], x["value"]) for x in r["s"] if x["field"] == n)[:5]
+            assert [(-c["score"], not c["matched"], c["value"]) for c in r[n]] == want
+    assert sum(len(r["m"]) for r in found) > 6
