@@ -270,3 +270,19 @@ def test_matched_scores_are_the_matched_ones_of_all(spark):
             want = sorted((-x["score"], not x["matched"], x["value"]) for x in r["s"] if x["field"] == n)[:5]
             assert [(-c["score"], not c["matched"], c["value"]) for c in r[n]] == want
     assert sum(len(r["m"]) for r in found) > 6
+
+
+def test_ranks_of_more_rows_than_a_sample(spark):
+    """What one use of the ranges counts must be what another numbers; the column that only one of them reads tells them apart."""
+    df = spark.range(0, 300_000, 1, 6).select(F.xxhash64("id").alias("h"), F.concat(F.lit("r"), "id").alias("id"), (F.xxhash64("id") % 1000).alias("raw"))
+    ranked = rt.global_rank(df, [F.desc("raw"), F.asc("id")]).cache()
+    assert [tuple(r) for r in ranked.agg(F.count("*"), F.count_distinct("rank"), F.min("rank"), F.max("rank")).collect()] == [(300_000, 300_000, 1, 300_000)]
+    assert ranked.where("rank IN (1, 300000)").orderBy("rank").select("raw").collect()[0][0] == 999
+    some = rt.ranks_of(df, df.where("raw % 100 = 7").select("id")).join(ranked.select("id", F.col("rank").alias("want")), "id")
+    assert some.count() == df.where("raw % 100 = 7").count() and some.where("rank != want").isEmpty()
+
+
+def test_rank_places_nulls_as_the_order_does(spark):
+    df = spark.createDataFrame([(k, None if k % 3 == 0 else k % 5) for k in range(60)], "id int, v int")
+    for order in ([F.desc("v"), F.asc("id")], [F.asc("v"), F.desc("id")]):
+        assert [r["id"] for r in rt.global_rank(df, order).orderBy("rank").collect()] == [r["id"] for r in df.orderBy(*order).collect()]
