@@ -286,3 +286,17 @@ def test_rank_places_nulls_as_the_order_does(spark):
     df = spark.createDataFrame([(k, None if k % 3 == 0 else k % 5) for k in range(60)], "id int, v int")
     for order in ([F.desc("v"), F.asc("id")], [F.asc("v"), F.desc("id")]):
         assert [r["id"] for r in rt.global_rank(df, order).orderBy("rank").collect()] == [r["id"] for r in df.orderBy(*order).collect()]
+
+
+def test_alike_records_are_compared_once(spark):
+    """Copies of a record have the edges of their kind, also with one another, and what kinds are counted by is what the edges give."""
+    rows = _random_rows(14, 3)
+    copies = records(spark, [(f"{r[0]}-{k}", r[1], r[2], [], False) for r in rows for k in range(1 + len(r[2]) % 4)])
+    found = {(r["source"], r["target"]): r["confidence"] for r in rl.inferred_edges(copies).collect()}
+    of = {r["id"]: dict(r["markers"]) for r in copies.collect()}
+    plain = {f"{r[0]}-{k}": r for r in rows for k in range(1 + len(r[2]) % 4)}
+    want = {(a, b): _score(plain[a], plain[b]) for a in of for b in of if a != b and round(_score(plain[a], plain[b]), 3) >= 0.3}
+    assert set(found) == set(want) and len(want) > 100
+    counted = {r["type"]: (r["n"], round(r["mean_confidence"], 6)) for r in rl.inferred_types(copies).collect()}
+    assert counted == {r["type"]: (r["n"], round(r["m"], 6)) for r in rl.inferred_edges(copies).groupBy("type").agg(F.count("*").alias("n"), F.avg("confidence").alias("m")).collect()}
+    assert rl._kinds(rl._with_kind(copies)).count() <= len(rows)
