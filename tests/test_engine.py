@@ -300,3 +300,11 @@ def test_alike_records_are_compared_once(spark):
     counted = {r["type"]: (r["n"], round(r["mean_confidence"], 6)) for r in rl.inferred_types(copies).collect()}
     assert counted == {r["type"]: (r["n"], round(r["m"], 6)) for r in rl.inferred_edges(copies).groupBy("type").agg(F.count("*").alias("n"), F.avg("confidence").alias("m")).collect()}
     assert rl._kinds(rl._with_kind(copies)).count() <= len(rows)
+
+
+def test_omitted_count_ranks_once(spark):
+    own = records(spark, [(f"r{k}", {"domain": "p"}, ["q"], [], False) for k in range(30)])
+    query = rt.Query(text="q", markers={"domain": "p"}, max_hops=0)
+    counted, ranked = rt.omitted_count(own, query, AS_OF), rt.ranked(own, query, AS_OF)
+    made = [d._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") for d in (counted, ranked)]
+    assert made[0] == made[1] == 1 and counted.collect()[0][0] == 30 - 13
