@@ -8,8 +8,9 @@ Model: every token that occurs sqrt(N) / LEAST_PART times or more among the N tr
 (LEAST at least) is an outcome of its own and all rarer ones are one outcome, within which a
 token has its smoothed unigram share; so probabilities over all tokens sum to 1. The outcomes
 grow with the corpus. An outcome w after tokens u, v has the score r_w . (a_u + b_v) + bias_w.
-Beyond ONE_CLASS outcomes they are split into classes, about as many as each has outcomes;
-a class has a vector and a bias too, and an outcome's probability is that of its class
+Beyond ONE_CLASS outcomes, which stand by frequency, they are split into classes, ranges whose roots of
+shares sum to about one: frequent outcomes have small classes, which makes the fewest scores a token.
+A class has a vector and a bias too, and an outcome's probability is that of its class
 among classes times its own among its class, both normalised exactly by matrix products.
 Training is one pass over all training texts, dealt by hash to ROUNDS rounds. In a round every task trains
 the shared start on its texts of that round, minibatch by minibatch, telling observed tokens from NOISE drawn
@@ -135,10 +136,10 @@ def _products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 class _Softmax:
-    """Logarithms of the softmax over outcomes of q . r + bias; powers of two are quicker than those of e."""
+    """Logarithms of the softmax over outcomes of q . r + bias."""
 
     def __init__(self, r: np.ndarray, bias: np.ndarray) -> None:
-        self.weights = np.ascontiguousarray(np.concatenate([r.T, bias[None, :]]) * np.float32(math.log2(math.e)))
+        self.weights = np.ascontiguousarray(np.concatenate([r.T, bias[None, :]]))
         self.ones = np.ones(len(bias), np.float32)
         self.longest, self.bias = float((r * r).sum(axis=1).max()), float(np.abs(bias).max())
 
@@ -148,7 +149,7 @@ class _Softmax:
         if math.sqrt(float((q * q).sum(axis=1).max()) * self.longest) + self.bias > 60:  # they may overflow, or vanish all
             scores -= scores.max(axis=1, keepdims=True)
         own = scores[np.arange(len(at)), at]
-        return (own - np.log2(np.exp2(scores, out=scores) @ self.ones)) * np.float32(math.log(2))
+        return own - np.log(np.exp(scores, out=scores) @ self.ones)
 
 
 class Model:
@@ -160,7 +161,9 @@ class Model:
         rng = np.random.default_rng(12345)
         self.size, self.width = size, width
         self.noise = (noise + 0.5) / (noise + 0.5).sum()
-        self.bounds = np.linspace(0, size, (1 if size <= one_class else math.isqrt(size)) + 1).astype(np.int64)
+        root = np.sqrt(self.noise)
+        starts = np.flatnonzero(np.diff(np.floor(np.cumsum(root) - root), prepend=-1)) if size > one_class else np.zeros(1, np.int64)
+        self.bounds = np.append(starts, size)
         self.class_of = np.repeat(np.arange(len(self.bounds) - 1, dtype=np.int32), np.diff(self.bounds))
         self.class_noise = np.add.reduceat(self.noise, self.bounds[:-1])
         self.a, self.b = (rng.normal(0, 0.05, (size + 1, width)).astype(np.float32) for _ in range(2))

@@ -225,6 +225,15 @@ def test_model_learns_an_order_and_is_normalised():
     assert rng is not None
 
 
+def test_frequent_outcomes_have_small_classes():
+    size = 20_000
+    model = lm.Model(size, 1e6 / np.arange(1, size + 1))
+    sizes = np.diff(model.bounds)
+    assert sizes.min() > 0 and sizes.sum() == size and np.array_equal(np.repeat(np.arange(len(sizes)), sizes), model.class_of)
+    assert len(sizes) + (model.noise * sizes[model.class_of]).sum() < 0.75 * 2 * math.sqrt(size)  # scores a token
+    assert len(lm.Model(10_000, np.ones(10_000)).bounds) in range(100, 104) and len(lm.Model(500, np.ones(500)).bounds) == 2
+
+
 def test_model_hard(hard, none):
     found = {r["doc_id"]: r for r in lm.scores(hard).collect() if r["doc_id"] in (1, 2, 6)}
     assert found[1]["n_tokens"] == found[2]["n_tokens"] == 1 and found[6]["n_tokens"] == 100_001
