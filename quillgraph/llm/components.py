@@ -29,8 +29,9 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
-        # done when every node hangs on one root and no root hangs on another
-        state = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes")).first()
-        roots = edges.select("v").distinct()
-        if state["n"] == state["nodes"] and roots.join(edges, roots.v == edges.u, "left_semi").isEmpty():
+        # done when every node hangs on one root and no root hangs on another; told by one count, as each job costs the driver memory
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+        moving = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 OR (up = 1 AND n > 1)")
+        if moving.count() == 0:
+            roots = edges.select("v").distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))

@@ -280,22 +280,30 @@ def _in_classes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _of_several_classes(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """k, id and root of the texts of keys that texts of several classes have; largest: the class of the most texts
-    (in all) among those of the key, pivot: a text of it."""
+    (in all) among those of the key, pivot: a text of it; first: the least text of the key; few: whether the largest class has
+    half of the texts or more and at most FEW texts are of others. All of these are found while the classes of a key are
+    counted, so the rows of keys meet them in one join."""
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     rooted = shared.join(roots.withColumnRenamed("node", "id").join(sizes, "root"), "id", "left").select("k", "id", F.coalesce("root", "id").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
-    several = rooted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("size", "root", F.xxhash64("id", "k"), "id")).alias("top")).where("lo < hi")
-    return rooted.join(several.select("k", F.col("top.root").alias("largest"), F.col("top.id").alias("pivot")), "k").select("k", "id", "root", "largest", "pivot")
+    each = rooted.groupBy("k", "root").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max(F.struct("size", F.xxhash64("id", "k").alias("h"), "id")).alias("top"))
+    several = each.groupBy("k").agg(F.count("*").alias("roots"), F.sum("n").alias("c"), F.min("first").alias("first"), F.max(F.struct("top.size", "root", "top.id", "n")).alias("top")).where("roots > 1")
+    others = F.col("c") - F.col("top.n")
+    known = several.select("k", F.col("top.root").alias("largest"), F.col("top.id").alias("pivot"), "first", ((others <= FEW) & (2 * others <= F.col("c"))).alias("few"))
+    return rooted.join(known, "k").select("k", "id", "root", "largest", "pivot", "first", "few")
 
 
-def _with_few_others(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, keys): pairs (a, b) of texts of different classes under the keys where the largest class has half of the texts
-    or more and at most FEW texts are of others, each of these with all; and the other keys. So a key makes at most FEW pairs for each of its texts."""
-    counted = keys.groupBy("k").agg(F.count("*").alias("c"), F.count_if(F.col("root") != F.col("largest")).alias("others"))
-    few = counted.where((F.col("others") <= FEW) & (2 * F.col("others") <= F.col("c"))).select("k")
-    own = keys.join(few, "k")
+def _with_few_others(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different classes under the keys with ``few`` texts of other classes than the largest, each of
+    these with all. So a key makes at most FEW pairs for each of its texts."""
+    own = keys.where("few")
     one = own.where("root != largest").select("k", F.col("id").alias("x"), F.col("root").alias("rx"))
     pairs = one.join(own.select("k", F.col("id").alias("y"), F.col("root").alias("ry")), "k").where("rx != ry")
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), keys.join(few, "k", "left_anti")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _hung(roots: DataFrame) -> DataFrame:
+    """The classes so far as links, one for each node that isn't a root: with more links they give the same classes as all links from the start."""
+    return roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _bucket(labels: np.ndarray) -> np.ndarray:
@@ -393,22 +401,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: Sketch
     largest = _of_several_classes(shared, roots).where("root != largest").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     rest = stored(rest.union(largest.join(most, ["a", "b"], "left_anti")).distinct(), "rest")
     if not rest.isEmpty():
-        links = links.union(_verified(rest, texts, similar, similarity, "links"))
-        roots = components(links, "roots")
+        roots = components(_hung(roots).union(_verified(rest, texts, similar, similarity, "links")), "roots")
     done = pairs.select("a", "b").union(rest)
     # and all texts that still share keys with texts of other classes, by the rare labels that similar ones must share
-    keys = stored(_of_several_classes(shared, roots).select("k", "id", "root", "largest"), "keys")
-    pairs, keys = _with_few_others(keys)
+    keys = stored(_of_several_classes(shared, roots).select("k", "id", "root", "largest", "first", "few"), "keys")
+    pairs, keys = _with_few_others(keys), keys.where("NOT few")
     # texts that keys connect are a group; those of different groups share no key
-    least = keys.groupBy("k").agg(F.min("id").alias("b"))
-    groups = components(keys.join(least, "k").select(F.col("id").alias("a"), "b").distinct(), "groups").select(F.col("node").alias("id"), F.col("root").alias("g0"))
+    groups = components(keys.select(F.col("id").alias("a"), F.col("first").alias("b")), "groups").select(F.col("node").alias("id"), F.col("root").alias("g0"))
     own = keys.groupBy("id").agg(F.max("root").alias("root")).join(groups, "id")
     left = stored(texts.join(own.hint("merge"), "id").select("id", "root", "g0", labels_by("text").alias("labels")), "left")
     rare = _sharing_rare(left, similarity, needed or words_needed(similarity))
     open_ = stored(pairs.union(rare).distinct().join(done, ["a", "b"], "left_anti"), "open")
     if not open_.isEmpty():
-        links = links.union(_verified(open_, texts, similar, similarity, "links"))
-        roots = components(links, "roots")
+        roots = components(_hung(roots).union(_verified(open_, texts, similar, similarity, "links")), "roots")
 
     rooted = nodes.drop("keys", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).getField("id").alias("chosen_id"))

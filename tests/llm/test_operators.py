@@ -505,6 +505,40 @@ def test_components(spark):
     assert cc.components(spark.createDataFrame([], "a bigint, b bigint")).isEmpty()
 
 
+def _jobs(spark, run):
+    """The number of Spark jobs that ``run`` starts."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found
+
+
+def test_components_take_few_jobs(spark):
+    """A round is two tables and one count, as the driver keeps something of each job."""
+    links = spark.createDataFrame([(k, 100 + k % 7) for k in range(100)], "a bigint, b bigint")
+    assert _jobs(spark, lambda: cc.components(links)) <= 16
+
+
+def test_keys_of_several_classes(spark):
+    rng = random.Random(8)
+    shared = [(k, i) for k in range(60) for i in rng.sample(range(40), rng.randrange(2, 30))]
+    root = {i: (0 if i < 25 else i - i % 2) for i in range(36)}  # the last have no root yet
+    roots = spark.createDataFrame(list(root.items()), "node bigint, root bigint")
+    found = neardup._of_several_classes(spark.createDataFrame(shared, "k bigint, id bigint"), roots).collect()
+    of, size = {i: root.get(i, i) for i in range(40)}, collections.Counter(root.values())
+    want = {}
+    for k in range(60):
+        ids = [i for x, i in shared if x == k]
+        if len({of[i] for i in ids}) > 1:
+            largest = max((size.get(of[i], 1), of[i]) for i in ids)[1]
+            others = sum(of[i] != largest for i in ids)
+            want |= {(k, i): (of[i], largest, min(ids), others <= neardup.FEW and 2 * others <= len(ids)) for i in ids}
+    assert {(r["k"], r["id"]): (r["root"], r["largest"], r["first"], r["few"]) for r in found} == want and len(found) == len(want)
+    assert all((r["k"], r["pivot"]) in want and of[r["pivot"]] == r["largest"] for r in found) and len({r["few"] for r in found}) == 2
+
+
 # 10
 
 
