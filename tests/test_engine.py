@@ -308,3 +308,18 @@ def test_omitted_count_ranks_once(spark):
     counted, ranked = rt.omitted_count(own, query, AS_OF), rt.ranked(own, query, AS_OF)
     made = [d._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") for d in (counted, ranked)]
     assert made[0] == made[1] == 1 and counted.collect()[0][0] == 30 - 13
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_conflicts_are_dealt_once(spark):
+    """Members are exploded and counted once: conflicts take one exchange, suggestions one for each of their three keys."""
+    rows = [("c", f"m{k}", k, {"type": ["a", "b", "c"][k % 3 : k % 3 + 1], "goal": ["x"], "status": ["s", "t"] if k % 2 else ["u"], "zone": []}) for k in range(6)]
+    members = spark.createDataFrame([*rows, ("d", "m9", 9, {"type": ["a"]})], "cohort string, id string, ordinal bigint, markers map<string,array<string>>")
+    conflicts, found = pr.marker_conflicts(members), pr.split_suggestions(members)
+    assert _exchanges(conflicts) == 1 and _exchanges(found) == 3
+    assert sorted(map(tuple, conflicts.collect())) == [("c", "status", ["s, t", "u"]), ("c", "type", ["a", "b", "c"])]
+    assert sorted(map(tuple, found.collect())) == [("c", "status", 2, "s, t", 3, 1), ("c", "status", 2, "u", 3, 2), *[("c", "type", 1, v, 2, k) for k, v in enumerate("abc", 1)]]
+    assert sorted(map(tuple, pr.marker_conflicts(members, pr.field_values(members)).collect())) == sorted(map(tuple, conflicts.collect()))
