@@ -47,6 +47,8 @@ SHORT_LENGTH, SHORT_COUNT, SHORT = 1, 12, 24
 #: Texts that one task compares with the same other text before that one's rows are split.
 SPLIT = 2000
 FEW = 8
+#: So many earlier labels go with a text to a meeting.
+EARLIER = 8
 #: Labels are counted in 2**COUNT_BITS buckets; counts only choose the order of labels, which any order serves.
 COUNT_BITS = 21
 SKETCH = "struct<n:bigint,keys:array<bigint>>"
@@ -343,26 +345,32 @@ def _first_labels(spark, counts: np.ndarray, similarity: float) -> Column:
     return first(F.col("labels"))
 
 
-def _sharing_rare(left: DataFrame, similarity: float, needed: NeedOf) -> DataFrame:
-    """Pairs (a, b) of texts of different classes and one group that can be that similar.
+def _meetings(left: DataFrame, similarity: float, needed: NeedOf) -> DataFrame:
+    """Pairs (a, b) of texts of different classes and one group that can be that similar; some pairs more than once.
 
     left: id, root, g0 (the group), labels. Labels are put in one order for all texts, frequent ones last. Two texts of n and m labels need
     some in common, ``needed(n, m)``, which is at least similarity * n and at least similarity * m; so
     the first common label has that many but one after it in both, which leaves few places for it and, among many near
     copies of one text, mostly labels that no other text has. Only the labels in those places leave their text. Texts meet under their group and a label together. Their sizes are similar too, so a meeting is split by
-    a logarithm of the size; a text goes to its own part and both next to it. Exact: no such pair of that similarity is lost."""
+    a logarithm of the size; a text goes to its own part and both next to it. Exact: no such pair of that similarity is lost.
+
+    Texts with a passage in common have many such labels in common, but need to meet under the first of these only: a text brings the EARLIER
+    labels before this one, and two that have one of these in common have met under it, where fewer places were gone."""
     firsts = left.select("id", "root", "g0", F.size("labels").alias("n"), _first_labels(left.sparkSession, _label_counts(left), similarity).alias("firsts"))
-    each = firsts.select("id", "root", "n", F.posexplode(F.transform("firsts", lambda x: F.xxhash64("g0", x))).alias("place", "h")).repartition("h")
+    hashed = firsts.select("id", "root", "n", F.transform("firsts", lambda x: F.xxhash64("g0", x)).alias("hs"))
+    each = hashed.select("id", "root", "n", "hs", F.posexplode("hs").alias("place", "h"))
+    each = each.select("id", "root", "n", "place", "h", F.slice("hs", F.greatest(F.col("place") - EARLIER, F.lit(0)) + 1, F.least("place", F.lit(EARLIER))).alias("earlier")).repartition("h")
     several = each.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
     sized = each.join(several, "h").withColumn("g", F.floor(F.log(F.col("n")) / -np.log(similarity)).cast("int"))
-    first = stored(sized.select("h", "g", "id", "root", "n", "place"), "rare")
-    # the class that most texts of a meeting are in needn't meet itself
+    first = stored(sized.select("h", "g", "id", "root", "n", "place", "earlier"), "rare")
+    # the class that most texts of a meeting are in needn't meet itself; two texts of other classes meet once
     main = first.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.col("count")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
-    one = first.join(main, "h").where("root != main").select("h", F.explode(F.array(*[F.col("g") + k for k in (-1, 0, 1)])).alias("g"), F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    two = first.select("h", "g", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    one = first.join(main, "h").where("root != main").select("h", F.explode(F.array(*[F.col("g") + k for k in (-1, 0, 1)])).alias("g"), F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("earlier").alias("ex"), "main")
+    two = first.select("h", "g", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("earlier").alias("ey"))
     need = needed(F.col("nx"), F.col("ny")) - 1e-9
-    found = one.join(two, ["h", "g"]).where((F.col("rx") != F.col("ry")) & (F.col("nx") - F.col("px") >= need) & (F.col("ny") - F.col("py") >= need))
-    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    once = ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & ~F.arrays_overlap("ex", "ey")
+    found = one.join(two, ["h", "g"]).where((F.col("rx") != F.col("ry")) & (F.col("nx") - F.col("px") >= need) & (F.col("ny") - F.col("py") >= need) & once)
+    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
 def of_nodes(keyed: DataFrame, ids: DataFrame) -> DataFrame:
@@ -410,7 +418,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, sketched_by: Sketch
     groups = components(keys.select(F.col("id").alias("a"), F.col("first").alias("b")), "groups").select(F.col("node").alias("id"), F.col("root").alias("g0"))
     own = keys.groupBy("id").agg(F.max("root").alias("root")).join(groups, "id")
     left = stored(texts.join(own.hint("merge"), "id").select("id", "root", "g0", labels_by("text").alias("labels")), "left")
-    rare = _sharing_rare(left, similarity, needed or words_needed(similarity))
+    rare = _meetings(left, similarity, needed or words_needed(similarity))
     open_ = stored(pairs.union(rare).distinct().join(done, ["a", "b"], "left_anti"), "open")
     if not open_.isEmpty():
         roots = components(_hung(roots).union(_verified(open_, texts, similar, similarity, "links")), "roots")

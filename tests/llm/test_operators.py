@@ -539,6 +539,20 @@ def test_keys_of_several_classes(spark):
     assert all((r["k"], r["pivot"]) in want and of[r["pivot"]] == r["largest"] for r in found) and len({r["few"] for r in found}) == 2
 
 
+def test_texts_with_a_passage_meet_once(spark):
+    """All pairs that have enough labels in common meet, and hardly any under each label that they have in common."""
+    rng = random.Random(9)
+    label = lambda: rng.randrange(-(2**63), 2**63)
+    passage, frequent = [label() for _ in range(80)], [label() for _ in range(30)]
+    labels = {i: [*rng.sample(passage, rng.randrange(70, 80)), *rng.sample(frequent, rng.randrange(12)), *[label() for _ in range(rng.randrange(12))]] for i in range(60)}
+    root = {i: i - i % 3 if i < 30 else i for i in labels}
+    left = spark.createDataFrame([(i, root[i], 0 if i % 10 else 1, x) for i, x in labels.items()], "id bigint, root bigint, g0 bigint, labels array<bigint>")
+    found = [tuple(r) for r in neardup._meetings(left, 0.8, neardup.words_needed(0.8)).collect()]
+    want = {(a, b) for a in labels for b in range(a) if root[a] != root[b] and (a % 10 > 0) == (b % 10 > 0) and len({*labels[a]} & {*labels[b]}) >= 0.8 * max(len(labels[a]), len(labels[b]))}
+    assert want and want <= {*found} and all(root[a] != root[b] for a, b in found)
+    assert len(found) <= 2 * len({*found})
+
+
 # 10
 
 
