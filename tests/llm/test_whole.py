@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,20 @@ def test_urls_beyond_the_sample_still_have_a_model(spark):
     assert urlfilter.learn(rows, 2) is not None
 
 
+def test_url_models_count_all_labelled_urls(spark):
+    url = F.concat(F.lit("http://a"), F.col("id") % 7, F.lit(".org/"), "id")
+    rows = spark.range(50_000).select(url.alias("url"), F.when(F.col("id") % 3 == 0, "block").otherwise("allow").alias("verdict")).union(spark.range(9).select(F.lit(None).cast("string"), F.lit("allow")))
+    found = urlfilter.learn(rows)
+    train = {v: [r["url"] for r in rows.where((F.col("verdict") == v) & (F.xxhash64("url") % 2 == 0) & F.col("url").isNotNull()).collect()] for v in ("allow", "block")}
+    tested = pa.array(["http://a3.org/77", "https://b", "", "http://a6.org/49999"])
+    for model, verdict in ((found.accepted, "allow"), (found.rejected, "block")):
+        assert model.sampled == len(train[verdict]) and model.sampled + 100 > rows.where(f"verdict = '{verdict}'").count() / 2 - 300
+        assert np.allclose(model.log_likelihoods(tested), urlfilter.Markov(train[verdict]).log_likelihoods(tested), rtol=1e-12)
+    few = urlfilter.learn(rows, most=50)
+    assert all(len(t[2]) <= 50 for m in (few.accepted, few.rejected) for t in m.tables) and few.accepted.sampled == found.accepted.sampled
+    assert urlfilter.learn(rows.where("verdict = 'allow'")) is None and urlfilter.learn(rows.where("url IN ('http://a0.org/0', 'http://a1.org/1')")) is not None
+
+
 def test_long_urls_and_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "http://a.org/" + "x" * 300_000, "mine"), (1, "http://a.org/" + "x" * 300_000, "mine"), (2, None, "mine"), (3, "", "mine")], "page_id bigint, url string, host string")
     found = urlfilter.op8_url_ratio(rows).collect()
