@@ -663,6 +663,23 @@ def test_ranking_threshold_is_a_quantile():
     assert (y[preferred] == 1).all() and (y[other] == 0).all() and len(preferred) == len(other) == 1000
 
 
+def test_ranking_learns_from_all_labelled_rows(spark):
+    """Each of 30,000 labelled rows counts, and each block has both labels, however rare one is."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30_000, ranking.WIDTH))
+    y = (x[:, 0] + 0.3 * rng.normal(size=30_000) > -0.5).astype(int)
+    kind = "h bigint, _features array<double>, _quality int"
+    rows = spark.createDataFrame([(k, f, q) for k, (f, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True))], kind).cache()
+    model = ranking.fit_all(rows)
+    assert abs((model.scores(x) < ranking.CUT).mean() - (y == 0).mean()) < 0.001
+    small = ranking.fit(x, y)
+    assert np.corrcoef(model.strengths(x), small.strengths(x))[0, 1] > 0.99
+    rare = rows.where("_quality = 1 OR h % 4000 < 3").cache()
+    counts = {r["_quality"]: r["count"] for r in rare.groupBy("_quality").count().collect()}
+    blocks = ranking._dealt(rare, counts).collect()
+    assert len(blocks) == 2 and sum(sum(b["quality"]) for b in blocks) == counts[1] and all(0 in b["quality"] for b in blocks)
+
+
 def test_ranking_hard(spark, hard, none, documents):
     kind = "doc_id bigint, quality int, toxic int, text string, _quality string"
     labels = spark.createDataFrame([(1, 1, 0, "x", "x"), (4, 0, 0, "x", "x"), (4, 1, 0, "x", "x"), (None, 0, 0, "x", "x"), (6, None, 0, "x", "x"), (7, 0, 1, "x", "x"), (7, 0, 1, "x", "x"), (99, 0, 0, "x", "x")], kind)
