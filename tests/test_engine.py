@@ -323,3 +323,14 @@ def test_conflicts_are_dealt_once(spark):
     assert sorted(map(tuple, conflicts.collect())) == [("c", "status", ["s, t", "u"]), ("c", "type", ["a", "b", "c"])]
     assert sorted(map(tuple, found.collect())) == [("c", "status", 2, "s, t", 3, 1), ("c", "status", 2, "u", 3, 2), *[("c", "type", 1, v, 2, k) for k, v in enumerate("abc", 1)]]
     assert sorted(map(tuple, pr.marker_conflicts(members, pr.field_values(members)).collect())) == sorted(map(tuple, conflicts.collect()))
+
+
+def test_tokens_are_rare_within_a_marker(spark):
+    """A token that all records of a domain have isn't what its records meet under, though it is rare among all records."""
+    rows = [(f"r{k}", {"domain": f"d{k % 3}"}, [f"d{k % 3}", *(f"t{(k // 3 + j) % 8}" for j in range(5))], [], False) for k in range(24)]
+    units = rl._numbered(rl._kinds(rl._with_kind(records(spark, rows))))
+    met = rl._token_meetings(units, None, 0.3)[0]
+    own = units.select("unit", F.xxhash64(F.lit(10), F.get("marked", F.lit(0)), F.xxhash64(F.get("tokens", F.lit(0)))).alias("k"))
+    assert not met.isEmpty() and met.join(own, ["unit", "k"]).isEmpty()
+    found = {(r["source"], r["target"]) for r in rl.inferred_edges(records(spark, rows)).collect()}
+    assert found == {(a[0], b[0]) for a in rows for b in rows if a is not b and round(_score(a, b), 3) >= 0.3} and found
