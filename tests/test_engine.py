@@ -325,6 +325,26 @@ def test_conflicts_are_dealt_once(spark):
     assert sorted(map(tuple, pr.marker_conflicts(members, pr.field_values(members)).collect())) == sorted(map(tuple, conflicts.collect()))
 
 
+def test_edges_of_long_records(spark):
+    """Matched markers, shared tokens and types of records with many fields and tokens, and of more alike ones than a unit has."""
+    rng = random.Random(5)
+    fields = ["domain", "flow", "artifact", *(f"f{k}" for k in range(8))]
+    rows = [(f"r{k}", {f: rng.choice("pqrs") for f in fields if rng.random() < 0.5}, rng.sample([f"t{i:02}" for i in range(30)], rng.randrange(2, 20)), [], False) for k in range(25)]
+    found = {(r["source"], r["target"]): (r["type"], r["matched_markers"], r["shared_tokens"]) for r in rl.inferred_edges(records(spark, rows)).collect()}
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a is not b and round(_score(a, b), 3) >= 0.3:
+                same = sorted(f for f in a[1] if b[1].get(f) == a[1][f])
+                kind = "same_pattern_as" if {"domain", "flow"} <= set(same) else "might_affect" if {"flow", "artifact"} & set(same) else "related_pattern"
+                want[a[0], b[0]] = (kind, same, sorted(set(a[2]) & set(b[2]))[:12])
+    assert found == want and max(len(v[1]) for v in want.values()) > 2
+    alike = records(spark, [(f"r{k}", {"domain": "p", "type": "q"}, ["x"], [], False) for k in range(3 * rl.UNIT)])
+    assert max(len(r["members"]) for r in rl._units(alike).collect()) < 1.5 * rl.UNIT
+    made = rl.inferred_edges(alike).agg(F.count("*"), F.count_distinct("source", "target"), F.count_if(F.col("source") == F.col("target"))).first()
+    assert tuple(made) == (3 * rl.UNIT * (3 * rl.UNIT - 1),) * 2 + (0,)
+
+
 def test_tokens_are_rare_within_a_marker(spark):
     """A token that all records of a domain have isn't what its records meet under, though it is rare among all records."""
     rows = [(f"r{k}", {"domain": f"d{k % 3}"}, [f"d{k % 3}", *(f"t{(k // 3 + j) % 8}" for j in range(5))], [], False) for k in range(24)]
