@@ -354,3 +354,13 @@ def test_tokens_are_rare_within_a_marker(spark):
     assert not met.isEmpty() and met.join(own, ["unit", "k"]).isEmpty()
     found = {(r["source"], r["target"]) for r in rl.inferred_edges(records(spark, rows)).collect()}
     assert found == {(a[0], b[0]) for a in rows for b in rows if a is not b and round(_score(a, b), 3) >= 0.3} and found
+
+
+def test_explicit_edges_cover_without_a_join(spark):
+    """An explicit edge of an inferred type takes the place of the inferred one in its direction alone, and inferred edges aren't joined with explicit ones."""
+    rows = [(f"r{k}", {"domain": "p", "type": "q"}, ["x"], [("related_pattern", "r1", 0.7), (None, "r2", None), ("related_pattern", "", 1.0)] if k == 0 else [], False) for k in range(3)]
+    edges = rl.all_edges(records(spark, rows), AS_OF)
+    assert "LeftAnti" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    made = [(r["source"], r["target"], r["type"], r["kind"]) for r in edges.collect()]
+    pairs = [(f"r{a}", f"r{b}") for a in range(3) for b in range(3) if a != b]
+    assert sorted(made) == sorted([("r0", "r1", "related_pattern", "explicit"), ("r0", "r2", "related_to", "explicit"), *[(a, b, "related_pattern", "inferred") for a, b in pairs if (a, b) != ("r0", "r1")]])
