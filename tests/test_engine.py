@@ -364,3 +364,13 @@ def test_explicit_edges_cover_without_a_join(spark):
     made = [(r["source"], r["target"], r["type"], r["kind"]) for r in edges.collect()]
     pairs = [(f"r{a}", f"r{b}") for a in range(3) for b in range(3) if a != b]
     assert sorted(made) == sorted([("r0", "r1", "related_pattern", "explicit"), ("r0", "r2", "related_to", "explicit"), *[(a, b, "related_pattern", "inferred") for a, b in pairs if (a, b) != ("r0", "r1")]])
+
+
+def test_delete_reads_what_lives_from_a_written_table(spark):
+    """Edges are joined with a table of known size on both ends, so where it is small they aren't shuffled; dangling ones go as well."""
+    rows = [(f"r{k}", {"domain": "p", "type": "q"}, ["x"], [("fixes", "nowhere", 1.0)] if k == 0 else [], False) for k in range(4)]
+    own = records(spark, rows)
+    after = lc.delete(own, rl.all_edges(own, AS_OF), spark.createDataFrame([("r1",)], "id string"), AS_OF)[1]
+    assert sum("/living-" in f for f in after.inputFiles()) > 0
+    ends = sorted((r["source"], r["target"]) for r in after.collect())
+    assert ends == [(f"r{a}", f"r{b}") for a in (0, 2, 3) for b in (0, 2, 3) if a != b]
