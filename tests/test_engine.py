@@ -374,3 +374,24 @@ def test_delete_reads_what_lives_from_a_written_table(spark):
     assert sum("/living-" in f for f in after.inputFiles()) > 0
     ends = sorted((r["source"], r["target"]) for r in after.collect())
     assert ends == [(f"r{a}", f"r{b}") for a in (0, 2, 3) for b in (0, 2, 3) if a != b]
+
+
+def _top_rows(n, seed):
+    """Some records with more explicit edges than the limit, some with fewer, some of types that inferred edges have."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        m = {f: rng.choice("pq") for f in ("domain", "flow", "artifact", "type")}
+        rel = [(rng.choice(["related_to", "might_affect", "same_pattern_as", None]), rng.choice([f"r{rng.randrange(n)}", "", None, "zz"]), rng.choice([None, 0.5, 0.9])) for _ in range(rng.choice([0, 1, 3, 12]))]
+        out.append((f"r{k}", m, rng.sample([f"t{i}" for i in range(9)], 5), rel, False))
+    return out
+
+
+def test_top_edges_are_the_first_of_all(spark):
+    own = records(spark, _top_rows(30, 4))
+    want = rl.outgoing(rl.all_edges(own, AS_OF), 4).select("source", "target", "type", "kind", "confidence", "rank")
+    top = rl.top_edges(own, 4)
+    assert top.columns == want.columns and sorted(map(tuple, top.collect())) == sorted(map(tuple, want.collect()))
+    assert top.where("kind = 'explicit'").count() > 20 and top.where("kind = 'inferred'").count() > 20
+    few = records(spark, [(f"r{k}", {"domain": "p", "type": "q"}, ["x"], [("fixes", f"r{j}", 1.0) for j in range(4)], False) for k in range(9)])
+    assert rl.top_edges(few, 4).count() == 36 and rl.top_edges(few, 4).where("kind = 'inferred'").isEmpty()
